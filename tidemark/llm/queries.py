@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, linedup, quality, urlfilter
+from . import bpe, decontam, jaccard, langid, licenses, linedup, pii, quality, urlfilter, wrapper
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; labelled documents fit the text model."""
+    return langid.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")).drop("posteriors")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license mention of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and compression bands of every document."""
     return quality.judged(table(spark, sf_dir, "documents"))
@@ -27,6 +42,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "by")
 
 
+def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return wrapper.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document under links of its shingle set."""
     return jaccard.similar(table(spark, sf_dir, "documents"))
@@ -43,7 +63,7 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "marked_words", "n_tiles", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_quality, op6_urls, op8_jaccard, op9_lines, op10_tiling)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_pii, op4_licenses, op5_quality, op6_urls, op7_wrapper, op8_jaccard, op9_lines, op10_tiling)}
 
 _HOST = r"regexp_extract(u, '^([^/?#]*)', 1)"
 #: Pages of these tables hold no redirects or canonical links, so that the method's verdict is allow; the
