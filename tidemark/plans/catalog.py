@@ -1,4 +1,558 @@
-"""Registered queries and their SQL."""
+"""The registered queries of the engine's own operators, and DuckDB SQL for those that SQL can express.
 
-QUERIES: dict = {}
+Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exact, timegrid
+from ..operators import search, state
+from ..operators.metrics import COUNTER, Metrics, ingest, interval, replace_range
+from ..operators.records import Records, appended, filled
+from ..operators.tablequery import TableQuery, either, eq, every, is_in
+from ..session import ship
+from ..sources import formats
+from ..sources.tables import records, samples, table
+from ..streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+ASKED = ["the", "than", "eaou", "thinor"]
+
+
+def query(sql: str | None = None):
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return run
+
+    return put
+
+
+def gauge(spark, d) -> Metrics:
+    return Metrics(samples(spark, d), ("event_type", "user"))
+
+
+def counter(spark, d) -> Metrics:
+    return Metrics(samples(spark, d), ("event_type", "user"), COUNTER)
+
+
+DAY = "date_trunc('day', ts)::timestamp"
+DEC = "cast(sum(cast({} as decimal(38,6))) as double)"
+STEPS = """WITH s AS (SELECT event_type, cast(user_id as varchar) AS u, ts, value, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_at FROM events
+ WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
+t AS (SELECT *, CASE WHEN prev IS NULL THEN cast(0 as decimal(38,6)) WHEN value < prev THEN cast(value as decimal(38,6)) ELSE cast(value as decimal(38,6)) - cast(prev as decimal(38,6)) END AS step FROM s)
+"""
+
+# --- metrics -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, count(*) AS count, {DEC.format('value')} AS sum, count(*) AS samples FROM events GROUP BY ALL")
+def metric_count_1h_by_type(spark, d):
+    return gauge(spark, d).every("1 hour").by("event_type").aggregate("count", "sum")
+
+
+@query(f"SELECT event_type, {DAY} AS bucket, {DEC.format('value')} AS sum, {DEC.format('value')} / count(*) AS avg, count(*) AS samples FROM events GROUP BY ALL")
+def metric_sum_avg_1d_by_type(spark, d):
+    return gauge(spark, d).every("1 day").by("event_type").aggregate("sum", "avg")
+
+
+@query(f"SELECT {DAY} AS bucket, min(value) AS min, max(value) AS max, count(*) AS samples FROM events GROUP BY ALL")
+def metric_min_max_1d(spark, d):
+    return gauge(spark, d).every("1 day").aggregate("min", "max")
+
+
+@query(STEPS + f"""SELECT u AS "user", {DAY} AS bucket, cast(sum(step) as double) AS increase, count(*) AS samples,
+ count(*) FILTER (value < prev) AS resets, false AS gap0 FROM t WHERE ts >= timestamp '2024-01-05' GROUP BY ALL""".replace(", false AS gap0", ""))
+def metric_increase_1d_by_user(spark, d):
+    return counter(spark, d).between("2024-01-05", None).every("1 day").by("user").aggregate("increase").drop("gap", "unknown")
+
+
+@query(STEPS + "SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, cast(sum(step) as double) / 3600.0 AS rate, count(*) AS samples FROM t GROUP BY ALL")
+def metric_rate_1h(spark, d):
+    return counter(spark, d).every("1 hour").by("event_type").aggregate("rate").drop("resets", "gap", "unknown")
+
+
+@query(STEPS + f"""SELECT event_type, bucket, cast(sum(m) as double) AS delta, {DEC.format('f')} AS first, {DEC.format('l')} AS last, cast(sum(n) as bigint) AS samples FROM (
+ SELECT event_type, u, {DAY} AS bucket, cast(arg_max(value, ts) as decimal(38,6)) - cast(coalesce(arg_min(coalesce(prev, -1e9), ts), 0) as decimal(38,6)) * 0
+  - cast(CASE WHEN arg_min(coalesce(prev, -1e9), ts) = -1e9 THEN arg_min(value, ts) ELSE arg_min(coalesce(prev, -1e9), ts) END as decimal(38,6)) AS m,
+  arg_min(value, ts) AS f, arg_max(value, ts) AS l, count(*) AS n FROM t GROUP BY event_type, u, bucket) GROUP BY ALL""")
+def metric_delta_first_last_1d(spark, d):
+    return gauge(spark, d).every("1 day").by("event_type").aggregate("delta", "first", "last").drop("resets", "gap", "unknown")
+
+
+@query(f"SELECT event_type, {DAY} AS bucket, quantile_disc(value, 0.95) AS value, count(*) AS samples FROM events GROUP BY ALL")
+def metric_p95_1d_nearest_rank(spark, d):
+    return gauge(spark, d).every("1 day").by("event_type").percentile("95")
+
+
+@query(f"""WITH h AS (SELECT event_type, {DAY} AS bucket, le, count(*) FILTER (value <= le) AS c, count(*) AS n FROM events, (VALUES (1.0::double),(5.0),(10.0),(25.0),(50.0),(100.0),(250.0),(500.0),('inf'::double)) b(le) GROUP BY ALL),
+g AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS lower, coalesce(lag(c) OVER w, 0) AS under FROM h WINDOW w AS (PARTITION BY event_type, bucket ORDER BY le))
+SELECT event_type, bucket, cast(lower as double) AS lower, CASE WHEN isinf(le) THEN NULL ELSE le END AS upper, n AS samples,
+ CASE WHEN isinf(le) THEN lower ELSE lower + (le - lower) * ((n * 0.95::double - under) / (c - under)) END AS estimate
+FROM g WHERE c * 20 >= n * 19 AND under * 20 < n * 19""")
+def metric_histogram_p95_bounds(spark, d):
+    m = gauge(spark, d).every("1 day").by("event_type")
+    return interval(m.histogram(BOUNDS), ["event_type", "bucket"], "95")
+
+
+@query(f"""SELECT event_type, {DAY} AS bucket, le, count(*) FILTER (value <= le OR le IS NULL) AS c FROM events,
+ (VALUES (1.0::double),(5.0),(10.0),(25.0),(50.0),(100.0),(250.0),(500.0),(NULL)) b(le) GROUP BY ALL""")
+def metric_heatmap(spark, d):
+    return gauge(spark, d).every("1 day").by("event_type").histogram(BOUNDS)
+
+
+@query(STEPS + f"""SELECT u AS "user", bucket, cast(sum(inc) as double) AS increase, cast(sum(n) as bigint) AS samples, cast(sum(r) as bigint) AS resets, bool_or(g) AS gap, bool_or(un) AS unknown FROM (
+ SELECT event_type, u, {DAY} AS bucket, sum(step) AS inc, count(*) AS n, count(*) FILTER (value < prev) AS r,
+  coalesce(arg_min(coalesce(prev_at, timestamp '9999-01-01'), ts) < {DAY} - interval 1 day, false) AS g, arg_min(prev IS NULL, ts) AS un FROM t GROUP BY event_type, u, bucket) GROUP BY ALL""")
+def metric_gap_partial_flags(spark, d):
+    return counter(spark, d).every("1 day").by("user").aggregate("increase")
+
+
+@query("""WITH b AS (SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, count(*) AS count FROM events WHERE ts >= timestamp '2024-01-02' AND ts < timestamp '2024-01-04' GROUP BY ALL),
+g AS (SELECT event_type, bucket::timestamp AS bucket FROM (SELECT DISTINCT event_type FROM b), (SELECT unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-03 23:00:00', interval 1 hour)) AS bucket))
+SELECT g.event_type, g.bucket, b.count, b.count AS samples FROM g LEFT JOIN b USING (event_type, bucket)""")
+def metric_fill_1h(spark, d):
+    m = gauge(spark, d).between("2024-01-02", "2024-01-04").every("1 hour").by("event_type")
+    return m.fill(m.aggregate("count"), "2024-01-02", "2024-01-04")
+
+
+@query(f"""SELECT event_type, (date_trunc('month', ts + interval 330 minute)::timestamp - interval 330 minute)::timestamp AS bucket, {DEC.format('value')} AS sum, count(*) AS samples FROM events GROUP BY ALL""")
+def metric_calendar_month_zone(spark, d):
+    return gauge(spark, d).calendar("month", "Asia/Kolkata").by("event_type").aggregate("sum")
+
+
+@query(f"SELECT date_trunc('week', ts)::timestamp AS bucket, {DEC.format('value')} AS sum, count(*) AS samples FROM events GROUP BY ALL")
+def metric_calendar_week(spark, d):
+    return gauge(spark, d).calendar("week").aggregate("sum")
+
+
+@query("SELECT event_type, cast(user_id as varchar) AS \"user\", max(ts) AS at, arg_max(value, ts) AS value FROM events GROUP BY ALL")
+def metric_latest(spark, d):
+    return gauge(spark, d).latest()
+
+
+@query("SELECT event_type, cast(user_id as varchar) AS \"user\", ts AS at, value FROM events WHERE ts >= timestamp '2024-01-03' AND ts < timestamp '2024-01-04'")
+def metric_read_range(spark, d):
+    return gauge(spark, d).between("2024-01-03", "2024-01-04").read()
+
+
+@query("SELECT DISTINCT event_type AS value FROM events WHERE starts_with(event_type, 's') ORDER BY 1")
+def metric_label_values(spark, d):
+    return gauge(spark, d).label_values("event_type", "s")
+
+
+@query("SELECT count(DISTINCT (event_type, user_id)) AS series, count(*) AS samples, min(ts) AS retained_from, max(ts) AS newest FROM events")
+def metric_names(spark, d):
+    return gauge(spark, d).names()
+
+
+@query(f"""SELECT event_type, {DAY} AS bucket, count(*) AS count, count(*) AS samples FROM events WHERE event_type IN ('click', 'view', 'error') AND (user_id IS NULL OR user_id NOT IN (1, 2, 3)) AND starts_with(cast(user_id as varchar), '1') GROUP BY ALL""")
+def metric_label_conditions(spark, d):
+    return gauge(spark, d).one_of("event_type", "click", "view", "error").none_of("user", "1", "2", "3").prefix("user", "1").every("1 day").by("event_type").aggregate("count")
+
+
+@query(f"SELECT cast(user_id as varchar) AS \"user\", {DAY} AS bucket, max(value) AS max, count(*) AS samples FROM events WHERE ts >= timestamp '2024-01-10' GROUP BY ALL")
+def metric_without_retention(spark, d):
+    return gauge(spark, d).retain("2024-01-10").without("event_type").every("1 day").aggregate("max")
+
+
+@query()
+def metric_exact_binary_sum(spark, d):
+    """The correctly rounded sum of the doubles themselves, by a grouped aggregate."""
+    return samples(spark, d).groupBy("event_type").agg(exact.binary_sum()(F.col("value")).alias("sum"))
+
+
+@query("SELECT event_type, count(*) AS added FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")
+def metric_ingest_idempotent(spark, d):
+    s = table(spark, d, "events").select("event_id", F.col("ts").alias("at"), "value", "event_type", F.col("user_id").cast("string").alias("user"))
+    held = s.where("event_id % 3 = 0").drop("event_id")
+    added, _ = ingest(held, s.drop("event_id"), ["event_type", "user"])
+    return added.groupBy("event_type").agg(F.count("*").alias("added"))
+
+
+@query("SELECT event_type, cast(user_id as varchar) AS \"user\", ts AS at, CASE WHEN event_type = 'view' AND user_id = 7 AND ts >= timestamp '2024-01-05' AND ts < timestamp '2024-01-20' THEN value * 2 ELSE value END AS value FROM events")
+def metric_replace_range(spark, d):
+    s = samples(spark, d).select("event_type", "user", "at", "value")
+    new = s.where("event_type = 'view' AND user = '7' AND at >= timestamp_ntz'2024-01-05' AND at < timestamp_ntz'2024-01-20'").withColumn("value", F.col("value") * 2)
+    return replace_range(s, new, {"event_type": "view", "user": "7"}, "2024-01-05", "2024-01-20")
+
+
+@query()
+def prometheus_parse(spark, d):
+    """Nations as an exposition, read back as samples."""
+    text = F.concat_ws("\n", F.lit("# TYPE nation_region gauge"), F.concat(F.lit('nation_region{name="'), F.col("n_name"), F.lit('"} '), F.col("n_regionkey"), F.lit(" 1790000000000")))
+    return formats.prometheus(table(spark, d, "nation").select(text.alias("value")), 0)
+
+
+# --- records -----------------------------------------------------------------------------------------
+
+K = "props->>'k'"
+
+
+def events(spark, d) -> Records:
+    return Records(records(spark, d))
+
+
+@query(f"SELECT event_id AS id, event_type AS name, ts AS at FROM events WHERE {K} IN ('1', '2') AND event_type <> 'view'")
+def record_list_where_k(spark, d):
+    return events(spark, d).where("k", "1", "2").where_not("name", "view").found().select("id", "name", "at")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type ILIKE '%ERR%' OR cast(user_id as varchar) LIKE '%err%'")
+def record_search_text(spark, d):
+    return events(spark, d).search("Err").found().select("id")
+
+
+@query("SELECT event_id AS id, event_type AS name FROM events WHERE event_type = 'error' AND ts >= timestamp '2024-01-02' AND ts < timestamp '2024-01-09'")
+def record_min_level(spark, d):
+    return events(spark, d).min_level(8).between("2024-01-02", "2024-01-09").found().select("id", "name")
+
+
+@query(f"SELECT {K} AS value, count(*) AS events FROM events WHERE {K} IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def record_top_k(spark, d):
+    return events(spark, d).top("k")
+
+
+@query(f"SELECT event_id AS id, cast({K} as bigint) AS k FROM events WHERE {K} IS NOT NULL ORDER BY cast({K} as bigint) DESC, ts, event_id LIMIT 10")
+def record_largest_k(spark, d):
+    return events(spark, d).largest("k").select("id", F.col("number").cast("long").alias("k"))
+
+
+@query(f"""SELECT event_type AS name, {DAY} AS span, count(*) AS events, count({K}) AS samples, cast(sum(cast({K} as decimal(38,6))) as double) AS sum, cast(min(cast({K} as bigint)) as double) AS min,
+ cast(max(cast({K} as bigint)) as double) AS max, cast(sum(cast({K} as decimal(38,6))) as double) / count({K}) AS avg, count(DISTINCT user_id) AS distinct_user FROM events GROUP BY ALL""")
+def record_aggregate_stats_distinct(spark, d):
+    return events(spark, d).aggregate(("name",), "1 day", "k", ("user",))
+
+
+@query("""WITH b AS (SELECT event_type AS name, date_trunc('hour', ts)::timestamp AS span, count(*) AS events FROM events GROUP BY ALL),
+g AS (SELECT name, span::timestamp AS span FROM (SELECT DISTINCT name FROM b), (SELECT unnest(generate_series((SELECT min(span) FROM b), (SELECT max(span) FROM b), interval 1 hour)) AS span))
+SELECT g.name, g.span, coalesce(b.events, 0) AS events FROM g LEFT JOIN b USING (name, span)""")
+def record_aggregate_fill(spark, d):
+    return filled(events(spark, d).aggregate(("name",), "1 hour"), ["name"], "1 hour", ["events"])
+
+
+@query("SELECT event_id AS id, ts AS at FROM events WHERE ts >= (SELECT min(ts) FROM (SELECT ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100))")
+def record_page_no_split_ts(spark, d):
+    return events(spark, d).list(newest=True, limit=100).select("id", "at")
+
+
+@query("SELECT 'k' AS key, 'integer' AS kind, count(*) AS events FROM events")
+def record_fields(spark, d):
+    return events(spark, d).fields()
+
+
+@query("SELECT unnest(['k', 'user']) AS key")
+def record_field_names(spark, d):
+    return events(spark, d).field_names()
+
+
+@query("SELECT 'events' AS stream, count(*) AS events, min(ts) AS retained_from, max(ts) AS newest FROM events")
+def record_streams(spark, d):
+    return events(spark, d).stream_list()
+
+
+@query("SELECT count(*) AS events FROM events WHERE event_type IN ('click', 'view')")
+def record_count(spark, d):
+    return events(spark, d).names("click", "view").count()
+
+
+@query(f"SELECT event_type AS name, count(*) AS events FROM events WHERE NOT starts_with({K}, '1') GROUP BY ALL")
+def record_delete_where(spark, d):
+    return Records(events(spark, d).where_prefix("k", "1").deleted()).aggregate(("name",))
+
+
+@query("SELECT event_type AS name, count(*) AS events FROM events WHERE event_id % 2 = 1 GROUP BY ALL")
+def record_append_dedupe(spark, d):
+    r = records(spark, d)
+    return Records(appended(r.where("id % 2 = 0"), r.unionByName(r))).aggregate(("name",))
+
+
+@query()
+def record_lines_source(spark, d):
+    """Events as logfmt lines, read back with their levels."""
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("level="), F.when(F.col("event_type") == "error", "error").otherwise("info"), F.lit(' msg="'), F.col("event_type"), F.lit('" user='), F.col("user_id"))
+    return formats.lines(e.select(line.alias("value"))).groupBy("level", "message").agg(F.count("*").alias("events"))
+
+
+@query()
+def record_message_search(spark, d):
+    """Turns of conversations whose message holds a text."""
+    c = table(spark, d, "conversations")
+    r = c.select(F.lit(None).cast("timestamp_ntz").alias("at"), F.lit("talk").alias("stream"), F.concat_ws("/", "conv_id", "turn").alias("id"), F.col("role").alias("name"), F.lit(4).alias("level"), F.col("text").alias("message"), F.lit("{}").alias("fields"), F.lit("{}").alias("context"))
+    return Records(r).search("the").found().select("id", "name")
+
+
+# --- tables ------------------------------------------------------------------------------------------
+
+
+def q(spark, d, name, alias=None) -> TableQuery:
+    return TableQuery.table(table(spark, d, name), alias or name)
+
+
+@query("""SELECT n_name, count(*) AS orders, cast(sum(cast(o_totalprice as decimal(38,2))) as double) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+ WHERE o_orderstatus = 'O' GROUP BY n_name HAVING count(*) > 10""")
+def sql_join_filter_group_having(spark, d):
+    return (
+        q(spark, d, "orders", "o").join(table(spark, d, "customer"), "c", "o.o_custkey = c.c_custkey").join(table(spark, d, "nation"), "n", "c.c_nationkey = n.n_nationkey")
+        .filter(eq("o.o_orderstatus", "O")).group_by("n.n_name").select("n_name", "count(*) as orders", "cast(sum(cast(o_totalprice as decimal(38,2))) as double) as total").having("orders > 10").rows()
+    )
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def sql_left_join_null_counts(spark, d):
+    return q(spark, d, "customer", "c").left_join(table(spark, d, "orders"), "o", "o.o_custkey = c.c_custkey").group_by("c.c_custkey").select("c_custkey", "count(o.o_orderkey) as orders").rows()
+
+
+@query("SELECT count(*) AS count FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 0)")
+def sql_count_groups(spark, d):
+    return q(spark, d, "customer", "c").filter("c_acctbal > 0").group_by("c_nationkey").select("count(*) as n").count()
+
+
+@query("""SELECT c_custkey, i, o_orderkey, o_totalprice FROM (SELECT c_custkey, o_orderkey, o_totalprice, cast(row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey) as bigint) AS i
+ FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000) WHERE i <= 3""")
+def sql_include_top3_orders_per_customer(spark, d):
+    kids = q(spark, d, "orders", "o").select("o_orderkey", "o_totalprice").order_by("o_totalprice", True).order_by("o_orderkey").limit(3)
+    parents = q(spark, d, "customer", "c").filter("c_acctbal > 5000").include(kids, ("c_custkey", "o_custkey"), "orders")
+    return parents.select("c_custkey", F.posexplode("orders").alias("i", "o")).select("c_custkey", (F.col("i") + 1).cast("long").alias("i"), "o.*")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 50")
+def sql_keyset_page2(spark, d):
+    o = q(spark, d, "orders", "o").select("o_orderkey", "o_totalprice").order_by("o_totalprice", True).order_by("o_orderkey")
+    first, _ = o.page(50)
+    end = first.orderBy("o_totalprice", F.desc("o_orderkey")).first().asDict()  # the last row of the page, as a client has it
+    return o.page(50, o.cursor(end))[0]
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20 OFFSET 40")
+def sql_order_limit_offset(spark, d):
+    return q(spark, d, "orders", "o").select("o_orderkey", "o_totalprice").order_by("o_totalprice").order_by("o_orderkey").offset(40).limit(20).rows()
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 AND o_orderstatus <> 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders""")
+def sql_upsert_only_if(spark, d):
+    o = table(spark, d, "orders")
+    new = o.where("o_orderkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    return TableQuery.table(o, "old").upsert(new, ["o_orderkey"], "old.o_orderstatus <> 'F'").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' OR c_nationkey IN (1, 2) THEN 0.0::double ELSE c_acctbal END AS c_acctbal FROM customer")
+def sql_update_where(spark, d):
+    return q(spark, d, "customer", "c").filter(either(eq("c_mktsegment", "BUILDING"), is_in("c_nationkey", [1, 2]))).update(c_acctbal=F.lit(0.0)).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT count(*) AS left_over FROM customer WHERE NOT (c_acctbal < 0 AND c_nationkey > 3)")
+def sql_delete_where(spark, d):
+    return q(spark, d, "customer", "c").filter(every(F.col("c_acctbal") < 0, F.col("c_nationkey") > 3)).delete().agg(F.count("*").alias("left_over"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def sql_semi_join(spark, d):
+    return q(spark, d, "customer", "c").semi_join(table(spark, d, "orders").where("o_totalprice > 300000"), "o", "c.c_custkey = o.o_custkey").rows().select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def sql_anti_join(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT n_name FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9000 INTERSECT SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey EXCEPT SELECT n_name FROM nation WHERE n_regionkey = 0")
+def sql_set_operations(spark, d):
+    n = table(spark, d, "nation")
+    rich = n.join(table(spark, d, "customer").where("c_acctbal > 9000"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name")
+    with_supplier = n.join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name")
+    return rich.intersect(with_supplier).subtract(n.where("n_regionkey = 0").select("n_name"))
+
+
+@query("WITH RECURSIVE r(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM r WHERE i < 90) SELECT cast(i as integer) AS i FROM r")
+def sql_raw_recursive(spark, d):
+    return spark.sql("WITH RECURSIVE r(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM r WHERE i < ?) SELECT i FROM r", args=[90])
+
+
+@query("""SELECT l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(38,2))) as double) AS quantity, count(*) AS lines FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def sql_rollup(spark, d):
+    return table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'").rollup("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(38,2)")).cast("double").alias("quantity"), F.count("*").alias("lines"))
+
+
+# --- search ------------------------------------------------------------------------------------------
+
+TERMS = "t AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM documents), x AS (SELECT doc, len(terms) AS length, unnest(terms) AS term FROM t), p AS (SELECT doc, length, term, count(*) AS tf FROM x GROUP BY ALL), s AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc, length FROM p))"
+_ASKED = ", ".join(f"'{w}'" for w in ASKED)
+SCORED = f"""WITH {TERMS}, h AS (SELECT * FROM p WHERE term IN ({_ASKED})), f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+b AS (SELECT doc, cast(sum(cast(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (1.2::double + 1) / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * length / mean))) * 4294967296.0::double + 0.5) as bigint)) as bigint) AS points FROM h JOIN f USING (term), s GROUP BY doc)
+"""
+
+
+def index(spark, d) -> DataFrame:
+    return search.postings(table(spark, d, "documents"), "doc_id")
+
+
+@query(SCORED + "SELECT doc, points, points / 4294967296.0::double AS score FROM b ORDER BY points DESC, doc LIMIT 10")
+def search_bm25_top10(spark, d):
+    return search.best(search.bm25(index(spark, d), ASKED))
+
+
+@query(SCORED + "SELECT doc, points FROM b JOIN documents ON doc = doc_id WHERE lang IN ('en') AND n_chars BETWEEN 500 AND 3000 ORDER BY points DESC, doc LIMIT 10")
+def search_bm25_filtered(spark, d):
+    passing = table(spark, d, "documents").where("lang IN ('en') AND n_chars BETWEEN 500 AND 3000").select(F.col("doc_id").alias("doc"))
+    return search.best(search.bm25(index(spark, d), ASKED).join(passing, "doc", "left_semi")).select("doc", "points")
+
+
+@query(SCORED + "SELECT least(count(*), 10000) AS count, count(*) > 10000 AS at_least FROM b")
+def search_total(spark, d):
+    return search.total(search.bm25(index(spark, d), ASKED))
+
+
+@query(f"WITH {TERMS} SELECT term, count(*) AS df FROM p WHERE starts_with(term, 'thin') AND term <> 'thin' GROUP BY term ORDER BY df DESC, term LIMIT 64")
+def search_prefix_words(spark, d):
+    i = index(spark, d)
+    return i.where(F.startswith("term", F.lit("thin")) & (F.col("term") != "thin")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(search.PREFIX_WORDS)
+
+
+@query()
+def search_prefix_last(spark, d):
+    """Words and the prefix of the last one."""
+    return search.best(search.bm25(index(spark, d), ["the"], "thin"))
+
+
+@query(f"""WITH {TERMS}, v AS (SELECT term, count(*) AS df, damerau_levenshtein(term, 'thtioned') AS e FROM p GROUP BY term), c AS (SELECT * FROM v WHERE e = 1 AND abs(length(term) - 8) <= 1)
+SELECT term, cast(e as integer) AS edits, df FROM c ORDER BY df DESC, term LIMIT 8""")
+def search_typo_corrected(spark, d):
+    return search.corrections(index(spark, d), "thtioned")
+
+
+@query()
+def search_matches(spark, d):
+    """Where the best hits hold the words."""
+    hits = search.best(search.bm25(index(spark, d), ASKED)).select(F.col("doc").alias("_doc"))
+    docs = table(spark, d, "documents").join(F.broadcast(hits), F.col("doc_id") == F.col("_doc"))  # ten rows
+    return search.matches(docs, "doc_id", "text", ASKED)
+
+
+@query()
+def search_unicode_postings(spark, d):
+    """The vocabulary under the full analyser."""
+    terms = search.words_column()
+    return search.postings(table(spark, d, "documents"), "doc_id", terms=terms).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def asked_vector(spark, d) -> list[float]:
+    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
+
+
+VECTORS = "v AS (SELECT vec_id AS doc, round(list_cosine_similarity(embedding::double[], (SELECT embedding::double[] FROM embeddings WHERE vec_id = 0)), 9) AS similarity FROM embeddings)"
+
+
+@query(f"WITH {VECTORS} SELECT doc, similarity FROM v ORDER BY similarity DESC, doc LIMIT 10")
+def vector_cosine_top10(spark, d):
+    near = search.cosine(table(spark, d, "embeddings"), "vec_id", "embedding", asked_vector(spark, d)).withColumn("similarity", F.round("similarity", 9))
+    return near.orderBy(F.desc("similarity"), "doc").limit(10)
+
+
+@query(f"WITH {VECTORS} SELECT doc FROM v WHERE similarity >= 0.2")
+def vector_min_similarity(spark, d):
+    return search.cosine(table(spark, d, "embeddings"), "vec_id", "embedding", asked_vector(spark, d)).where(F.round("similarity", 9) >= 0.2).select("doc")
+
+
+@query(SCORED + f""", {VECTORS}, a AS (SELECT doc, points / 4294967296.0::double AS s FROM b ORDER BY s DESC, doc LIMIT 100), c AS (SELECT doc, similarity AS s FROM v ORDER BY s DESC, doc LIMIT 100),
+w AS (SELECT doc, CASE WHEN max(s) OVER () = min(s) OVER () THEN 1.0 ELSE (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) END AS w FROM a),
+z AS (SELECT doc, CASE WHEN max(s) OVER () = min(s) OVER () THEN 1.0 ELSE (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) END AS z FROM c)
+SELECT doc, round(coalesce(w, 0) * 0.5 + coalesce(z, 0) * 0.5, 7) AS score FROM w FULL JOIN z USING (doc) ORDER BY score DESC, doc LIMIT 10""")
+def hybrid_fused_top10(spark, d):
+    near = search.cosine(table(spark, d, "embeddings"), "vec_id", "embedding", asked_vector(spark, d)).withColumn("similarity", F.round("similarity", 9))
+    return search.best(search.fused(search.bm25(index(spark, d), ASKED), near).withColumn("score", F.round("score", 7)))
+
+
+@query(SCORED + f""", {VECTORS}, a AS (SELECT doc, points / 4294967296.0::double AS s FROM b ORDER BY s DESC, doc LIMIT 100)
+SELECT doc, coalesce(similarity, -1.0) AS score FROM a LEFT JOIN v USING (doc) ORDER BY score DESC, s DESC, doc LIMIT 20""")
+def hybrid_rerank(spark, d):
+    near = search.cosine(table(spark, d, "embeddings"), "vec_id", "embedding", asked_vector(spark, d)).withColumn("similarity", F.round("similarity", 9))
+    return search.reranked(search.bm25(index(spark, d), ASKED), near).orderBy(F.desc("score"), F.desc("text_score"), "doc").limit(20).select("doc", "score")
+
+
+# --- state, changes, streams -----------------------------------------------------------------------------
+
+
+@query()
+def state_rate_limit_gcra(spark, d):
+    """Requests of each user, one in six hours with a burst of two."""
+    return state.gcra(table(spark, d, "events"), "user_id", "ts", 6 * 3600 * 1_000_000, 2)
+
+
+@query()
+def state_quota_windows(spark, d):
+    """Three uses a day and ten a week, windows beginning with the first use."""
+    day = 86400 * 1_000_000
+    return state.quota(table(spark, d, "events"), "user_id", "ts", [(day, 3), (7 * day, 10)])
+
+
+@query()
+def state_once(spark, d):
+    """A user's event that runs, at most one in a day."""
+    return state.once(table(spark, d, "events"), "user_id", "ts", "1 day")
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE ts <= timestamp '2024-01-20' AND ts + interval 2 day > timestamp '2024-01-20') WHERE n = 1")
+def state_ttl_alive(spark, d):
+    return state.alive(table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "2 days", "2024-01-20 00:00:00").select("user_id", "event_id", "ts")
+
+
+@query("SELECT event_id, cast(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 as integer) AS ahead FROM events")
+def state_ahead(spark, d):
+    return state.ahead(table(spark, d, "events"), ["ts", "event_id"], "event_type").select("event_id", "ahead")
+
+
+@query("SELECT user_id, cast(sum(cast(value * 100 as bigint)) as bigint) AS counter FROM events GROUP BY user_id")
+def state_counters(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("counter"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'removed' WHEN doc_id % 10 = 2 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 10 IN (1, 2, 3)")
+def change_feed_snapshot_diff(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.xxhash64("text").alias("digest"))
+    new = docs.where("doc_id % 10 <> 1").withColumn("n_chars", F.when(F.col("doc_id") % 10 == 3, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return state.changes(docs.where("doc_id % 10 <> 2"), new, "doc_id", ["n_chars", "digest"])
+
+
+@query("SELECT source, count(*) AS files, cast(sum(n_chars) as bigint) AS size FROM documents GROUP BY source")
+def blob_usage(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("size"))
+
+
+@query("SELECT event_type, date_trunc('day', ts)::timestamp AS bucket, count(*) AS events FROM events GROUP BY ALL")
+def stream_tumbling_count(spark, d):
+    return streams.run_once(streams.tumbling(streams.stream(spark, d, "events"), "ts", "1 day", ["event_type"]), "complete", "tumbling")
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedup(spark, d):
+    return streams.run_once(streams.seen_once(streams.stream(spark, d, "events"), ["event_id"], "ts"), "append", "dedup").select("event_id", "user_id")
+
+
+@query("SELECT event_id, ts < (SELECT max(ts) FROM events WHERE event_id % 2 = 0) - interval 10 day AS late FROM events WHERE event_id % 2 = 1")
+def stream_late_rows(spark, d):
+    e = table(spark, d, "events")
+    fresh, late = streams.late_rows(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "ts", "10 days")
+    return fresh.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+@query("SELECT cast(date_trunc('day', ts) as timestamp) AS day, count(*) AS events FROM events GROUP BY ALL")
+def schedule_occurrences(spark, d):
+    """Events by the occurrence of a daily schedule that they follow."""
+    e = table(spark, d, "events")
+    return e.groupBy(timegrid.bucket_start(F.col("ts"), "1 day").alias("day")).agg(F.count("*").alias("events"))
