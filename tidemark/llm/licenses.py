@@ -31,7 +31,7 @@ LEVEL = 3
 TRIED = 4
 NEAR_PERCENT = 20
 #: What a line that may mention a license holds, in lower case.
-MENTIONS = ("licen", "copyright", "rights reserved", "spdx", "public domain", "creative commons", "permission is hereby", "redistribution and use", "as is\"")
+MENTIONS = ("licen", "copyright", "rights reserved", "spdx", "public domain", "creative commons", "permission is hereby", "permission to use", "redistribution and use", "as is\"")
 
 #: (SPDX name, wording, words that must stay). Short notices as they are usually written.
 TEMPLATES = (
