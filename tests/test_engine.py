@@ -159,3 +159,95 @@ def test_every_query_with_sql_agrees_with_duckdb(spark):
         assert cols == sorted(want.columns), name
         at = [want.columns.index(c) for c in cols]
         assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == sorted(repr([r[i] for i in at]) for r in want.fetchall()), name
+
+
+# --- schedules, stems, keyboards, grids, joined lines, jobs ------------------------------------------------
+
+
+def test_cron_against_every_minute():
+    from datetime import UTC, datetime, timedelta
+    from zoneinfo import ZoneInfo
+
+    from tidemark.functions.cron import Cron
+
+    zone = ZoneInfo("Europe/Berlin")
+    for text, months in (("*/17 1-3 * * *", (3, 10)), ("30 2 * * sun", (3, 10)), ("5 0 13 * fri", (2,)), ("@hourly", (10,))):
+        cron = Cron(text)
+        for month in months:
+            at = datetime(2026, month, 24, tzinfo=UTC)
+            walls = {}
+            for m in range(9 * 24 * 60):  # the first instant of each wall minute
+                walls.setdefault((at + timedelta(minutes=m)).astimezone(zone).replace(tzinfo=None), at + timedelta(minutes=m))
+            names = [w for w in walls if cron.runs_on(w.date()) and (w.hour, w.minute) in cron.times]
+            want = {walls[w] for w in names}
+            if month == 3 and any(h == 2 for h, _ in cron.times) and cron.runs_on(datetime(2026, 3, 29).date()):
+                want.add(datetime(2026, 3, 29, 1, tzinfo=UTC))  # 02:xx doesn't exist; it runs at 03:00
+            end, got, t = at + timedelta(days=8), [], at - timedelta(minutes=1)
+            while (t := cron.next(zone, t)) and t < end:
+                got.append(t)
+            assert got == sorted(w for w in want if w < end), (text, month)
+    assert Cron("0 0 29 2 *").next(ZoneInfo("UTC"), datetime(2096, 3, 1, tzinfo=UTC)) == datetime(2104, 2, 29, tzinfo=UTC)
+    for bad in ("* * * *", "60 * * * *", "*/0 * * * *", "5-1 * * * *", "x * * * *"):
+        with pytest.raises(ValueError):
+            Cron(bad)
+
+
+def test_russian_stems():
+    from tidemark.functions.stem import russian
+
+    said = "вавиловка вавиловк важная важн важнейшие важн важничал важнича важность важност вагонами вагон валяется валя вдохновение вдохновен кончившийся конч павшую павш".split()
+    assert [russian(w) for w in said[::2]] == said[1::2]
+    assert russian("в") == "в" and russian("") == ""
+
+
+def test_stems_count_less_than_words(spark):
+    docs = spark.createDataFrame([(1, "книга"), (2, "книги"), (3, "дом")], "id long, text string")
+    index = search.postings(docs, "id", terms=search.stemmed_column())
+    assert {r["length"] for r in index.collect()} == {1}
+    found = {r["doc"]: r["score"] for r in search.bm25(index, search.stemmed("книга")).collect()}
+    assert set(found) == {1, 2} and found[1] > found[2] > 0
+
+
+def test_layouts_are_read_only_where_nothing_is_found(spark):
+    index = search.postings(spark.createDataFrame([(1, "python code"), (2, "крипто руку")], "id long, text string"), "id", terms=search.words_column())
+    assert search.retyped("rhbgnj", "en", "ru") == "крипто" and search.retyped("by;", "en", "ru") == "инж"
+    assert search.read_layouts(index, "знерщт code") == ("python code", True)
+    assert search.read_layouts(index, "rhbgnj") == ("крипто", True)
+    assert search.read_layouts(index, "code qqq") == ("code qqq", False)
+    assert search.read_layouts(index, "") == ("", False)
+
+
+def test_grid_bins_and_bounds(spark):
+    from tidemark.operators import metrics
+
+    values = [1.0, 1.05, 0.99, 1.414213562373095, 1.4142135623730951, 5e-324, 2.0**-1022, 1.7976931348623157e308, 3.0, 2.0, 4.0, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(metrics.grid_index(F.col("v"), 3)).collect()]
+    assert got[:5] == [0, 1, 0, 4, 5] and got[5:7] == [-8176, -8176] and got[7:] == [8192, 13, 8, 16, None]
+    bounds = df.where("v > 0 AND v < 1e300 AND v > 1e-300").select("v", metrics.grid_bound(metrics.grid_index(F.col("v"), 3), F.lit(3)).alias("up"), metrics.grid_bound(metrics.grid_index(F.col("v"), 3) - 1, F.lit(3)).alias("low"))
+    assert all(r["low"] < r["v"] <= r["up"] for r in bounds.collect())
+    bins = spark.createDataFrame([("a", 3, 1, 2), ("a", 3, 2, 1), ("a", 2, 1, 5), ("a", 1, 9, 0), ("a", 3, None, 4)], "k string, schema int, index int, c long")
+    merged = {(r["schema"], r["index"]): r["c"] for r in metrics.merged_grids(bins, ["k"]).collect()}
+    assert merged == {(2, 1): 8, (2, None): 4}
+    p = {x: metrics.grid_interval(metrics.merged_grids(bins, ["k"]), ["k"], x).first() for x in ("10", "95")}
+    assert (p["10"]["lower"], p["10"]["upper"], p["10"]["samples"]) == (0.0, 0.0, 12) and p["95"]["lower"] == 1.0
+
+
+def test_joined_lines_over_blocks(spark, monkeypatch):
+    lines = ["start", "Traceback (most recent call last):", '  File "a", line 1', "ValueError: bad", "next", None, "Caused by: x", *["\tat f"] * 7, "end"]
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)] + [("t", 0, "  alone")], "source string, n long, value string")
+    monkeypatch.setattr(formats, "MOST_JOINED", 5)
+    for block in (1, 3, 100):
+        monkeypatch.setattr(formats, "BLOCK", block)
+        got = {(r["source"], r["n"]): r["value"].split("\n") for r in formats.joined(df).collect()}
+        assert got == {("s", 0): lines[:4], ("s", 4): ["next"], ("s", 5): ["", "Caused by: x", *["\tat f"] * 3], ("s", 10): ["\tat f"] * 4, ("s", 14): ["end"], ("t", 0): ["  alone"]}
+
+
+def test_claims_and_outcomes(spark):
+    jobs = spark.createDataFrame([(1, 1, "a", 1), (2, 2, "a", 1), (3, 3, "a", 3), (4, 1, None, 1), (5, 1, None, 2), (6, 9, "b", 1)], "id long, s int, grp string, attempt long").withColumn("next", F.expr("timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, s)")).drop("s")
+    leases = spark.createDataFrame([(1, "2026-02-01"), (5, "2026-01-02")], "id long, until string").withColumn("until", F.col("until").cast("timestamp_ntz"))
+    take = lambda *a: [r["id"] for r in state.claimable(jobs, leases, "2026-01-05", *a).collect()]
+    assert take(10) == [4, 5, 2, 3] and take(10, 2) == [4, 5, 2] and take(10, 1) == [4, 5] and take(2) == [4, 5]
+    said = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, 3, False), (4, 7, True)], "id long, attempt long, ok boolean")
+    out = {r["id"]: (r["state"], r["attempt"], str(r["next"])) for r in state.settled(jobs, said, "2026-01-05", 3, 60, 90).collect()}
+    assert out[1] == ("done", 1, "None") and out[2] == ("waiting", 2, "2026-01-05 00:01:00") and out[3] == ("failed", 3, "None") and out[4][:2] == ("held", 1)

@@ -7,6 +7,8 @@ come from a window over each series, which sees the newest sample before the ran
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,3 +230,63 @@ def replace_range(held: DataFrame, new: DataFrame, series: dict[str, str], start
     for k, v in series.items():
         inside = inside & F.col(k).eqNullSafe(F.lit(v))
     return held.where(~inside).unionByName(new)
+
+
+# --- exponential grids -------------------------------------------------------------------------------
+
+# 2**(j/8 - 1), the fractions of the published table of bounds of schema 3.
+FRACTIONS = [
+    0.5,
+    0.5452538663326288,
+    0.5946035575013605,
+    0.6484197773255048,
+    0.7071067811865475,
+    0.7711054127039704,
+    0.8408964152537144,
+    0.9170040432046711,
+]
+FINEST = 3
+
+
+def grid_index(value: Column, schema: int) -> Column:
+    """The interval (bound(i - 1), bound(i)] of the grid that holds a value above 0; null for 0, an error below it."""
+    least = 2.0**-1022
+    v = F.greatest(value, F.lit(least))
+    # value = fraction * 2**e with a fraction from 0.5 to under 1; a logarithm that is off by one is set right.
+    e = F.floor(F.log2(v)) + 1
+    e = F.when(v >= F.pow(F.lit(2.0), F.least(e, F.lit(1023))), e + 1).otherwise(e)
+    e = F.when(v < F.pow(F.lit(2.0), e - 1), e - 1).otherwise(e)
+    fraction = v / F.pow(F.lit(2.0), e - 1) / 2
+    count = 1 << schema
+    steps = reduce(add, (F.when(fraction > f, 1).otherwise(0) for f in FRACTIONS[:: 1 << (FINEST - schema)]))
+    index = ((e - 1) * count + steps).cast("int")
+    return F.when(value > 0, index).when(value < 0, F.raise_error(F.lit("a timer holds no value below 0")))
+
+
+def grid_bound(index: Column, schema: Column) -> Column:
+    """bound(index) of a grid, from the table."""
+    finest = index * F.pow(F.lit(2), FINEST - schema).cast("int")
+    octave, j = F.floor(finest / 8), F.pmod(finest, F.lit(8))
+    return F.element_at(F.array(*(F.lit(f) for f in FRACTIONS)), (j + 1).cast("int")) * F.pow(F.lit(2.0), octave + 1)
+
+
+def merged_grids(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Bins (keys, schema, index, c) of several grids on the coarsest of each group: interval i lies in ceil(i / 2).
+
+    A bin that counts nothing doesn't coarsen the others.
+    """
+    held = bins.where("c > 0").groupBy(*keys, "schema", "index").agg(F.sum("c").alias("c"))
+    coarsest = held.groupBy(*keys).agg(F.min("schema").alias("_least"))
+    both = held.join(coarsest, keys)
+    shift = F.pow(F.lit(2), F.col("schema") - F.col("_least"))
+    return both.select(*keys, F.col("_least").alias("schema"), F.ceil(F.col("index") / shift).cast("int").alias("index"), "c").groupBy(*keys, "schema", "index").agg(F.sum("c").alias("c"))
+
+
+def grid_interval(bins: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """The interval of merged bins that holds a percentile: lower, upper and samples. The bin of 0 is its own interval."""
+    parts, whole = exact.rank_parts(p)
+    w = Window.partitionBy(*keys)
+    ranked = bins.withColumn("upto", F.sum("c").over(w.orderBy(F.col("index").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("c").over(w))
+    at = ranked.where((F.col("upto") * whole >= F.col("total") * parts) & ((F.col("upto") - F.col("c")) * whole < F.col("total") * parts))
+    zero = F.lit(0.0)
+    return at.select(*keys, F.coalesce(grid_bound(F.col("index") - 1, F.col("schema")), zero).alias("lower"), F.coalesce(grid_bound(F.col("index"), F.col("schema")), zero).alias("upper"), F.col("total").alias("samples"))

@@ -13,10 +13,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import russian
+
 K1, B = 1.2, 0.75
 POINTS = 2.0**32
 PREFIX_WEIGHT = 0.5
 PREFIX_WORDS = 64
+STEM_WEIGHT = 0.75
+#: What a stem begins with in the postings, so that it is no word.
+STEM = "\x01"
+#: Words of a question that prefix_every looks at.
+EVERY_WORDS = 8
 
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
 _TERM = regex.compile(r"[\p{L}\p{N}\p{M}'’.]+")
@@ -64,6 +71,20 @@ def words_column():
     return analysed
 
 
+def stemmed(text: str | None) -> list[str]:
+    """The words of a text, and the stems of its Cyrillic words, marked as such."""
+    found = words(text)
+    return found + [STEM + russian(w) for w in found if regex.search(r"\p{Cyrillic}", w)]
+
+
+def stemmed_column():
+    @F.pandas_udf("array<string>")
+    def analysed(s: pd.Series) -> pd.Series:
+        return s.map(stemmed)
+
+    return analysed
+
+
 def ascii_terms(text):
     """Terms of letters and digits a-z 0-9, inside the JVM."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
@@ -72,7 +93,7 @@ def ascii_terms(text):
 def postings(docs: DataFrame, key: str, text: str = "text", terms=None) -> DataFrame:
     """(doc, term, tf, length) of every document; documents without terms have none."""
     t = docs.select(F.col(key).alias("doc"), (terms or ascii_terms)(F.col(text)).alias("terms"))
-    t = t.withColumn("length", F.size("terms")).select("doc", "length", F.explode("terms").alias("term"))
+    t = t.withColumn("length", F.size(F.filter("terms", lambda w: ~F.startswith(w, F.lit(STEM))) if terms else "terms")).select("doc", "length", F.explode("terms").alias("term"))
     return t.groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
 
 
@@ -83,20 +104,46 @@ def statistics(index: DataFrame) -> DataFrame:
 
 def bm25(index: DataFrame, asked: list[str], prefix: str | None = None) -> DataFrame:
     """(doc, points, score) of the documents that hold any of the words, or a longer word of the last one's prefix."""
-    stats = statistics(index)
-    hits = index.where(F.col("term").isin(asked)) if asked else index.limit(0)
-    hits = hits.select("doc", "term", "tf", "length", F.lit(1.0).alias("weight"))
+    weight = F.when(F.startswith("term", F.lit(STEM)), STEM_WEIGHT).otherwise(1.0)
+    hits = (index.where(F.col("term").isin(asked)) if asked else index.limit(0)).select("doc", "term", "tf", "length", weight.alias("weight"))
     if prefix and len(prefix) >= 2:
-        longer = index.where(F.startswith("term", F.lit(prefix)) & (F.col("term") != prefix)).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(PREFIX_WORDS)
-        held = index.join(F.broadcast(longer.select("term")), "term")  # at most PREFIX_WORDS terms
-        held = held.groupBy("doc", "length").agg(F.sum("tf").alias("tf"))
-        hits = hits.unionByName(held.select("doc", F.lit(prefix + "*").alias("term"), "tf", "length", F.lit(PREFIX_WEIGHT).alias("weight")))
+        hits = hits.unionByName(_longer(index, prefix))
+    return _points(hits, index).groupBy("doc").agg(F.sum("points").alias("points")).withColumn("score", F.col("points") / POINTS)
+
+
+def _longer(index: DataFrame, prefix: str) -> DataFrame:
+    """Postings of the longer words of a prefix that most documents hold, as one term."""
+    held = index.where(F.startswith("term", F.lit(prefix)) & (F.col("term") != prefix))
+    most = held.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(PREFIX_WORDS)
+    held = held.join(F.broadcast(most.select("term")), "term")  # at most PREFIX_WORDS terms
+    held = held.groupBy("doc", "length").agg(F.sum("tf").alias("tf"))
+    return held.select("doc", F.lit(prefix + "*").alias("term"), "tf", "length", F.lit(PREFIX_WEIGHT).alias("weight"))
+
+
+def _points(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """hits (doc, term, tf, length, weight) with the points of each, by the statistics of the whole index."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))  # a row for each word that is asked for; one row
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(statistics(index)))  # a row for each word that is asked for; one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    points = F.floor(F.col("weight") * idf * sat * POINTS + 0.5).cast("long")
-    return scored.groupBy("doc").agg(F.sum(points).alias("points")).withColumn("score", F.col("points") / POINTS)
+    return scored.withColumn("points", F.floor(F.col("weight") * idf * sat * POINTS + 0.5).cast("long"))
+
+
+def prefix_every(index: DataFrame, asked: list[str]) -> DataFrame:
+    """(doc, every, points, score): each of the first words also matches longer words; documents that hold all of them
+    score more by the sum of each list's best, so that they come first."""
+    asked = list(dict.fromkeys(w for w in asked if len(w) >= 2))[:EVERY_WORDS]
+    if not asked:
+        return index.limit(0).select("doc", F.lit(False).alias("every"), F.lit(0).cast("long").alias("points"), F.lit(0.0).alias("score"))
+    hits = index.where(F.col("term").isin(asked)).select("doc", "term", "tf", "length", F.lit(1.0).alias("weight"))
+    for w in asked:
+        hits = hits.unionByName(_longer(index, w))
+    scored = _points(hits, index)
+    best = scored.groupBy("term").agg(F.max("points").alias("p")).agg(F.sum("p").alias("raise"))
+    by_doc = scored.groupBy("doc").agg(F.sum("points").alias("points"), F.count_distinct(F.rtrim("term", F.lit("*"))).alias("held")).join(F.broadcast(best))  # one row
+    every = F.col("held") == len(asked)
+    points = F.col("points") + F.when(every, F.col("raise")).otherwise(0)
+    return by_doc.select("doc", every.alias("every"), points.alias("points")).withColumn("score", F.col("points") / POINTS)
 
 
 def best(scored: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
@@ -137,6 +184,35 @@ def reranked(text: DataFrame, near: DataFrame, pool: int = 100) -> DataFrame:
     return top.join(near, "doc", "left").select("doc", F.coalesce("similarity", F.lit(-1.0)).alias("score"), "text_score")
 
 
+# --- keyboards ---------------------------------------------------------------------------------------
+
+# The characters of each layout, key by key, alone and with shift.
+LAYOUTS = {
+    "en": "`1234567890-=qwertyuiop[]\\asdfghjkl;'zxcvbnm,./" + '~!@#$%^&*()_+QWERTYUIOP{}|ASDFGHJKL:"ZXCVBNM<>?',
+    "ru": "ё1234567890-=йцукенгшщзхъ\\фывапролджэячсмитьбю." + 'Ё!"№;%:?*()_+ЙЦУКЕНГШЩЗХЪ/ФЫВАПРОЛДЖЭЯЧСМИТЬБЮ,',
+}
+
+
+def retyped(piece: str, there: str, here: str) -> str:
+    """What the same keys give on another layout."""
+    return piece.translate(str.maketrans(LAYOUTS[there], LAYOUTS[here]))
+
+
+def read_layouts(index: DataFrame, text: str, layouts: tuple[str, ...] = ("en", "ru")) -> tuple[str, bool]:
+    """A question as it is best read, and whether that differs: a piece none of whose words is held is read as typed on
+    another layout, if each word of that reading is held. The words of one question are looked up, nothing else."""
+    pieces = text.split()
+    ways = {p: [r for a in layouts for b in layouts if a != b and (r := retyped(p, a, b)) != p] for p in pieces}
+    asked = {w for p in pieces for t in (p, *ways[p]) for w in words(t)}
+    held = {r["term"] for r in index.where(F.col("term").isin(list(asked))).select("term").distinct().collect()} if asked else set()
+    out = []
+    for p in pieces:
+        if not held & set(words(p)):
+            p = next((r for r in ways[p] if words(r) and set(words(r)) <= held), p)
+        out.append(p)
+    return " ".join(out), out != pieces
+
+
 # --- typos -----------------------------------------------------------------------------------------
 
 

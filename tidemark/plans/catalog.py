@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact, timegrid
+from ..functions import cron, exact, timegrid
 from ..operators import search, state
-from ..operators.metrics import COUNTER, Metrics, ingest, interval, replace_range
+from ..operators.metrics import COUNTER, FRACTIONS, Metrics, grid_index, grid_interval, ingest, interval, merged_grids, replace_range
 from ..operators.records import Records, appended, filled
 from ..operators.tablequery import TableQuery, either, eq, every, is_in
 from ..session import ship
@@ -198,6 +198,35 @@ def prometheus_parse(spark, d):
     return formats.prometheus(table(spark, d, "nation").select(text.alias("value")), 0)
 
 
+def exponential(spark, d):
+    """Bins of each type and day: odd users at schema 2, the others at schema 3, as two writers keep them."""
+    s = samples(spark, d).withColumn("bucket", timegrid.bucket_start(F.col("at"), "1 day"))
+    odd = F.pmod(F.col("user").cast("long"), F.lit(2)) == 1
+    schema, index = F.when(odd, 2).otherwise(3), F.when(odd, grid_index(F.abs("value"), 2)).otherwise(grid_index(F.abs("value"), 3))
+    return s.groupBy("event_type", "bucket", schema.alias("schema"), index.alias("index")).agg(F.count("*").alias("c"))
+
+
+_GRID = ", ".join(f"({j}, {f!r}::double)" for j, f in enumerate(FRACTIONS))
+BINS = f"""WITH f(j, f) AS (VALUES {_GRID}), o AS (SELECT unnest(generate_series(-40, 40)) AS o),
+g AS (SELECT 3 AS schema, cast(o * 8 + j as integer) AS index, f * pow(2.0::double, o + 1) AS upper FROM f, o UNION ALL SELECT 2, cast(o * 4 + j // 2 as integer), f * pow(2.0::double, o + 1) FROM f, o WHERE j % 2 = 0),
+b AS (SELECT schema, index, upper, coalesce(lag(upper) OVER (PARTITION BY schema ORDER BY upper), 0.0) AS lower FROM g),
+k AS (SELECT user_id % 2 = 1 AS odd, event_type, {DAY} AS bucket, abs(value) AS v FROM events),
+c AS (SELECT event_type, bucket, CASE WHEN bool_or(odd) OVER (PARTITION BY event_type, bucket) THEN 2 ELSE 3 END AS schema, v FROM k),
+n AS (SELECT event_type, bucket, c.schema, index, coalesce(lower, 0.0) AS lower, coalesce(upper, 0.0) AS upper, count(*) AS c FROM c LEFT JOIN b ON c.schema = b.schema AND v > lower AND v <= upper GROUP BY ALL)
+"""
+
+
+@query(BINS + "SELECT event_type, bucket, schema, index, c FROM n")
+def metric_exponential_bins(spark, d):
+    return merged_grids(exponential(spark, d), ["event_type", "bucket"])
+
+
+@query(BINS + """, r AS (SELECT *, sum(c) OVER (PARTITION BY event_type, bucket ORDER BY upper) AS upto, sum(c) OVER (PARTITION BY event_type, bucket) AS total FROM n)
+SELECT event_type, bucket, lower, upper, cast(total as bigint) AS samples FROM r WHERE upto * 20 >= total * 19 AND (upto - c) * 20 < total * 19""")
+def metric_exponential_p95(spark, d):
+    return grid_interval(merged_grids(exponential(spark, d), ["event_type", "bucket"]), ["event_type", "bucket"], "95")
+
+
 # --- records -----------------------------------------------------------------------------------------
 
 K = "props->>'k'"
@@ -297,6 +326,17 @@ def record_message_search(spark, d):
     return Records(r).search("the").found().select("id", "name")
 
 
+@query("""SELECT role AS source, count(*) AS events, cast(sum(CASE WHEN turn % 2 = 0 THEN 3 ELSE 1 END) as bigint) AS lines FROM conversations GROUP BY role""")
+def record_joined_lines(spark, d):
+    """Turns as lines of a log, every other one with a trace of two lines, joined again."""
+    c = table(spark, d, "conversations").select("role", "conv_id", "turn")
+    trace = F.array(F.lit("request failed"), F.lit('  File "app.py", line 3, in handle'), F.lit("ValueError: bad input"))
+    c = c.select("role", "conv_id", "turn", F.posexplode(F.when(F.col("turn") % 2 == 0, trace).otherwise(F.array(F.lit("ok")))).alias("i", "value"))
+    numbered = c.select(F.col("role").alias("source"), (F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn", "i")) - 1).cast("long").alias("n"), "value")
+    found = formats.joined(numbered)
+    return found.groupBy("source").agg(F.count("*").alias("events"), F.sum(F.size(F.split("value", "\n"))).alias("lines"))
+
+
 # --- tables ------------------------------------------------------------------------------------------
 
 
@@ -436,6 +476,29 @@ def search_typo_corrected(spark, d):
     return search.corrections(index(spark, d), "thtioned")
 
 
+@query(SCORED + "SELECT doc, points FROM b ORDER BY points DESC, doc LIMIT 10")
+def search_layouts(spark, d):
+    """The question as the same keys give on a Russian layout, read back."""
+    i = index(spark, d)
+    asked, _ = search.read_layouts(i, " ".join(search.retyped(w, "en", "ru") for w in ASKED))
+    return search.best(search.bm25(i, search.words(asked))).select("doc", "points")
+
+
+_EVERY = "', '".join(["the", "thin"])
+
+
+@query(f"""WITH {TERMS}, s2 AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc, length FROM x)),
+a AS (SELECT unnest(['{_EVERY}']) AS ask),
+l AS (SELECT ask, term FROM (SELECT ask, term, row_number() OVER (PARTITION BY ask ORDER BY count(*) DESC, term) AS r FROM p JOIN a ON starts_with(term, ask) AND term <> ask GROUP BY ask, term) WHERE r <= 64),
+h AS (SELECT doc, length, ask, ask AS term, tf, 1.0::double AS weight FROM p JOIN a ON term = ask UNION ALL SELECT doc, length, ask, ask || '*', cast(sum(tf) as bigint), 0.5::double FROM p JOIN l USING (term) GROUP BY doc, length, ask),
+f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+o AS (SELECT doc, ask, term, cast(floor(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (1.2::double + 1) / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * length / mean))) * 4294967296.0::double + 0.5) as bigint) AS points FROM h JOIN f USING (term), s2),
+m AS (SELECT cast(sum(q) as bigint) AS raise FROM (SELECT max(points) AS q FROM o GROUP BY term))
+SELECT doc, count(DISTINCT ask) = 2 AS every, cast(sum(points) + CASE WHEN count(DISTINCT ask) = 2 THEN any_value(raise) ELSE 0 END as bigint) AS points FROM o, m GROUP BY doc ORDER BY points DESC, doc LIMIT 10""")
+def search_prefix_every(spark, d):
+    return search.best(search.prefix_every(index(spark, d), ["the", "thin"])).select("doc", "every", "points")
+
+
 @query()
 def search_matches(spark, d):
     """Where the best hits hold the words."""
@@ -517,6 +580,45 @@ def state_ahead(spark, d):
     return state.ahead(table(spark, d, "events"), ["ts", "event_id"], "event_type").select("event_id", "ahead")
 
 
+def jobs(spark, d) -> DataFrame:
+    """Orders as jobs: due on their date, grouped by priority."""
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("next"), F.col("o_orderpriority").alias("grp"), (F.col("o_orderkey") % 3 + 1).alias("attempt"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, o_orderdate AS next, o_orderpriority AS grp FROM orders), l AS (SELECT id FROM j WHERE id % 500 = 0),
+r AS (SELECT grp, count(*) AS running FROM j JOIN l USING (id) GROUP BY grp),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY next, id) AS n FROM j WHERE next <= timestamp '1997-01-01' AND id NOT IN (SELECT id FROM l))
+SELECT id, next, grp FROM n LEFT JOIN r USING (grp) WHERE n + coalesce(running, 0) <= 40 ORDER BY next, id LIMIT 100""")
+def job_claim(spark, d):
+    j = jobs(spark, d)
+    leases = j.where("id % 500 = 0").select("id", F.lit("1999-01-01").cast("timestamp_ntz").alias("until"))
+    return state.claimable(j, leases, "1997-01-01", 100, 40).select("id", "next", "grp")
+
+
+@query("""SELECT CASE WHEN o_orderkey % 5 > 2 THEN 'held' WHEN o_orderkey % 5 = 0 THEN 'done' WHEN o_orderkey % 3 = 2 THEN 'failed' ELSE 'waiting' END AS state, count(*) AS jobs,
+ max(CASE WHEN o_orderkey % 5 IN (1, 2) AND o_orderkey % 3 < 2 THEN timestamp '1998-01-01' + to_seconds(cast(60 * pow(2, o_orderkey % 3) as integer)) END) AS again FROM orders GROUP BY 1""")
+def job_settle(spark, d):
+    j = jobs(spark, d)
+    said = j.where("id % 5 < 3").select("id", "attempt", (F.col("id") % 5 == 0).alias("ok"))
+    out = state.settled(j, said, "1998-01-01", 3, 60, 3600)
+    return out.groupBy("state").agg(F.count("*").alias("jobs"), F.max(F.when(F.col("state") == "waiting", F.col("next"))).alias("again"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 500 = 0 THEN 'running' WHEN o_orderdate <= timestamp '1997-01-01' THEN 'waiting' ELSE 'scheduled' END AS state, count(*) AS jobs FROM orders GROUP BY 1""")
+def job_counts(spark, d):
+    held = F.when(F.col("id") % 500 == 0, "running").when(F.col("next") <= F.lit("1997-01-01").cast("timestamp_ntz"), "waiting").otherwise("scheduled")
+    return jobs(spark, d).groupBy(held.alias("state")).agg(F.count("*").alias("jobs"))
+
+
+@query("""SELECT event_id, (CASE WHEN ts < d + interval 190 minute THEN d ELSE d + interval 1 day END + interval 190 minute - interval 330 minute)::timestamp AS next FROM (
+ SELECT event_id, ts + interval 330 minute AS ts, date_trunc('day', ts + interval 330 minute)::timestamp AS d FROM events)""")
+def schedule_cron_next(spark, d):
+    """The next run of a daily job on India's clock after each event."""
+    following = cron.next_column("10 3 * * *", "Asia/Kolkata")
+    return table(spark, d, "events").select("event_id", following(F.col("ts")).alias("next"))
+
+
 @query("SELECT user_id, cast(sum(cast(value * 100 as bigint)) as bigint) AS counter FROM events GROUP BY user_id")
 def state_counters(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("counter"))

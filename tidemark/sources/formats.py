@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SAMPLE = re.compile(r'([A-Za-z_:][\w:]*)\s*(?:\{(.*?)\}(?=\s))?\s*(\S+)(?:\s+(-?[\d.]+))?\s*(?:#.*)?$')
@@ -100,5 +100,29 @@ def lines(df: DataFrame) -> DataFrame:
     return df.select("value").mapInPandas(run, "level long, message string, fields string")
 
 
+#: Lines of one event at most, and lines of a file that are numbered in one task.
+MOST_JOINED, BLOCK = 1000, 65_536
+#: Lines that go on with the event before them.
+_GOES_ON = r"^(?:[ \t]|Caused by: |Traceback \(most recent call last\):|goroutine |[A-Za-z_][\w.$]*(?:Error|Exception|Warning)(?::|$))"
+
+
+def joined(numbered: DataFrame) -> DataFrame:
+    """Lines (source, n dense from 0, value) with the lines of a stack trace or traceback joined: source, n of the first, value.
+
+    The first line of each line's event is a running maximum: within blocks of lines, then over one row for each
+    block, so that no task holds a whole file. A null line counts as empty.
+    """
+    value = F.coalesce("value", F.lit(""))
+    starts = F.when(~value.rlike(_GOES_ON) | (F.col("n") == 0), F.col("n"))
+    rows = numbered.select("source", "n", value.alias("value"), starts.alias("_start"), F.floor(F.col("n") / BLOCK).alias("_block"))
+    blocks = rows.groupBy("source", "_block").agg(F.max("_start").alias("_last"))
+    before = blocks.select("source", "_block", F.max("_last").over(Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = F.max("_start").over(Window.partitionBy("source", "_block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    led = rows.withColumn("_lead", inside).join(before, ["source", "_block"]).withColumn("_lead", F.coalesce("_lead", "_carried"))
+    led = led.withColumn("_lead", F.col("_lead") + F.floor((F.col("n") - F.col("_lead")) / MOST_JOINED) * MOST_JOINED)
+    parts = led.groupBy("source", F.col("_lead").alias("n")).agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("_lines"))  # MOST_JOINED lines at most
+    return parts.select("source", "n", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("value"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark.read.text(path).select(F.col("value")))
