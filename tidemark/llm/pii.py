@@ -8,7 +8,9 @@ the format are the tweak, so that no pattern carries over from one format to ano
 
 Kinds: email (letters and digits of the address, its top-level domain kept), ip (IPv4), card, iban, ssn,
 phone (international, or with an area code in brackets; the country code kept), date (years 1900 to 2099,
-the form kept), secret (access keys, and values of password=, secret=, token= and api_key=).
+the form kept), secret (access keys, and values of password=, secret=, token= and api_key=, with "=" or ":",
+the value bare or in quotes, the name in quotes as in JSON; in quotes all that they hold up to the end of
+the line is the value, and the quotes and escapes stay).
 
 A null text stays null; empty texts are unchanged. Texts of any length are searched whole. Repeated rows
 give repeated results. Columns that are named like results are replaced. Values that fail validation are
@@ -38,10 +40,12 @@ KINDS = ("email", "ip", "card", "iban", "ssn", "phone", "date", "secret")
 _FIRST, _LAST = date(1900, 1, 1), date(2099, 12, 31)
 _DAYS = (_LAST - _FIRST).days + 1
 
+#: Between the name of a secret and its value.
+_GIVES = r"[\"']?(?:[ \t]*|\s)[=:](?:[ \t]*|\s)"
 #: One pattern, tried from left to right; the kinds are named groups.
 PATTERN = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
-    r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)\s?[=:]\s?[A-Za-z0-9_+/.-]*[A-Za-z0-9_+/-])"
+    r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)" + _GIVES + r"(?:\"(?:[^\"\\\nA-Za-z0-9]|\\.)*+[A-Za-z0-9](?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\nA-Za-z0-9]|\\.)*+[A-Za-z0-9](?:[^'\\\n]|\\.)*+'|[\"']?[A-Za-z0-9_+/.-]*[A-Za-z0-9_+/-]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9./-]*[0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
@@ -85,7 +89,7 @@ class Pseudonyms:
 
     def characters(self, text: str, tweak: str) -> str:
         """Letters and digits permuted together within their classes; everything else stays."""
-        kinds = [26 if c.islower() else -26 if c.isupper() else 10 if c.isdigit() else 0 for c in text]
+        kinds = [0 if not c.isascii() else 26 if c.islower() else -26 if c.isupper() else 10 if c.isdigit() else 0 for c in text]
         value, size = 0, 1
         for c, k in zip(text, kinds):
             if k:
@@ -176,8 +180,14 @@ class Pseudonyms:
     def secret(self, v: str) -> str:
         if v.startswith("AKIA"):
             return "AKIA" + self.characters(v[4:], "secret|AKIA")
-        head = re.match(r"[A-Za-z_-]+\s?[=:]\s?", v)[0]
-        return head + self.characters(v[len(head) :], "secret")
+        head = re.match(r"[A-Za-z_-]+" + _GIVES + "[\"']?", v)[0]
+        body = v[len(head) :].removesuffix(head[-1] if head[-1] in "\"'" else "")
+        tail = v[len(head) + len(body) :]
+        parts = re.split(r"(\\(?:u[0-9A-Fa-f]{4}|.))", body)  # every second piece is an escape and stays
+        new, at = self.characters("".join(parts[::2]), "secret"), 0
+        for i in range(0, len(parts), 2):
+            parts[i], at = new[at : at + len(parts[i])], at + len(parts[i])
+        return head + "".join(parts) + tail
 
     def of(self, kind: str, value: str) -> str | None:
         at = (kind, value)
