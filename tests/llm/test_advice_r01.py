@@ -1,12 +1,14 @@
 """Cases that the review of round 1 found missing."""
 
+import random
 import re
+import textwrap
 
 import pytest
 
 pytest.importorskip("tiktoken")
 
-from tidemark.llm import common, pii  # noqa: E402
+from tidemark.llm import common, licenses, pii  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -38,3 +40,19 @@ def test_quoted_secrets(spark):
     assert sum(map(len, before.values())) == 13
     for r in found:
         assert r.n_secret >= len(before[r.doc_id]) and not any(x in r.text for x in before[r.doc_id])
+
+
+# --- 4
+
+
+def test_licenses_of_long_lines():
+    s, rng = licenses.Scanner(), random.Random(3)
+    prose = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(4000))
+    for spdx, text, _ in licenses.TEMPLATES:
+        assert [x[:4] for x in s.scan(f"{prose} {text} {prose}")] == [(0, 0, spdx, "exact")], text
+    two = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert [x[2:4] for x in s.scan(two)] == [("Apache-2.0", "exact"), ("MIT", "exact")]
+    far = s.scan(f"{two} {prose} I have a driving licence. {prose} Licenced under CC BY 4.0. {prose} Licensed under the BSD 3-Clause License, too")
+    assert [x[2:4] for x in far] == [("Apache-2.0", "exact"), ("MIT", "exact"), (None, "unknown"), ("CC-BY-4.0", "near"), ("BSD-3-Clause", "exact")]
+    assert [x[2:4] for x in s.scan(f"{prose} This work is licenced under the GNU General Public License, version 3. {prose}")] == [("GPL-3.0", "near")]
+    assert [x[2] for x in s.scan("This work is licensed under the GNU Lesser General Public License, version 3.")] == ["LGPL-3.0"]

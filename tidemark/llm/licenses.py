@@ -1,12 +1,15 @@
 """License scans by conditional compression (operator 4).
 
-Lines that mention a license, and paragraphs of several such lines, are candidate blocks. A block is
-compressed alone, and with each template as zstandard raw dictionary; templates are ranked by the
-bytes they save. The best are confirmed, in the order of the ranking, by exact wording: the template's
-words are looked for in the block, word by word, with A-Z in lower case and without punctuation at the
-ends of words. `exact` has all of them in a row; `near` differs in at most NEAR_PERCENT of the
-template's words, and keeps each of the words that tell the license apart (names and versions). A block
-that no template is confirmed for is `unknown`.
+Paragraphs with a line that mentions a license are candidate blocks. They are read in windows of REACH
+template lengths around their mentions, so that a block may be of any length. Overlapping pieces of a
+window are compressed alone, and with each template as zstandard raw dictionary, by the same parameters;
+templates are ranked by the bytes they save. The ranking orders equals and drops none: every template is
+confirmed by exact wording, that is, its words are looked for in the window, word by word, with A-Z in
+lower case and without punctuation at the ends of words. `exact` has all of them in a row; `near` differs
+in at most NEAR_PERCENT of the template's words, and keeps each of the words that tell the license apart
+(names and versions). Of places that overlap, exact ones come before near ones, fewer differences before
+more, and longer templates before shorter; the others are not reported. Mentions of a line that stand
+in no window with a confirmed place are `unknown`.
 
 Null, empty and license-free texts give no rows. A mention that repeats gives a row for each place, and
 repeated rows repeat theirs. Texts of any length are scanned whole; extra columns don't matter. Equal
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import gc
 import re
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -27,8 +32,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LEVEL = 3
-#: Templates that are tried for a block, best first.
-TRIED = 4
+#: Bytes that the compressors' parameters are made for, with and without a dictionary.
+FOR_BYTES = 1 << 14
+#: Words before and after a mention that are read, in lengths of the longest template; no place is longer than one half.
+REACH = 3
 NEAR_PERCENT = 20
 #: What a line that may mention a license holds, in lower case.
 MENTIONS = ("licen", "copyright", "rights reserved", "spdx", "public domain", "creative commons", "permission is hereby", "permission to use", "redistribution and use", "as is\"")
@@ -61,28 +68,33 @@ TEMPLATES = (
 )
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
+_TOKEN = re.compile(r"\S+")
+#: Mentions, also across line ends and the marks of comment lines.
+_MENTION = re.compile("|".join(re.escape(m).replace(r"\ ", r"[\s#*/;%-]+") for m in MENTIONS))
+#: A text without any of these has no mention.
+_SIGNS = ("licen", "copyright", "spdx", "reserved", "domain", "creative", "permission", "redistribution", "is\"")
 
 
 def words(text: str) -> list[str]:
     return [w for w in (_EDGE.sub("", x) for x in text.lower().split()) if w]
 
 
-def blocks(text: str | None) -> list[tuple[int, int, str]]:
-    """(first line, last line, block) of the candidates of a whole text."""
+def blocks(text: str | None) -> list[tuple[int, str]]:
+    """(first line, block) of the candidates of a whole text."""
     if not text:
         return []
     low = text.lower()
-    if not any(m in low for m in MENTIONS):
+    if not any(m in low for m in _SIGNS) or not _MENTION.search(low):
         return []
     lines, out, paragraph = text.split("\n"), [], []
     for i, line in enumerate([*lines, ""]):
-        if line.strip() and i < len(lines):
-            if any(m in line.lower() for m in MENTIONS):
-                out.append((i, i, line))
-                paragraph.append(i)
+        if line.strip():
+            paragraph.append(i)
             continue
-        if len(paragraph) > 1:
-            out.append((paragraph[0], paragraph[-1], "\n".join(lines[paragraph[0] : paragraph[-1] + 1])))
+        if paragraph:
+            mention = [i for i in paragraph if _MENTION.search(lines[i].lower())]
+            if mention:
+                out.append((mention[0], "\n".join(lines[mention[0] : mention[-1] + 1])))
         paragraph = []
     return out
 
@@ -90,57 +102,117 @@ def blocks(text: str | None) -> list[tuple[int, int, str]]:
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.templates = templates
-        self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        self.given = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in templates]
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=FOR_BYTES)
+        self.alone = zstandard.ZstdCompressor(compression_params=how)
+        self.given = [zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t, _ in templates]
         self.words = [words(t) for _, t, _ in templates]
+        self.counts = [Counter(w) for w in self.words]
         self.keys = [k.split() for _, _, k in templates]
+        self.reach = REACH * max(map(len, self.words), default=1)
 
     def ranked(self, block: str) -> list[tuple[int, int]]:
-        """(template, bytes saved), most saved first."""
+        """(template, bytes saved) of all templates, most saved first."""
         raw = block.encode("utf-8", "surrogatepass")
         size = len(self.alone.compress(raw))
-        saved = [(k, size - len(c.compress(raw))) for k, c in enumerate(self.given)]
-        return sorted((x for x in saved if x[1] > 0), key=lambda x: (-x[1], x[0]))
+        return sorted(((k, size - len(c.compress(raw))) for k, c in enumerate(self.given)), key=lambda x: (-x[1], x[0]))
 
-    def confirmed(self, k: int, block: list[str]) -> tuple[str, list[str], list[str]] | None:
-        """exact or near, with the words that are missing and those that are put in; None if it is neither."""
+    def near(self, k: int, block: list[str]) -> tuple[int, int, list[str], list[str]] | None:
+        """First and last word of the best likeness, the words that are missing and those that are put in; None if it is not near."""
         want = self.words[k]
         n = len(want)
-        for i in range(len(block) - n + 1):
-            if block[i : i + n] == want:
-                return "exact", [], []
-        if any(w not in block for w in self.keys[k]):
+        ops = SequenceMatcher(None, want, block, autojunk=False).get_opcodes()
+        same = [x for x in ops if x[0] == "equal"]
+        if not same:
             return None
-        match = SequenceMatcher(None, want, block, autojunk=False)
-        ops = [x for x in match.get_opcodes() if x[0] != "equal"]
+        ops = [x for x in ops if x[0] != "equal"]
         # What stands before the first and after the last shared word is other text.
         missing = [w for tag, a, b, _, _ in ops for w in want[a:b]]
         added = [w for tag, a, b, c, d in ops if 0 < c and d < len(block) and 0 < a and b < n for w in block[c:d]]
-        if 100 * max(len(missing), len(added)) <= NEAR_PERCENT * n:
-            return "near", missing, added
+        if 100 * max(len(missing), len(added)) <= NEAR_PERCENT * n and not any(w in missing for w in self.keys[k]):
+            return same[0][3], same[-1][4], missing, added
         return None
 
+    def places(self, here: list[str], order) -> list[tuple]:
+        """(first word, end, template, match, missing words, added words) of the places in here that don't overlap, in order.
+
+        order(k, word) is the rank of a template around that word.
+        """
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(here):
+            at.setdefault(w, []).append(i)
+        taken, out = bytearray(len(here)), []
+
+        def accept(found: list[tuple]) -> None:
+            for a, b, k, match, missing, added in sorted(found, key=lambda x: (len(x[4]) + len(x[5]), -len(self.words[x[2]]), order(x[2], x[0]), x[0])):
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
+                    out.append((a, b, k, match, missing, added))
+
+        accept([(i, i + len(w), k, "exact", [], []) for k, w in enumerate(self.words) if w for i in at.get(w[0], ()) if here[i : i + len(w)] == w])
+        while True:
+            found = []
+            for k, want in enumerate(self.words):
+                spots = [[i for i in at.get(w, ()) if not taken[i]] for w in self.keys[k]]
+                least = len(want) - len(want) * NEAR_PERCENT // 100
+                wide = len(want) + len(want) * NEAR_PERCENT // 100
+                for i in min(spots, key=len, default=()):  # a place holds this word, and is no longer than wide
+                    a = max(taken.rfind(1, 0, i) + 1, i - wide)
+                    b = min(e if (e := taken.find(1, i)) >= 0 else len(here), i + wide + 1)
+                    if (Counter(here[a:b]) & self.counts[k]).total() >= least and (x := self.near(k, here[a:b])):
+                        found.append((a + x[0], a + x[1], k, "near", x[2], x[3]))
+            if not found:
+                return sorted(out)
+            accept(found)
+
     def scan(self, text: str | None) -> list[tuple]:
-        """(first line, last line, license, match, bytes saved, missing words, added words) of each block."""
-        out, lines_known = [], set()
-        for a, b, block in blocks(text):
-            ranked, here = self.ranked(block), words(block)
-            # A template of which the block holds every word saves most; those next to it come after.
-            # The longer template is the more telling one where savings are equal in wording.
-            best = None
-            for k, saved in ranked[: max(TRIED, 1)]:
-                if found := self.confirmed(k, here):
-                    rank = (found[0] != "exact", len(found[1]) + len(found[2]), -len(self.words[k]))
-                    if best is None or rank < best[0]:
-                        best = (rank, k, saved, found)
-            if best is None:
-                if a == b:
-                    out.append((a, b, None, "unknown", ranked[0][1] if ranked else 0, [], []))
+        """(first line, last line, license, match, bytes saved, missing words, added words) of each place."""
+        out = []
+        for first, block in blocks(text):
+            low = block.lower()
+            raw = list(_TOKEN.finditer(block))
+            # Lower case changes lengths of a few signs, but no white space.
+            tokens = [(m.start(), w, r.start(), r.end()) for m, r in zip(_TOKEN.finditer(low), raw) if (w := _EDGE.sub("", m[0]))]
+            if not tokens:
                 continue
-            if a != b and lines_known.issuperset({(self.templates[best[1]][0])}):
-                continue  # the paragraph says what one of its lines has said
-            lines_known.add(self.templates[best[1]][0])
-            out.append((a, b, self.templates[best[1]][0], best[3][0], best[2], best[3][1], best[3][2]))
+            starts, here = [t[0] for t in tokens], [t[1] for t in tokens]
+            ends = [i for i, c in enumerate(low) if c == "\n"]
+            line = lambda i: bisect_right(ends, starts[i])
+            # The mentions of a line, apart where more than two reaches of other words lie between.
+            groups: list[list[int]] = []
+            for m in _MENTION.finditer(low):
+                i = max(0, bisect_right(starts, m.start()) - 1)
+                if groups and groups[-1][2] == line(i) and i - groups[-1][1] <= 2 * self.reach:
+                    groups[-1][1] = i
+                else:
+                    groups.append([i, i, line(i)])
+            windows: list[list[int]] = []
+            for a, b, _ in groups:
+                a, b = max(0, a - self.reach), min(len(here), b + self.reach + 1)
+                if windows and a <= windows[-1][1]:
+                    windows[-1][1] = b
+                else:
+                    windows.append([a, b])
+            rows, seen = [], bytearray(len(here))
+            for lo, hi in windows:
+                known: dict[int, dict[int, int]] = {}
+
+                def saved(i: int) -> dict[int, int]:
+                    """Templates in their ranking, with the bytes they save, of the piece that a place from word i on lies in."""
+                    j = (i - lo) // self.reach * self.reach + lo
+                    if j not in known:
+                        known[j] = dict(self.ranked(block[tokens[j][2] : tokens[min(hi, j + 2 * self.reach) - 1][3]]))
+                    return known[j]
+
+                for a, b, k, match, missing, added in self.places(here[lo:hi], lambda k, i: -saved(lo + i)[k]):
+                    a, b = a + lo, b + lo
+                    seen[a:b] = b"\1" * (b - a)
+                    rows.append((first + line(a), first + line(b - 1), self.templates[k][0], match, saved(a)[k], missing, added))
+                for a, b, at in groups:
+                    if lo <= a < hi:
+                        of_line = [i for i in range(max(lo, a - self.reach), min(hi, b + self.reach + 1)) if line(i) == at]
+                        if not any(seen[i] for i in of_line):
+                            rows.append((first + at, first + at, None, "unknown", max(0, *saved(a).values()), [], []))
+            out += sorted(rows, key=lambda x: x[:2])
         return out
 
 
