@@ -56,3 +56,21 @@ def test_licenses_of_long_lines():
     assert [x[2:4] for x in far] == [("Apache-2.0", "exact"), ("MIT", "exact"), (None, "unknown"), ("CC-BY-4.0", "near"), ("BSD-3-Clause", "exact")]
     assert [x[2:4] for x in s.scan(f"{prose} This work is licenced under the GNU General Public License, version 3. {prose}")] == [("GPL-3.0", "near")]
     assert [x[2] for x in s.scan("This work is licensed under the GNU Lesser General Public License, version 3.")] == ["LGPL-3.0"]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices(mark):
+    s = licenses.Scanner()
+    for spdx, text, _ in licenses.TEMPLATES:
+        if len(text) < 100 or spdx.startswith("Apache"):
+            continue
+        for width in (30, 70, 80):
+            lines = textwrap.wrap(text + " and the terms that follow in this file, which are many and long", width)
+            notice = "\n".join(mark + x for x in lines)
+            n = len(textwrap.wrap(text, width))
+            assert [x[:4] for x in s.scan(f"{notice}\n\nProse.\n\n{notice}")] == [(0, n - 1, spdx, "exact"), (len(lines) + 3, len(lines) + n + 2, spdx, "exact")]
+    short = "Released under the MIT License."
+    # A line that says it first is no reason to leave a notice out; one of the notice's own lines is.
+    mit = "\n".join(textwrap.wrap(next(t for _, t, _ in licenses.TEMPLATES if t.startswith("Permission is hereby")), 60))
+    assert [x[:3] for x in s.scan(f"{short}\n\n{mit}")] == [(0, 0, "MIT"), (2, 5, "MIT")]
+    assert [x[:3] for x in s.scan(f"We made this.\n{short}\nEnjoy.")] == [(1, 1, "MIT")]

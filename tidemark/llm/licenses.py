@@ -91,10 +91,8 @@ def blocks(text: str | None) -> list[tuple[int, str]]:
         if line.strip():
             paragraph.append(i)
             continue
-        if paragraph:
-            mention = [i for i in paragraph if _MENTION.search(lines[i].lower())]
-            if mention:
-                out.append((mention[0], "\n".join(lines[mention[0] : mention[-1] + 1])))
+        if paragraph and _MENTION.search((block := "\n".join(lines[paragraph[0] : paragraph[-1] + 1])).lower()):
+            out.append((paragraph[0], block))
         paragraph = []
     return out
 
