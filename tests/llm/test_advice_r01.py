@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("tiktoken")
 
-from tidemark.llm import common, licenses, pii  # noqa: E402
+from tidemark.llm import common, jaccard, licenses, pii  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -74,3 +74,16 @@ def test_wrapped_notices(mark):
     mit = "\n".join(textwrap.wrap(next(t for _, t, _ in licenses.TEMPLATES if t.startswith("Permission is hereby")), 60))
     assert [x[:3] for x in s.scan(f"{short}\n\n{mit}")] == [(0, 0, "MIT"), (2, 5, "MIT")]
     assert [x[:3] for x in s.scan(f"We made this.\n{short}\nEnjoy.")] == [(1, 1, "MIT")]
+
+
+# --- 8
+
+
+def test_one_of_each_goes_by_set(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    # Of the rows without an id one links; a second doc_id has two texts, and was kept for b's group.
+    rows = [(1, a), (None, a + " end"), (None, c), (None, None), (3, b), (3, a + " and"), (5, b + " end"), (5, b + " end"), (6, "few words"), (6, b + " 6"), (7, "")]
+    left = jaccard.one_of_each(docs(spark, rows)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, a), (None, c), (None, None), (3, b), (6, "few words"), (7, "")], key=str)
+    assert left[0].__fields__ == ["doc_id", "text"]
+    assert jaccard.one_of_each(docs(spark, rows[2:4])).count() == 2
