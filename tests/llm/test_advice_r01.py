@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("tiktoken")
 
-from tidemark.llm import common, jaccard, licenses, pii  # noqa: E402
+from tidemark.llm import common, jaccard, licenses, pii, quality  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -87,3 +87,29 @@ def test_one_of_each_goes_by_set(spark):
     assert sorted(map(tuple, left), key=str) == sorted([(1, a), (None, c), (None, None), (3, b), (6, "few words"), (7, "")], key=str)
     assert left[0].__fields__ == ["doc_id", "text"]
     assert jaccard.one_of_each(docs(spark, rows[2:4])).count() == 2
+
+
+# --- 5
+
+
+def test_parts_of_bad_text(spark):
+    zstandard = pytest.importorskip("zstandard")
+    press, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(2)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = lambda n: " ".join("".join(rng.choice(signs) for _ in range(9)) for _ in range(n // 10 + 1))[:n]
+    rows = [r.text for r in common.table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
+    clean = [t for t in rows if t and t.isascii() and quality.base_counts(t)[0] >= 50 and not quality.base_counts(t)[4] * 5 > quality.base_counts(t)[0]]
+    prose = "\n".join(clean)
+    advert = "Buy the best lamps of town at Miller's today, open until nine. "
+    kept = lambda t: quality.judge(t, press)[-1]
+    for n in (600, 800, 1500, 3000, 6000, 12000, 60000):
+        assert kept(prose[:n])
+        assert not kept(noise(n)), n
+        if n >= 3000:
+            half = n // 2
+            assert not kept(prose[:half] + noise(half)), n
+            bad = quality.judge(prose[:half] + (advert * 1000)[:half], press)
+            assert not bad[-1] and bad[9] > quality.CHUNKS_OUT * bad[8], n  # also by the chunks alone
+    assert quality.judge(prose[: 4 * 4096] + noise(3000), press)[8:10] == (5, 1)  # the last chunk counts
+    assert quality.chunks(16384 + 200) == [0, 4096, 8192, 12288, 16584] and quality.chunks(700) == [0, 700]
+    assert all(map(kept, clean))

@@ -2,12 +2,14 @@
 
 The base counts come first; a text that passes them is compressed with zstandard, whole and in chunks
 of a fixed size, and is rejected where a ratio (compressed bytes to bytes) leaves the band for its
-length: below it the text repeats itself, above it it looks like noise. Chunks catch a long text that
-is bad in most of its parts though its whole ratio is ordinary.
+length: below it the text repeats itself, above it it looks like noise. Chunks catch a text that is bad
+in many of its parts though its whole ratio is ordinary.
 
 A null text has no words and fails the base; an empty or blank one too. Repeated rows give repeated
-results. Whole texts are judged, however long; a chunk is CHUNK bytes, and only chunks of the whole
-size are judged apart. kept is never null.
+results. Whole texts are judged, however long. A chunk is CHUNK bytes; for shorter texts half of that, and
+half again, so that they have FEWEST_CHUNKS, but no less than LEAST_CHUNK; a shorter text is one chunk.
+The last chunk is what is left, and is judged too; less than LEAST_LAST bytes go with the chunk before.
+Under about 256 bytes noise and prose are too close to be told apart. kept is never null.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from pyspark.sql import DataFrame
 from . import common
 
 LEVEL = 3
-#: Bytes of a chunk.
-CHUNK = 4096
+#: Bytes of a chunk, and of the least one; chunks of a text that is long enough; bytes of the least last chunk.
+CHUNK, LEAST_CHUNK, FEWEST_CHUNKS, LEAST_LAST = 4096, 512, 4, 256
 #: Lengths (bytes) at which the next band begins, and each band's least and greatest whole ratio.
 #: Short texts compress little, so their bands lie high; long ones have seen their words before.
 BAND_FROM = (0, 256, 512, 1024, 2048, 4096, 8192, 32768)
 BANDS = ((0.30, 1.20), (0.30, 0.92), (0.33, 0.85), (0.30, 0.80), (0.28, 0.75), (0.26, 0.72), (0.24, 0.70), (0.20, 0.70))
-#: The band of a chunk's ratio, and the share of chunks that may leave it.
-CHUNK_BAND = (0.10, 0.75)
-CHUNKS_OUT = 0.5
+#: The least ratio of a chunk; its greatest is NOISE[0] + NOISE[1] / bytes, which runs below words of random
+#: letters and digits (0.737 + 50 / bytes as measured); and the share of chunks that may leave the band.
+CHUNK_LOW = 0.20
+NOISE = (0.66, 55)
+CHUNKS_OUT = 0.25
 #: The base: fewest words, and the greatest percentage of words in repeated windows.
 FEWEST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -77,16 +81,29 @@ def band(n_bytes: int) -> tuple[float, float]:
     return BANDS[bisect_right(BAND_FROM, n_bytes) - 1]
 
 
+def chunks(n_bytes: int) -> list[int]:
+    """Where the chunks of a text of so many bytes (some) begin, and its end."""
+    size = CHUNK
+    while size > LEAST_CHUNK and n_bytes < FEWEST_CHUNKS * size:
+        size //= 2
+    at = list(range(0, n_bytes, size))
+    if len(at) > 1 and n_bytes - at[-1] < LEAST_LAST:
+        at.pop()
+    return [*at, n_bytes]
+
+
 def ratios(raw: bytes, press: zstandard.ZstdCompressor) -> tuple[float | None, int, int]:
-    """The whole ratio, the number of whole chunks, and how many of them leave the chunk band."""
+    """The whole ratio, the number of chunks, and how many of them leave the chunk band."""
     if not raw:
         return None, 0, 0
-    whole, out, n = len(press.compress(raw)) / len(raw), 0, 0
-    if len(raw) >= 2 * CHUNK:
-        for i in range(0, len(raw) - CHUNK + 1, CHUNK):
-            n += 1
-            out += not CHUNK_BAND[0] <= len(press.compress(raw[i : i + CHUNK])) / CHUNK <= CHUNK_BAND[1]
-    return whole, n, out
+    size = len(press.compress(raw))
+    at = chunks(len(raw))
+    if len(at) == 2:
+        sizes = [size]
+    else:
+        sizes = [len(press.compress(raw[a:b])) for a, b in zip(at, at[1:])]
+    out = sum(not CHUNK_LOW * (b - a) <= x <= NOISE[0] * (b - a) + NOISE[1] for x, a, b in zip(sizes, at, at[1:]))
+    return size / len(raw), len(sizes), out
 
 
 def judge(text: str | None, press: zstandard.ZstdCompressor) -> tuple:
