@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("tiktoken")
 
-from tidemark.llm import common, jaccard, licenses, pii, quality  # noqa: E402
+from tidemark.llm import common, jaccard, licenses, pii, quality, wrapper  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -113,3 +113,22 @@ def test_parts_of_bad_text(spark):
     assert quality.judge(prose[: 4 * 4096] + noise(3000), press)[8:10] == (5, 1)  # the last chunk counts
     assert quality.chunks(16384 + 200) == [0, 4096, 8192, 12288, 16584] and quality.chunks(700) == [0, 700]
     assert all(map(kept, clean))
+
+
+# --- 7
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_copies_of_a_page_make_no_template(spark):
+    page = "<div><h1>Title</h1><p>All of the text</p></div>"
+    rows = [(1, "http://h/a", page), (2, "http://h/b", page), (2, "http://h/b", page), (3, None, page), (4, "x", page), (5, None, page)]
+    rows += [(6, "http://g/a", page + '<div class="ad">x</div>'), (7, "http://g/b", page + '<div class="ad">y</div>'), (8, "http://g/c", page + "<script>1</script>")]
+    got = wrapper.extracted(spark.createDataFrame(rows, PAGES)).collect()
+    assert len(got) == 9 and {(r.text, r.n_chars) for r in got} == {("Title All of the text", 21)}
+    # Three pages that differ have a template; a page that is nothing else keeps its text.
+    rows = [(i, "http://h/", f"<div><b>Since 1999</b><p>one {i}<p>two {i}</div>") for i in range(3)]
+    got = wrapper.extracted(spark.createDataFrame(rows, PAGES)).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"one {i} two {i}" for i in range(3)}
+    region = wrapper.regions({"d": ["a", "b", "c"], "k": wrapper.wrapper_of("<div><b>Since 1999</b></div>")["k"]})
+    assert wrapper.extract("<div><b>Since 1999</b></div>", region) == "Since 1999"

@@ -12,8 +12,9 @@ The wrapper of its host says where a page's article lies. Elements of navigation
 sidebars, forms, scripts, adverts, notices and comments (by tag, role, class and id) hold none of it.
 Within the rest, the article is under <article> or <main>, if the wrapper has text there; else in the
 elements of the body whose texts are slots, that is, differ between pages; texts that every page of a
-host has (of three pages at least) are template, outside <article> and <main> only. A host with
-fewer pages has no template to go by, and all that the tags leave is the article.
+host has (of three pages at least, copies of a page counting once) are template, outside <article> and
+<main> only. A host with fewer pages has no template to go by, and all that the tags leave is the article;
+so it is for a page that would have no text left without its template.
 
 Character references are decoded; white space within a block becomes one space; blocks are joined by one
 space in the order of the page. Null and empty html give an empty text. Repeated rows give the same text
@@ -29,6 +30,7 @@ import json
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ CLOSES = {
 }
 #: What a closing by CLOSES doesn't reach beyond.
 SCOPES = frozenset("html body div section article aside nav header footer main table ul ol dl td th form blockquote figure li".split())
-#: Pages of a host from which a text that never differs is template.
+#: Different pages of a host from which a text that never differs is template.
 TEMPLATE_PAGES = 3
 
 _TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""")
@@ -115,7 +117,7 @@ def parse(html: str) -> Element:
     return root
 
 
-# --- wrappers: {"n": pages, "k": [sign, other, article?, [children]]}; a child is a list --------------------
+# --- wrappers: {"d": digests of different pages, TEMPLATE_PAGES at most, "k": [sign, other, article?, [children]]}; a child is a list --------------------
 # Element: ["e", sign, other, optional, repeated, children]; text: ["t", constant or None (a slot), optional].
 
 
@@ -188,12 +190,33 @@ def align(a: list, b: list) -> list:
     return out
 
 
+def _digest(root: Element) -> str:
+    """A page's token stream by name; what is not the article's makes no difference."""
+    out: list[str] = []
+
+    def walk(e: Element) -> None:
+        for c in e.children:
+            if isinstance(c, str):
+                if text := " ".join(c.split()):
+                    out.append(text)
+            elif c.name not in VOID and c.name not in RAW:
+                out.append("<" + c.sign)
+                if not c.other:
+                    walk(c)
+                out.append(">")
+
+    walk(root)
+    return xxhash.xxh3_128_hexdigest("\0".join(out).encode("utf-8", "surrogatepass"))
+
+
 def merged(a: dict | None, b: dict) -> dict:
-    return b if a is None else {"n": a["n"] + b["n"], "k": align(a["k"], b["k"])}
+    return b if a is None else {"d": sorted({*a["d"], *b["d"]})[:TEMPLATE_PAGES], "k": align(a["k"], b["k"])}
 
 
 def wrapper_of(html: str | None) -> dict:
-    return {"n": 1, "k": _kids(parse(html)) if html else []}
+    root = parse(html or "")
+    kids = _kids(root)
+    return {"d": [_digest(root)], "k": kids}
 
 
 def regions(wrapper: dict) -> dict:
@@ -211,7 +234,7 @@ def regions(wrapper: dict) -> dict:
                 walk(c[5], f"{path}/{c[1]}", inside or c[1].split(".")[0] in ARTICLE)
 
     walk(wrapper["k"], "", False)
-    return {"article": found[0], "template": constant if wrapper["n"] >= TEMPLATE_PAGES else {}}
+    return {"article": found[0], "template": constant if len(wrapper["d"]) >= TEMPLATE_PAGES else {}}
 
 
 # --- extraction ---------------------------------------------------------------------------------------
@@ -223,7 +246,7 @@ def extract(html: str | None, region: dict | None) -> str:
         return ""
     root = parse(html)
     if region is None:
-        region = regions({"n": 1, "k": _kids(root)})
+        region = regions({"d": [""], "k": _kids(root)})
     template = region["template"]
     blocks: list[str] = []
     line: list[str] = []
@@ -258,6 +281,10 @@ def extract(html: str | None, region: dict | None) -> str:
     if not blocks and region["article"]:  # this page has no article element though its host has
         walk(root, "", False, False)
         end()
+    if not blocks and template:  # nothing on this page differs from its host's other pages
+        template = {}
+        walk(root, "", False, False)
+        end()
     return " ".join(blocks)
 
 
