@@ -132,3 +132,14 @@ def test_copies_of_a_page_make_no_template(spark):
     assert {r.page_id: r.text for r in got} == {i: f"one {i} two {i}" for i in range(3)}
     region = wrapper.regions({"d": ["a", "b", "c"], "k": wrapper.wrapper_of("<div><b>Since 1999</b></div>")["k"]})
     assert wrapper.extract("<div><b>Since 1999</b></div>", region) == "Since 1999"
+
+
+def test_icons_and_compound_classes():
+    for icon in ('<svg class="i" />', "<svg/>", "<math/>", "<iframe src='x'/>", '<svg viewBox="0 0 1 1"/><svg><path/></svg>', "<iframe/><p>lost?</p><iframe>raw</iframe>"):
+        want = "lost? a b" if "lost" in icon else "a b"
+        assert wrapper.extract(f"<div>{icon}<p>a</p><p>b</p></div>", None) == want, icon
+    assert wrapper.extract("<svg><title>t</title></svg><script src='x'/>var x;</script><iframe>raw</iframe><p>a", None) == "a"
+    for kept in ("content no-sidebar", "has-sidebar", "post-with-comments", "search-result", "page--sidebar", "content-sidebar", "ad-free", "no-comments"):
+        assert wrapper.extract(f'<div class="{kept}"><p>a</p></div>', None) == "a", kept
+    for gone in ("sidebar", "x ad", "site-footer", "cookie-banner", "ad-slot", "share-buttons", "comments-area", "comment-17", "sidebar_2", "Main-Menu"):
+        assert wrapper.extract(f'<div class="{gone}"><p>a</p></div><p>b', None) == "b", gone

@@ -39,15 +39,20 @@ from . import common, urlfilter
 #: Fixed sets of tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
+#: Elements of other vocabularies, which may close themselves.
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template textarea title svg math iframe object select button input menu dialog canvas audio video".split())
 ARTICLE = frozenset(("article", "main"))
-#: Words of class, id and role that name what is not the article.
+#: Classes, ids and roles that name what is not the article.
 OTHER = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social"
     " sidebar related recommended recommendations comment comments disqus reply replies respond breadcrumb breadcrumbs pagination pager menu nav navbar navigation navigations footer masthead toolbar widget login signup search"
     " contentinfo complementary skip".split()
 )
+#: Words by which a compound says something about the article ("has-sidebar"), and those that follow a word of OTHER in compounds that mean the same.
+ABOUT = frozenset("no not non has have with without hide show open enable allow is one two both left right content layout full".split())
+PARTS = frozenset("area bar block box button buttons container form icons inner item items link links list posts section slot unit widget wrap wrapper".split())
 #: Elements that a start tag closes, if they are open within the same block.
 CLOSES = {
     **dict.fromkeys("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 pre blockquote figure hr address fieldset".split(), ("p",)),
@@ -64,6 +69,14 @@ _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""(?is)(?:^|\s)hidden(?:\s|=|/|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 
 
+def names_other(token: str) -> bool:
+    """Whether a whole class, id or role names what is not the article: a word of OTHER, or a compound that means one."""
+    words = _WORD.findall(token.partition("--")[0])
+    if len(words) < 2:
+        return bool(words) and words[0] in OTHER
+    return ABOUT.isdisjoint(words) and (words[-1] in OTHER or (words[0] in OTHER and PARTS.issuperset(words[1:])))
+
+
 class Element:
     __slots__ = ("name", "sign", "other", "children")
 
@@ -103,15 +116,22 @@ def parse(html: str) -> Element:
                 if stack[i].name in SCOPES:
                     break
         words: list[str] = []
+        named = False
         if "=" in attrs:
             for x in _MARK.finditer(attrs):
-                words += _WORD.findall((x[2] or x[3] or x[4] or "").lower())
-        other = name in DROPPED or (name not in ("html", "body", "article", "main") and not OTHER.isdisjoint(words)) or bool(attrs and _HIDDEN.search(attrs))
+                for token in (x[2] or x[3] or x[4] or "").lower().split():
+                    words += _WORD.findall(token)
+                    named = named or names_other(token)
+        other = name in DROPPED or (name not in ("html", "body", "article", "main") and named) or bool(attrs and _HIDDEN.search(attrs))
         e = Element(name, ".".join([name, *sorted(set(words))]), other)
         stack[-1].children.append(e)
         if name in RAW:
-            end = re.compile(rf"(?i)</{re.escape(name)}\s*>").search(html, at)
-            at = end.end() if end else n
+            if attrs.endswith("/"):  # empty; but of elements that HTML doesn't let close themselves, an end tag of their own is heeded
+                end = None if name in FOREIGN else re.compile(rf"(?i)<(/?){name}(?=[\s/>])[^>]*>").search(html, at)
+                at = end.end() if end and end[1] else at
+            else:
+                end = re.compile(rf"(?i)</{re.escape(name)}\s*>").search(html, at)
+                at = end.end() if end else n
         elif name not in VOID and not attrs.endswith("/"):
             stack.append(e)
     return root
