@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("tiktoken")
 
-from tidemark.llm import common, jaccard, licenses, pii, quality, wrapper  # noqa: E402
+from tidemark.llm import common, jaccard, langid, licenses, pii, quality, urlfilter, wrapper  # noqa: E402
 
 DOCS = "doc_id long, text string"
 
@@ -143,3 +143,20 @@ def test_icons_and_compound_classes():
         assert wrapper.extract(f'<div class="{kept}"><p>a</p></div>', None) == "a", kept
     for gone in ("sidebar", "x ad", "site-footer", "cookie-banner", "ad-slot", "share-buttons", "comments-area", "comment-17", "sidebar_2", "Main-Menu"):
         assert wrapper.extract(f'<div class="{gone}"><p>a</p></div><p>b', None) == "b", gone
+
+
+# --- 2 and 6
+
+
+def test_all_languages_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, f"{x}{x}{x} text {x}", x) for i, x in enumerate(["aa", "bb", "cc", "dd", "ee", "aa", "bb"])]
+    langs, logs = langid.fit(spark.createDataFrame(rows, DOCS + ", lang string"))
+    assert langs == ["aa", "bb", "cc", "dd", "ee"] and logs.shape == (langid.BUCKETS, 5)
+
+
+def test_long_tags_are_links(spark):
+    html = f'<link data-x="{"y" * 5000}" rel="canonical" href="http://z.net/"><meta property="og:url" content="http://open.net/"'
+    page = spark.createDataFrame([(1, "http://s/0", html)], PAGES)
+    assert [tuple(r) for r in urlfilter.links(page).collect()] == [("s/0", "z.net/")]
+    assert urlfilter.verdicts(page).first().verdict == "block"

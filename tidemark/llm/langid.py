@@ -31,7 +31,7 @@ from .common import stored
 
 #: Training documents of a language at most.
 SAMPLE = 1000
-#: Languages that are told apart at most.
+#: Languages of a block; the training ids of a block are picked by one plan.
 LANGUAGES = 64
 #: Buckets of trigrams.
 BUCKETS = 1 << 16
@@ -66,13 +66,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages, and the log likelihood of each bucket in each. What reaches the driver is BUCKETS counts for each language."""
     spark = docs.sparkSession
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    langs = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
     # Ids alone are ranked; each limit is a top-k that tasks make partially.
-    picked = common.union_all(labelled.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for x in langs)
+    pick = lambda some: common.union_all(labelled.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for x in some)
+    picked = pick(langs) if len(langs) <= LANGUAGES else common.union_all(stored(pick(langs[i : i + LANGUAGES])) for i in range(0, len(langs), LANGUAGES))
     ids = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    texts = docs.join(F.broadcast(ids), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")  # at most sample * LANGUAGES ids
+    texts = docs.join(F.broadcast(ids), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")  # at most sample ids of each language
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -94,8 +94,8 @@ _QUOTED = r"""\s*=\s*["']?\s*([^"'\s>]+)"""
 
 def links(pages: DataFrame) -> DataFrame:
     """(src, dst): the nodes that canonical links and refreshes of pages (url, html) join."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]{0,4000}>)"), 1)
-    tag = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b|http-equiv\s*=\s*[\"']?\s*refresh|property\s*=\s*[\"']?og:url"))).alias("tag"))
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*+(?:>|\z))"), 1)  # an open tag ends with the page, so no start is read twice
+    tag = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(F.filter(tags, lambda t: F.endswith(t, F.lit(">")) & t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b|http-equiv\s*=\s*[\"']?\s*refresh|property\s*=\s*[\"']?og:url"))).alias("tag"))
     href = (
         F.when(F.col("tag").rlike("(?i)canonical"), F.regexp_extract("tag", r"(?is)\bhref" + _QUOTED, 1))
         .when(F.col("tag").rlike("(?i)refresh"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
