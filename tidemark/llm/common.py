@@ -46,10 +46,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode alone: no other machine would see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -135,11 +140,69 @@ def texts_of(batch, column: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+# --- joins that hold up under hot keys, by DataFrame operations only --------------------------------
+
+#: Groups with more than one HEAVY-th of the rows; there are fewer than HEAVY of them, whatever the data.
+HEAVY = 1000
+#: Words of 64 bits of the bitmap that a table is first filtered by.
+BITMAP_WORDS = 1 << 16
+
+
+def with_groups(rows: DataFrame, keys: list[str], *aggregates, where: str = "true") -> DataFrame:
+    """rows (stored; keys not null), each with the aggregates of its group, for the groups that satisfy where (`_c`: rows of the group).
+
+    Groups are pre-aggregated before they are shuffled. The heavy ones, fewer than HEAVY by their definition,
+    go back to their rows by broadcast, so that no key gathers its rows in one task; the others by a shuffle.
+    """
+    groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("_c"), *aggregates).where(where))
+    total = groups.agg(F.sum("_c")).first()[0] or 0
+    hot = F.col("_c") * HEAVY > total
+    heavy, light = groups.where(hot).drop("_c"), groups.where(~hot).drop("_c")
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+
+
+def split_by_bitmap(rows: DataFrame, key, wanted: DataFrame, wanted_key) -> tuple[DataFrame, DataFrame]:
+    """(rows of which the key may be among the wanted, rows of which it is not), without a shuffle of rows.
+
+    The wanted keys are bits of BITMAP_WORDS words, which are broadcast: their number is fixed, so is their
+    size. Beyond some millions of wanted keys the bitmap is full and tells nothing apart: then all rows may
+    be wanted, which is no less right. The two keys are columns of one type; null is a key like any other.
+    """
+    at = lambda k: F.pmod(F.xxhash64(k), F.lit(64 * BITMAP_WORDS))
+    bit = lambda x: F.expr(f"shiftleft(1L, CAST(`{x}` & 63 AS INT))")
+    word = lambda x: F.shiftright(F.col(x), 6)
+    bits = wanted.select(at(wanted_key).alias("_at")).groupBy(word("_at").alias("_word")).agg(F.bit_or(bit("_at")).alias("_bits"))
+    bits = stored(bits)
+    mine = fresh(rows, "_at", "_word", "_bits")
+    bits = bits.select(F.col("_word").alias(mine[1]), F.col("_bits").alias(mine[2]))
+    met = rows.withColumn(mine[0], at(key)).withColumn(mine[1], word(mine[0])).join(F.broadcast(bits), mine[1], "left")
+    on = F.coalesce(F.col(mine[2]).bitwiseAND(bit(mine[0])) != 0, F.lit(False))
+    return met.where(on).select(*map(quoted, rows.columns)), met.where(~on).select(*map(quoted, rows.columns))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 # --- connected components, by DataFrame operations only -------------------------------------------
 
 
-def _smallest_neighbour(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.min("v").alias("m"))
+def _stars(e: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a > 1 OR (a > 0 AND b > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,26 +211,22 @@ def components(edges: DataFrame) -> DataFrame:
     Large star: each node hands its larger neighbours to the smallest node it sees; small star does so
     with its smaller ones. The edges become stars around the smallest node of each component in a
     logarithmic number of rounds, however long the chains are. Every round is written to the shared
-    folder. Nulls are no nodes; an edge from a node to itself names the node.
+    folder; a hub's neighbours meet its smallest one by broadcast, not in one task. Nulls are no nodes;
+    an edge from a node to itself names the node.
     """
     e = edges.select(F.col("u"), F.col("v")).where("u IS NOT NULL AND v IS NOT NULL")
     alone = e.where("u = v").select(F.col("u").alias("node")).distinct()
     e = stored(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    said = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _smallest_neighbour(both).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_groups(both, ["u"], F.least(F.col("u"), F.min("v")).alias("m")).where("v > u")
+        large = stored(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # Here u > v everywhere. Small star: u and its smaller neighbours go to the smallest of them.
-        low = _smallest_neighbour(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = with_groups(large, ["u"], F.min("v").alias("m"))
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         after = stored(small.where("u <> v").distinct())
-        now = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)"))).first()
-        discard(e)
+        discard(e, large)
         e = after
-        if tuple(now) == said:
-            break
-        said = tuple(now)
     linked = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     singles = alone.join(linked.unionByName(roots).select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
