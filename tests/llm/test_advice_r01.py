@@ -130,7 +130,9 @@ def test_copies_of_a_page_make_no_template(spark):
     rows = [(i, "http://h/", f"<div><b>Since 1999</b><p>one {i}<p>two {i}</div>") for i in range(3)]
     got = wrapper.extracted(spark.createDataFrame(rows, PAGES)).collect()
     assert {r.page_id: r.text for r in got} == {i: f"one {i} two {i}" for i in range(3)}
-    region = wrapper.regions({"d": ["a", "b", "c"], "k": wrapper.wrapper_of("<div><b>Since 1999</b></div>")["k"]})
+    w = wrapper.wrapper_of("<div><b>Since 1999</b></div>")
+    w.digests = ["a", "b", "c"]
+    region = wrapper.Region(wrapper.regions(w))
     assert wrapper.extract("<div><b>Since 1999</b></div>", region) == "Since 1999"
 
 

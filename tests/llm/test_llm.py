@@ -174,7 +174,7 @@ def test_wrappers(spark):
     w = None
     for i in range(4):  # no <article>: what never differs is template
         w = wrapper.merged(w, wrapper.wrapper_of(f"<div><span>Since 1999</span><p>text {i}</p>" + "<ul><li>x</ul>" * (i % 2) + "</div>"))
-    assert wrapper.extract("<div><span>Since 1999</span><p>text 9</p></div>", wrapper.regions(w)) == "text 9"
+    assert wrapper.extract("<div><span>Since 1999</span><p>text 9</p></div>", wrapper.Region(wrapper.regions(w))) == "text 9"
     rows = [(1, "http://h/a", "<article>one</article>"), (2, "http://h/b", None), (3, None, ""), (4, "http://h/a", "<article>one"), (4, "http://h/a", "<article>one")]
     got = [(r.page_id, r.text, r.n_chars) for r in wrapper.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert sorted(got) == [(1, "one", 3), (2, "", 0), (3, "", 0), (4, "one", 3), (4, "one", 3)]
@@ -289,7 +289,8 @@ def test_the_pipeline_is_its_stages_by_brute_force(spark):
     rows = [tuple(r) for r in common.table(spark, D, "documents").select("doc_id", "text").collect()]
     bench = [tuple(r) for r in common.table(spark, D, "benchmark").select("item_id", "text").collect()]
     press = zstandard.ZstdCompressor(level=quality.LEVEL)
-    rows = [(i, t) for i, t in rows if quality.judge(t, press)[-1]]
+    limits = quality.fit(common.table(spark, D, "documents"), common.table(spark, D, "labels"))
+    rows = [(i, t) for i, t in rows if quality.judge(t, press, limits)[-1]]
     gone = slow_lines(rows, linedup.MIN_WORDS)
     rows = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in rows]
     rows = [(i, t) for i, t in rows if t.split() or not gone[i]]

@@ -4,7 +4,8 @@ The corpus is one sequence of line ids. The suffix that begins at each line gets
 doubling: rank 0 names its first line, and rank k+1 comes from the pair (rank k here, rank k at 2**k
 lines further on), so that two suffixes have equal rank k exactly if their first 2**k lines are equal.
 A rank is the place of the first suffix that has it, which saves a global sort and tells the first copy
-at once. A suffix whose prefix is met once only leaves the doubling (its prefix can't be repeated), so
+at once. Ranks are made from partial minima; lines that stand everywhere get theirs by broadcast, so that no
+task gathers a common line. A suffix whose prefix is met once only leaves the doubling (its prefix can't be repeated), so
 that the rounds work on repeated lines alone and stop at the depth that is asked for.
 
 Suffixes with a common prefix of m lines are an interval of the suffix array with a longest common
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 from .common import discard, stored
 
+#: Bits of the distance of doc_ids up to which they number the documents themselves.
+WIDEST_IDS = 38
 #: Words that a repeated run must have. The same bound as for other exact passages in this subpackage.
 MIN_WORDS = 50
 
@@ -38,25 +41,25 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame | None, int]:
-    """None and the least doc_id, if doc_ids are distinct and not null; else a table (doc_id, text key, number)."""
+def _numbered(docs: DataFrame, dense: bool) -> tuple[DataFrame | None, int]:
+    """None and the least doc_id, if doc_ids are distinct, near each other and not null; else a table (doc_id, text key, number)."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("c"))
     f = ids.agg(F.max("c").alias("c"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
     if f["c"] is None:
         return None, 0
-    if f["c"] == 1 and f["none"] == 0:
+    if not dense and f["c"] == 1 and f["none"] == 0 and f["high"] - f["low"] < 1 << WIDEST_IDS:
         return None, int(f["low"])
     keys = docs.select("doc_id", _text_key(F.col("text")).alias("tk")).distinct()
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = stored(keys.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tk").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tk").withColumn("mid", F.monotonically_increasing_id()))
-    part = F.shiftright("mid", 33)
     # One row for each partition; the running total of their counts turns the numbers into dense ones.
+    part = F.shiftright("mid", 33)
     base, at = [], 0
     for r in sorted(keys.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect(), key=lambda r: r["p"]):
-        base += [F.lit(r["p"]), F.lit(at)]
+        base.append((r["p"], at))
         at += r["c"]
-    first = F.element_at(F.create_map(*base), part)
-    return keys.select("doc_id", "tk", (first + (F.col("mid") - F.shiftleft(part, 33))).alias("number")), 0
+    first = F.broadcast(docs.sparkSession.createDataFrame(base, "p long, first long"))
+    return keys.withColumn("p", part).join(first, "p").select("doc_id", "tk", (F.col("first") + (F.col("mid") - F.shiftleft("p", 33))).alias("number")), 0
 
 
 def _lines(docs: DataFrame, numbers: DataFrame | None, low: int) -> DataFrame:
@@ -70,16 +73,15 @@ def _lines(docs: DataFrame, numbers: DataFrame | None, low: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (g, keys...) of which the keys are met twice or more, with r, the first g that has them."""
-    first = rows.groupBy(*keys).agg(F.min("g").alias("r"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(first, keys)
+    """rows (stored; g, keys...) of which the keys are met twice or more, with r, the first g that has them."""
+    return common.with_groups(rows, keys, F.min("g").alias("r"), where="_c > 1")
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame | None, int]:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, dense: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
     """(number, gone: sorted line numbers) of documents that lose lines, and how documents are numbered."""
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    numbers, low = _numbered(docs)
+    numbers, low = _numbered(docs, dense)
     arrays = _lines(docs, numbers, low)
     flat = stored(arrays.select("number", F.posexplode("lines").alias("pos", "line")).select("number", "pos", "line.a", "line.b", "line.w"))
     top = flat.agg(F.max("pos"), F.max("number")).first()
@@ -87,6 +89,9 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
         return docs.sparkSession.createDataFrame([], "number long, gone array<int>"), numbers, low
     shift = (int(top[0]) + 1).bit_length() + 1  # a place 2**k lines further on never falls into the next document
     if int(top[1]).bit_length() + shift > 62:
+        if numbers is None:
+            discard(flat)
+            return deleted_lines(docs, min_words, dense=True)
         raise ValueError(f"places of {int(top[1])} documents of {int(top[0])} lines don't fit 62 bits")
     lines = flat.select((F.shiftleft("number", shift) + F.col("pos")).alias("g"), "a", "b", "w")
     ranks = [stored(_repeated(lines, ["a", "b"]).select("g", "r", "w"))]
@@ -123,22 +128,24 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFram
         half = 2 ** (len(ranks) - 1)
         here = ranks[-1].select("g", F.col("r").alias("r1"))
         there = ranks[-1].select((F.col("g") - half).alias("g"), F.col("r").alias("r2"))
-        deeper = stored(_repeated(here.join(there, "g"), ["r1", "r2"]).select("g", "r"))
+        paired = stored(here.join(there, "g"))
+        deeper = stored(_repeated(paired, ["r1", "r2"]).select("g", "r"))
+        discard(paired)
         ranks.append(deeper)
         if deeper.isEmpty():
             break
     level = common.union_all(df.select(F.lit(k).alias("k"), "g", "r") for k, df in enumerate(ranks))
     asked = runs.withColumn("k", F.length(F.bin("m")) - 1).withColumn("tail", F.col("end") - F.expr("shiftleft(1L, k)"))
     named = asked.join(level.withColumnRenamed("r", "r1"), ["k", "g"]).join(level.select("k", F.col("g").alias("tail"), F.col("r").alias("r2")), ["k", "tail"])
-    first = named.groupBy("m", "r1", "r2").agg(F.min("g").alias("first"))
-    copies = named.join(first, ["m", "r1", "r2"]).where("g > first").groupBy("g").agg(F.max("end").alias("end"))
+    named = stored(named.select("m", "r1", "r2", "g", "end"))
+    copies = common.with_groups(named, ["m", "r1", "r2"], F.min("g").alias("first"), where="_c > 1").where("g > first").groupBy("g").agg(F.max("end").alias("end"))
 
     # A line goes if a copy that begins at it or before reaches beyond it.
     reach = F.max("end").over(run.orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
     gone = words.select("number", "stretch", "g").join(copies, "g", "left").withColumn("reach", reach).where("reach > g")
     pos = (F.col("g") - F.shiftleft("number", shift)).cast("int")
     out = stored(gone.groupBy("number").agg(F.sort_array(F.collect_list(pos)).alias("gone")))
-    discard(flat, runs, *ranks)
+    discard(flat, runs, named, *ranks)
     return out, numbers, low
 
 
@@ -148,16 +155,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Columns of these three names are replaced.
     """
     gone, numbers, low = deleted_lines(docs, min_words)
+    d, t, g, all_lines = common.fresh(docs, "_d", "_t", "_gone", "_lines")
     doc_id = F.col("doc_id").cast("long")
     if numbers is None:
-        gone = gone.select((F.col("number") + F.lit(low)).alias("_d"), F.col("gone").alias("_gone"))
-        met = docs.join(gone, doc_id == F.col("_d"), "left")
+        gone = gone.select((F.col("number") + F.lit(low)).alias(d), F.col("gone").alias(g))
+        same = doc_id == F.col(d)
     else:
-        gone = gone.join(numbers, "number").select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), F.col("gone").alias("_gone"))
-        met = docs.join(gone, doc_id.eqNullSafe(F.col("_d")) & (_text_key(F.col("text")) == F.col("_t")), "left")
-    all_lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
-    out = met.withColumn("_lines", F.when(F.col("_gone").isNotNull(), all_lines)).withColumn("_n", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")).withColumn("text", text)
-    out = out.withColumn("n_lines", F.col("_n")).withColumn("deleted_lines", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("n_deleted", F.size("deleted_lines").cast("long"))
-    return out.drop("_d", "_t", "_gone", "_lines", "_n")
+        gone = stored(gone.join(numbers, "number").select(F.col("doc_id").alias(d), F.col("tk").alias(t), F.col("gone").alias(g)))
+        same = doc_id.eqNullSafe(F.col(d)) & (_text_key(F.col("text")) == F.col(t))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long")
+    # Documents that lose nothing stay where they are, as far as a bitmap of fixed size tells; the others are shuffled, always.
+    some, safe = common.split_by_bitmap(docs, doc_id, gone, F.col(d))
+    met = some.withColumn("n_lines", n_lines).join(gone.hint("merge"), same, "left").withColumn(all_lines, F.when(F.col(g).isNotNull(), F.split("text", "\n")))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(g))
+    text = F.when(F.col(g).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n"))
+    met = met.withColumn("text", text).withColumn("deleted_lines", F.coalesce(g, F.array().cast("array<int>"))).withColumn("n_deleted", F.size("deleted_lines").cast("long"))
+    safe = safe.withColumn("n_lines", n_lines).withColumn("deleted_lines", F.array().cast("array<int>")).withColumn("n_deleted", F.lit(0).cast("long"))
+    return met.drop(d, t, g, all_lines).unionByName(safe)

@@ -33,8 +33,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and compression bands of every document."""
-    return quality.judged(table(spark, sf_dir, "documents"))
+    """Base counts and compression bands of every document; documents labelled good fit the bands."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

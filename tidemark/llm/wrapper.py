@@ -2,24 +2,29 @@
 
 A page is a stream of tokens: opening and closing tags with their class words, and texts. The streams of
 one host are aligned one after another into a wrapper, a regular expression without alternatives: equal
-tokens stay, texts that differ become slots, runs of the same element become a repeated group, and what
-only some pages have becomes an optional group. Tags nest, so the expression is kept as a tree and the
-alignment goes level by level; two wrappers align like two pages, and so each task folds its pages into
-one wrapper for each host before anything is shuffled. However many pages a host has, a task sends one
-wrapper and a task that merges holds one.
-
-The wrapper of its host says where a page's article lies. Elements of navigation, headers, footers,
-sidebars, forms, scripts, adverts, notices and comments (by tag, role, class and id) hold none of it.
-Within the rest, the article is under <article> or <main>, if the wrapper has text there; else in the
-elements of the body whose texts are slots, that is, differ between pages; texts that every page of a
-host has (of three pages at least, copies of a page counting once) are template, outside <article> and
-<main> only. A host with fewer pages has no template to go by, and all that the tags leave is the article;
-so it is for a page that would have no text left without its template.
+tokens meet, texts that differ become slots, an element that comes again becomes a repeated group, one
+that only some pages have becomes optional, and tokens that come in another order belong to one repeated
+group of optional members. Tags nest, so the expression is kept as a tree and the alignment goes level by
+level, along a longest increasing run of the tokens in common; two wrappers align like two pages, and so
+each task folds its pages into one wrapper for each host before anything is shuffled. Where elements of
+one tag under one parent have more than MOST_SIGNS sets of class words, the classes are a slot themselves:
+the elements become one group of that tag. A wrapper thus has the size of a page's layout.
+
+The wrapper of its host says which texts of a page are taken, token by token: each place of the wrapper is
+judged, and a page gives the texts at the places that belong to the article. Elements of navigation,
+headers, footers, sidebars, forms, scripts, adverts, notices and comments (by tag, role, class and id) hold
+none of it. Within the rest, the article is at the places under <article> or <main>, if the wrapper has text
+there; else at the places of the body whose texts are slots, that is, differ between pages. Texts that every
+page of a host has at one place (of three pages at least, copies of a page counting once) are template: a block
+of nothing else is not taken. Blocks whose text is LINK_PERCENT links or more over all pages are lists of links,
+and not taken. Both hold outside <article> and <main> only. A page that has no text at the places of its host's article is read at the others; one
+that would be left without any text loses neither template nor links. A host with fewer than three pages has
+no template to go by.
 
 Character references are decoded; white space within a block becomes one space; blocks are joined by one
 space in the order of the page. Null and empty html give an empty text. Repeated rows give the same text
 each. A url without host shares the wrapper of the host "". Broken markup closes where its parents end.
-Whole pages are read, whatever their length. Extra columns don't matter.
+Whole pages are read, whatever their length and however deep their tags nest. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ import gc
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -60,8 +67,16 @@ CLOSES = {
 }
 #: What a closing by CLOSES doesn't reach beyond.
 SCOPES = frozenset("html body div section article aside nav header footer main table ul ol dl td th form blockquote figure li".split())
+#: Elements that those of CLOSES close.
+_CLOSED = frozenset(x for closed in CLOSES.values() for x in closed)
 #: Different pages of a host from which a text that never differs is template.
 TEMPLATE_PAGES = 3
+#: Sets of class words of one tag under one parent, beyond which classes tell nothing.
+MOST_SIGNS = 24
+#: The share of a place's text in links from which it is a list of links.
+LINK_PERCENT = 90
+#: Characters of a host's regions up to which they may be broadcast, and salts that a heavy host with more is dealt by.
+BROADCAST_CHARS, SALTS = 32_000, 64
 
 _TOKEN = re.compile(r"""(?s)<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""")
 _MARK = re.compile(r"""(?is)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -88,6 +103,16 @@ def parse(html: str) -> Element:
     """The tree of a page's token stream; texts are str children, decoded but not trimmed."""
     root = Element("", "", False)
     stack, at, n = [root], 0, len(html)
+    open_: Counter = Counter()  # names in the stack
+    marks: list[int] = []  # places in the stack that CLOSES asks for
+
+    def cut(i: int) -> None:
+        for e in stack[i:]:
+            open_[e.name] -= 1
+        del stack[i:]
+        while marks and marks[-1] >= i:
+            marks.pop()
+
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -102,16 +127,17 @@ def parse(html: str) -> Element:
         if not name:
             continue
         if m["close"] or m["close2"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            if open_[name]:
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                cut(i)
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in reversed(marks):
                 if stack[i].name in CLOSES[name]:
-                    del stack[i:]
+                    cut(i)
                     break
                 if stack[i].name in SCOPES:
                     break
@@ -133,178 +159,293 @@ def parse(html: str) -> Element:
                 end = re.compile(rf"(?i)</{re.escape(name)}\s*>").search(html, at)
                 at = end.end() if end else n
         elif name not in VOID and not attrs.endswith("/"):
+            if name in _CLOSED or name in SCOPES:
+                marks.append(len(stack))
+            open_[name] += 1
             stack.append(e)
     return root
 
 
-# --- wrappers: {"d": digests of different pages, TEMPLATE_PAGES at most, "k": [sign, other, article?, [children]]}; a child is a list --------------------
-# Element: ["e", sign, other, optional, repeated, children]; text: ["t", constant or None (a slot), optional].
-
-
-def _kids(e: Element) -> list:
-    out: list = []
-    for c in e.children:
-        if isinstance(c, str):
-            if text := " ".join(c.split()):
-                if out and out[-1][0] == "t":
-                    out[-1] = ["t", None, 0]
-                else:
-                    out.append(["t", text, 0])
-            continue
-        if c.name in VOID or c.name in RAW:
-            continue
-        _append(out, ["e", c.sign, int(c.other), 0, 0, [] if c.other else _kids(c)])
-    return out
-
-
-def _append(out: list, node: list) -> None:
-    """node at the end, folded into the run of the same element that ends there; texts between make no run."""
-    if out and out[-1][0] == "e" == node[0] and out[-1][1] == node[1]:
-        last = out[-1]
-        out[-1] = ["e", last[1], last[2], last[3] & node[3], 1, align(last[5], node[5])]
-    else:
-        out.append(node)
-
-
-def align(a: list, b: list) -> list:
-    """The union-free expression of two: by a longest common subsequence of signs; the rest is optional."""
-    if a == b:
-        return a
-    sign = lambda x: x[1] if x[0] == "e" else ""  # noqa: E731  all texts may meet
-    x, y = [sign(i) for i in a], [sign(i) for i in b]
-    n, m = len(x), len(y)
-    head = 0
-    while head < n and head < m and x[head] == y[head]:
-        head += 1
-    best = [[0] * (m - head + 1) for _ in range(n - head + 1)]
-    for i in range(n - head - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - head - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[head + i] == y[head + j] else max(below[j], row[j + 1])
-    out: list = []
-
-    def both(p: list, q: list) -> None:
-        if p[0] == "t":
-            out.append(["t", p[1] if p[1] == q[1] else None, p[2] | q[2]])
+# --- wrappers ---------------------------------------------------------------------------------------
+
+
+def _name(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _order(old: list[int], new: list[int]) -> tuple[list[int], set[int]]:
+    """old with the members of new that it lacks, in place; and the members of both that stand in another order."""
+    place = {x: i for i, x in enumerate(old)}
+    common = [x for x in new if x in place]
+    tops: list[int] = []  # a longest increasing run of places, by the ends of the best runs of each length
+    ends: list[int] = []
+    link: dict[int, int | None] = {}
+    for x in common:
+        k = bisect_left(tops, place[x])
+        link[x] = ends[k - 1] if k else None
+        tops[k : k + 1], ends[k : k + 1] = [place[x]], [x]
+    kept, x = set(), ends[-1] if ends else None
+    while x is not None:
+        kept.add(x)
+        x = link[x]
+    after: dict[int | None, list[int]] = {}
+    last = None
+    for x in new:
+        if x in kept:
+            last = x
+        elif x not in place:
+            after.setdefault(last, []).append(x)
+    out = after.get(None, [])
+    for x in old:
+        out.append(x)
+        out += after.get(x, ())
+    return out, set(common) - kept
+
+
+class Wrapper:
+    """The union-free expression of pages, as a tree in lists; node 0 is the page.
+
+    sign: the tag with its class words, or tag and "*" for a group of all its class words. pages: pages that
+    have the node (fewer than all: optional). again: a repeated group. loose: made of several elements of one
+    page by generalisation. chars, linked: the characters of its own texts, and those in links. same: names of
+    the texts that every page has there; other texts are slots. kids: the order of the children.
+    """
+
+    FIELDS = ("parent", "sign", "pages", "again", "loose", "chars", "linked", "same")
+
+    def __init__(self) -> None:
+        self.digests: list[str] = []  # of different pages, TEMPLATE_PAGES at most
+        self.parent, self.sign, self.pages, self.again, self.loose, self.chars, self.linked = [-1], [""], [0], [0], [0], [0], [0]
+        self.same: list[set[int]] = [set()]
+        self.kids: list[list[int]] = [[]]
+        self.at: dict[tuple[int, str], int] = {}
+        self.signs: Counter = Counter()  # of (parent, tag)
+
+    def add(self, parent: int, sign: str) -> int:
+        i = len(self.parent)
+        for field, value in zip(self.FIELDS, (parent, sign, 0, 0, 0, 0, 0, set())):
+            getattr(self, field).append(value)
+        self.kids.append([])
+        self.at[parent, sign] = i
+        self.signs[parent, tag_of(sign)] += 1
+        return i
+
+    def find(self, parent: int, sign: str) -> int | None:
+        i = self.at.get((parent, tag_of(sign) + "*"))
+        return self.at.get((parent, sign)) if i is None else i
+
+    def dumps(self) -> str:
+        rows = [self.digests, self.kids, *([sorted(x) for x in self.same] if f == "same" else getattr(self, f) for f in self.FIELDS)]
+        return json.dumps(rows, separators=(",", ":"))
+
+    @classmethod
+    def loads(cls, text: str) -> Wrapper:
+        w = cls()
+        w.digests, w.kids, *fields = json.loads(text)
+        for f, value in zip(cls.FIELDS, fields):
+            setattr(w, f, value)
+        w.same = [set(x) for x in w.same]
+        for i in range(1, len(w.parent)):
+            w.at[w.parent[i], w.sign[i]] = i
+            w.signs[w.parent[i], tag_of(w.sign[i])] += 1
+        return w
+
+
+def tag_of(sign: str) -> str:
+    return sign.partition(".")[0].removesuffix("*")
+
+
+def wrapper_of(html: str | None) -> Wrapper:
+    """The wrapper of one page. What is not the article's by its tags is no part of it."""
+    w = Wrapper()
+    w.pages[0] = 1
+    digest: list[str] = []
+    stack = [(iter(parse(html or "").children), 0, False, set())]
+    while stack:
+        kids, at, link, seen = stack[-1]
+        for c in kids:
+            if isinstance(c, str):
+                if text := " ".join(c.split()):
+                    digest.append(text)
+                    w.same[at].add(_name(text))
+                    w.chars[at] += len(text)
+                    w.linked[at] += len(text) * link
+                continue
+            if c.name in VOID or c.name in RAW:
+                continue
+            digest.append("<" + c.sign)
+            if c.other:
+                continue
+            i = w.find(at, c.sign)
+            if i is None:
+                i = w.add(at, c.sign)
+                w.kids[at].append(i)
+                w.pages[i] = 1
+            elif i in seen:
+                w.again[i] = 1
+            seen.add(i)
+            stack.append((iter(c.children), i, link or c.name == "a", set()))
+            break
         else:
-            out.append(["e", p[1], p[2] | q[2], p[3] | q[3], p[4] | q[4], align(p[5], q[5])])
-
-    def alone(p: list) -> None:
-        q = list(p)
-        q[2 if q[0] == "t" else 3] = 1
-        _append(out, q) if q[0] == "e" else out.append(q)
-
-    for i in range(head):
-        both(a[i], b[i])
-    i = j = 0
-    while i < n - head or j < m - head:
-        if i < n - head and j < m - head and x[head + i] == y[head + j]:
-            both(a[head + i], b[head + j])
-            i, j = i + 1, j + 1
-        elif j >= m - head or (i < n - head and best[i + 1][j] >= best[i][j + 1]):
-            alone(a[head + i])
-            i += 1
+            digest.append(">")
+            stack.pop()
+    w.digests = [xxhash.xxh3_128_hexdigest("\0".join(digest).encode("utf-8", "surrogatepass"))]
+    return _generalised(w)
+
+
+def _generalised(w: Wrapper) -> Wrapper:
+    """w with one group for the elements of a tag that come with too many sets of class words."""
+    while wide := {key for key, n in w.signs.items() if n > MOST_SIGNS}:
+        out = Wrapper()
+        _put(out, w, wide)
+        out.pages[0], out.digests = w.pages[0], w.digests
+        w = out
+    return w
+
+
+def _put(a: Wrapper, b: Wrapper, wide: set | tuple = ()) -> None:
+    """Aligns b into a, level by level. wide: (parent in b, tag) of groups to be made."""
+    at, new, hit = [0] * len(b.parent), len(a.parent), set()
+    for j in range(len(b.parent)):
+        if j == 0:
+            i = 0
         else:
-            alone(b[head + j])
-            j += 1
+            sign = tag_of(b.sign[j]) + "*" if (b.parent[j], tag_of(b.sign[j])) in wide else b.sign[j]
+            i = a.find(at[b.parent[j]], sign)
+            if i is None:
+                i = a.add(at[b.parent[j]], sign)
+        at[j] = i
+        if i in hit:
+            a.loose[i] = 1
+        if i >= new and i not in hit:
+            a.same[i] = set(b.same[j])
+        elif i not in hit:
+            a.same[i] &= b.same[j]
+        hit.add(i)
+        a.pages[i] += b.pages[j]
+        a.again[i] |= b.again[j]
+        a.loose[i] |= b.loose[j] | (a.sign[i].endswith("*") and not b.sign[j].endswith("*"))
+        a.chars[i] += b.chars[j]
+        a.linked[i] += b.linked[j]
+    rows: dict[int, dict[int, None]] = {}
+    for j, kids in enumerate(b.kids):
+        if kids:
+            rows.setdefault(at[j], {}).update(dict.fromkeys(at[k] for k in kids))
+    for i, row in rows.items():
+        if a.kids[i] != (seq := list(row)):
+            a.kids[i], moved = _order(a.kids[i], seq)
+            for x in moved:
+                a.again[x] = 1
+
+
+def merged(a: Wrapper | None, b: Wrapper) -> Wrapper:
+    """The wrapper of the pages of both. a is used up."""
+    if a is None:
+        return b
+    _put(a, b)
+    a.digests = sorted({*a.digests, *b.digests})[:TEMPLATE_PAGES]
+    return _generalised(a)
+
+
+# --- regions: what extraction needs of a wrapper --------------------------------------------------------
+# [whether the host has article places, parents, signs, takes, template texts]; takes: 2 in the article, 1 outside, 0 never first.
+
+
+def regions(w: Wrapper) -> list:
+    """The judged places of a wrapper: those that hold text, and those above them."""
+    n, full = len(w.parent), len(w.digests) >= TEMPLATE_PAGES
+    inside, loose = [False] * n, list(w.loose)
+    chars, linked = list(w.chars), list(w.linked)
+    for i in range(1, n):  # parents stand before their children
+        inside[i] = inside[w.parent[i]] or tag_of(w.sign[i]) in ARTICLE
+        loose[i] |= loose[w.parent[i]]
+    for i in range(n - 1, 0, -1):
+        chars[w.parent[i]] += chars[i]
+        linked[w.parent[i]] += linked[i]
+    links = [full and i > 0 and chars[i] > 0 and 100 * linked[i] >= LINK_PERCENT * chars[i] and not inside[i] and tag_of(w.sign[i]) not in INLINE for i in range(n)]
+    at, out = {0: 0}, [any(inside[i] and w.chars[i] for i in range(n)), [-1], [""], [1], [[]]]
+    if not loose[0] and full:
+        out[4][0] = sorted(w.same[0])
+    for i in range(1, n):
+        links[i] = links[i] or links[w.parent[i]]
+        if not chars[i]:
+            continue
+        at[i] = len(at)
+        mandatory = full and w.pages[i] == w.pages[0] and not loose[i] and not inside[i]
+        for x, value in zip(out[1:], (at[w.parent[i]], w.sign[i], 2 if inside[i] else 0 if links[i] else 1, sorted(w.same[i]) if mandatory else [])):
+            x.append(value)
     return out
 
 
-def _digest(root: Element) -> str:
-    """A page's token stream by name; what is not the article's makes no difference."""
-    out: list[str] = []
-
-    def walk(e: Element) -> None:
-        for c in e.children:
-            if isinstance(c, str):
-                if text := " ".join(c.split()):
-                    out.append(text)
-            elif c.name not in VOID and c.name not in RAW:
-                out.append("<" + c.sign)
-                if not c.other:
-                    walk(c)
-                out.append(">")
+class Region:
+    """regions() as extraction looks them up."""
 
-    walk(root)
-    return xxhash.xxh3_128_hexdigest("\0".join(out).encode("utf-8", "surrogatepass"))
+    def __init__(self, said: list):
+        self.article, parents, signs, self.takes, same = said
+        self.at = {key: i for i, key in enumerate(zip(parents, signs))}
+        self.template = [frozenset(x) for x in same]
 
-
-def merged(a: dict | None, b: dict) -> dict:
-    return b if a is None else {"d": sorted({*a["d"], *b["d"]})[:TEMPLATE_PAGES], "k": align(a["k"], b["k"])}
-
-
-def wrapper_of(html: str | None) -> dict:
-    root = parse(html or "")
-    kids = _kids(root)
-    return {"d": [_digest(root)], "k": kids}
-
-
-def regions(wrapper: dict) -> dict:
-    """What extraction needs: whether text lies under <article> or <main>, and the template texts elsewhere."""
-    found, constant = [False], {}
-
-    def walk(kids: list, path: str, inside: bool) -> None:
-        for c in kids:
-            if c[0] == "t":
-                if inside:
-                    found[0] = True
-                elif c[1] is not None and not c[2]:
-                    constant.setdefault(path, []).append(c[1])
-            elif not c[2]:
-                walk(c[5], f"{path}/{c[1]}", inside or c[1].split(".")[0] in ARTICLE)
-
-    walk(wrapper["k"], "", False)
-    return {"article": found[0], "template": constant if len(wrapper["d"]) >= TEMPLATE_PAGES else {}}
+    def find(self, parent: int, sign: str, name: str) -> int:
+        """The place of a child; -1 for one that the wrapper lacks."""
+        i = self.at.get((parent, name + "*"))
+        return self.at.get((parent, sign), -1) if i is None else i
 
 
 # --- extraction ---------------------------------------------------------------------------------------
 
 
-def extract(html: str | None, region: dict | None) -> str:
+def extract(html: str | None, region: Region | None) -> str:
     """The article's text of a whole page, under its host's wrapper (None: of this page alone)."""
     if not html:
         return ""
-    root = parse(html)
     if region is None:
-        region = regions({"d": [""], "k": _kids(root)})
-    template = region["template"]
+        region = Region(regions(wrapper_of(html)))
+    root = parse(html)
+    for look in ((2,) if region.article else ()) + (1, 0):
+        if text := _texts(root, region, look):
+            return text
+    return ""
+
+
+def _texts(root: Element, region: Region, least: int) -> str:
+    """The texts of a page at the places that are taken at least so; for 0, template texts too."""
     blocks: list[str] = []
     line: list[str] = []
+    own = False  # whether the line holds more than template
 
     def end() -> None:
+        nonlocal own
         if line:
-            if text := " ".join("".join(line).split()):
+            if own and (text := " ".join("".join(line).split())):
                 blocks.append(text)
             line.clear()
+            own = False
 
-    def walk(e: Element, path: str, inside: bool, only: bool) -> None:
-        for c in e.children:
+    stack = [(iter(root.children), 0, False, False)]
+    while stack:
+        kids, at, inside, edge = stack[-1]
+        take = at >= 0 and region.takes[at] >= least  # a place that the wrapper lacks has no text on any page of the host
+        template = region.template[at] if take and least else ()
+        for c in kids:
             if isinstance(c, str):
-                if only and not inside:
-                    continue
-                if inside or " ".join(c.split()) not in template.get(path, ()):
+                if take:
                     line.append(c)
+                    own = own or not template or bool((text := " ".join(c.split())) and _name(text) not in template)
                 continue
+            block = c.name not in INLINE
             if c.other or (c.name == "header" and not inside):
-                end() if c.name not in INLINE else None
+                end() if block else None
                 continue
-            edge = c.name not in INLINE
-            if edge:
+            if block:
                 end()
             if c.name not in VOID:
-                walk(c, f"{path}/{c.sign}", inside or c.name in ARTICLE, only)
+                stack.append((iter(c.children), region.find(at, c.sign, c.name) if at >= 0 else -1, inside or c.name in ARTICLE, block))
+                break
+        else:
             if edge:
                 end()
-
-    walk(root, "", False, region["article"])
+            stack.pop()
     end()
-    if not blocks and region["article"]:  # this page has no article element though its host has
-        walk(root, "", False, False)
-        end()
-    if not blocks and template:  # nothing on this page differs from its host's other pages
-        template = {}
-        walk(root, "", False, False)
-        end()
     return " ".join(blocks)
 
 
@@ -316,51 +457,76 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def fold(batches):
         gc.disable()
-        known: dict[str, dict] = {}
+        known: dict[str, Wrapper] = {}
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if html:
                     known[host] = merged(known.get(host), wrapper_of(html))
-            if len(known) > 5000:  # sent early, merged later
-                yield _rows(known)
-                known = {}
+                if len(known) > 5000:  # sent early, merged later
+                    yield _rows(known)
+                    known = {}
         if known:
             yield _rows(known)
 
-    def _rows(known: dict[str, dict]):
-        return pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([json.dumps(w) for w in known.values()])], names=["host", "wrapper"])
+    def _rows(known: dict[str, Wrapper]):
+        return pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([w.dumps() for w in known.values()])], names=["host", "wrapper"])
 
-    def join(batches):
-        known: dict[str, dict] = {}
-        at = None
+    def each_host(batches):
+        """(host, wrapper) of rows that are sorted by host."""
+        at, held = None, None
         for batch in batches:
             for host, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if host != at and known:
-                    yield _region(at, known.pop(at))
+                if host != at and held is not None:
+                    yield at, held
+                    held = None
                 at = host
-                known[host] = merged(known.get(host), json.loads(w))
-        if known:
-            yield _region(at, known.pop(at))
+                held = merged(held, Wrapper.loads(w))
+        if held is not None:
+            yield at, held
+
+    def some(batches):
+        for host, w in each_host(batches):
+            yield _rows({host: w})
 
-    def _region(host: str, w: dict):
-        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([json.dumps(regions(w))])], names=["h", "region"])
+    def judge(batches):
+        for host, w in each_host(batches):
+            said = json.dumps(regions(w), separators=(",", ":"))
+            yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([said]), pa.array([w.pages[0]], pa.int64())], names=["h", "region", "c"])
 
     partial = keyed.select("host", "html").mapInArrow(fold, "host string, wrapper string")
-    regions_ = common.stored(partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(join, "h string, region string"))
-    met = keyed.join(regions_, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "region")
+    # A host has a wrapper from each task at most; they are merged in two steps, the first one dealt by their contents.
+    partial = partial.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInArrow(some, "host string, wrapper string")
+    judged = common.stored(partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(judge, "h string, region string, c long"))
+    met = _with_regions(keyed, judged).select("page_id", "url", "html", "region")
     types = {f.name: f.dataType.simpleString() for f in met.schema.fields}
 
     def apply(batches):
         gc.disable()
-        read: dict[str, dict] = {}
+        read: dict[str, Region] = {}
         for batch in batches:
             texts = []
             for html, region in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if region is not None and region not in read:
-                    if len(read) > 5000:
+                    if len(read) > 1000:
                         read.clear()
-                    read[region] = json.loads(region)
+                    read[region] = Region(json.loads(region))
                 texts.append(extract(html, read[region] if region is not None else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return met.mapInArrow(apply, f"page_id {types['page_id']}, url string, text string, n_chars long")
+
+
+def _with_regions(keyed: DataFrame, judged: DataFrame) -> DataFrame:
+    """keyed with its host's region. Hosts with many pages (fewer than common.HEAVY, of BROADCAST_CHARS at most) meet theirs by
+    broadcast, so that their pages stay where they are; the others by a shuffle, a heavy one with a long region by SALTS copies of it."""
+    total = judged.agg(F.sum("c")).first()[0] or 0
+    hot = F.col("c") * common.HEAVY > total
+    brief = F.length("region") <= BROADCAST_CHARS
+    sent = judged.where(hot & brief).select("h", "region")
+    rest = judged.where(~(hot & brief)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).select("h", "region", "salt")
+    long = judged.where(hot & ~brief).select(F.col("h").alias("heavy"))
+    first = keyed.join(F.broadcast(sent), F.col("host") == F.col("h")).drop("h")
+    other = keyed.join(F.broadcast(sent.select("h")), F.col("host") == F.col("h"), "left_anti").join(F.broadcast(long), F.col("host") == F.col("heavy"), "left")
+    other = other.withColumn("mine", F.when(F.col("heavy").isNotNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).otherwise(0))
+    other = other.join(rest, (F.col("host") == F.col("h")) & (F.col("mine") == F.col("salt")), "left").drop("h", "heavy", "mine", "salt")
+    return first.unionByName(other)
