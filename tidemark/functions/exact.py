@@ -1,4 +1,9 @@
-"""Sums that don't depend on order, and nearest ranks of exact decimals."""
+"""Sums that don't depend on order, and nearest ranks of exact decimals.
+
+A double is an integer times a power of two. Exact sums add the integers of each power in the JVM, as
+decimals, by partial aggregation; what is left of a group are as many numbers as there are powers (2046
+at most), and those are put together and rounded once.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +12,99 @@ from decimal import Decimal
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-#: The scale at which values are added as decimals.
-SCALE = "decimal(38,6)"
+from ..session import ship
 
 
-def decimal_sum(value: Column) -> Column:
-    """The exact sum of values at SCALE, rounded once; runs in the JVM with partial aggregation."""
-    return F.sum(value.cast(SCALE)).cast("double")
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def fraction_sum(values) -> float:
-    """The sum of doubles, rounded once."""
+def split(value: Column, sign: int = 1) -> Column:
+    """struct(e, m) with value = m * 2**e exactly, m of 53 bits at most; null for a null. value is finite."""
+    two = lambda e: F.pow(F.lit(2.0), e)  # noqa: E731  exact for whole e
+
+    def parts(v: Column) -> Column:
+        size = F.abs(v)
+        guess = F.floor(F.log2(F.when(size > 0, size).otherwise(F.lit(1.0)))).cast("int")
+
+        def at(e: Column) -> Column:
+            # A logarithm that is off by one is set right.
+            high = F.when(size >= two(e + 1), e + 1).when(size < two(e), e - 1).otherwise(e)
+            return _let(F.greatest(high - 52, F.lit(-1074)), lambda u: F.struct(u.alias("e"), scaled(v, u).alias("m")))
+
+        def scaled(v: Column, u: Column) -> Column:
+            half = F.floor(-u / 2).cast("int")  # in two steps, as 2**1074 is no double
+            return (v * two(half) * two(-u - half)).cast("long") * F.lit(sign)
+
+        return F.when(v.isNotNull(), F.when(v == 0, F.struct(F.lit(0).alias("e"), F.lit(0).cast("long").alias("m"))).otherwise(_let(guess, at)))
+
+    return _let(value, parts)
+
+
+def rounded(total: int, power: int, times: int = 1, over: int = 1) -> float:
+    """total * 2**power * times / over, rounded once; beyond the doubles an infinity."""
+    f = Fraction(total * times, over) * (Fraction(2) ** power)
     try:
-        return math.fsum(values)
+        return float(f)
     except OverflowError:
-        return float(sum(map(Fraction, values)))
+        return math.copysign(math.inf, total)
+
+
+@F.pandas_udf(DoubleType())
+def _joined(parts: pd.Series, times: pd.Series, over: pd.Series) -> pd.Series:
+    def one(rows, t, o) -> float | None:
+        if rows is None or not len(rows) or pd.isna(o) or not o:
+            return None
+        least = min(r["e"] for r in rows)
+        return rounded(sum(int(r["m"]) << (r["e"] - least) for r in rows), least, int(t), int(o))
 
+    return pd.Series([one(*x) for x in zip(parts, times, over)], dtype=object).astype("Float64")
 
-def binary_sum():
-    """A grouped aggregate: the exact sum of the doubles themselves."""
 
-    @F.pandas_udf("double")
-    def exact_sum(v: pd.Series) -> float:
-        return fraction_sum(v.dropna())
+def joined(parts: Column, times: Column | None = None, over: Column | None = None) -> Column:
+    """The number that a list of (e, m) adds up to, times and divided by whole numbers, rounded once; null for an empty list."""
+    one = F.lit(1).cast("long")
+    return _joined(parts, one if times is None else times.cast("long"), one if over is None else over.cast("long"))
 
-    return exact_sum
+
+def summed(rows: DataFrame, keys: tuple[str, ...], terms: dict[str, list[Column]], parts: dict[str, Column], merged: dict[str, Column]) -> DataFrame:
+    """Exact sums and other aggregates of groups, in one pass with partial aggregation.
+
+    terms: for each name the split() values that a row adds to it; a null adds nothing. A column of that name
+    holds the list that joined() takes. parts: aggregates over rows that are null for all but the first copy of
+    a row, by own(); merged: how partial ones are put together.
+    """
+    ship(rows.sparkSession)
+    none = F.struct(F.lit(None).cast("string").alias("which"), F.lit(None).cast("int").alias("e"), F.lit(None).cast("long").alias("m"))
+    copies = [none, *(F.when(c.isNotNull(), F.struct(F.lit(name).alias("which"), c["e"].alias("e"), c["m"].alias("m"))) for name, columns in terms.items() for c in columns)]
+    flat = rows.withColumn("_x", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull()))) if terms else rows.withColumn("_x", none)
+    flat = flat.withColumns({"_which": F.col("_x.which"), "_e": F.col("_x.e"), "_m": F.col("_x.m").cast("decimal(19,0)")}).drop("_x")
+    once = flat.groupBy(*keys, "_which", "_e").agg(F.sum("_m").alias("_m"), *(c.alias(k) for k, c in parts.items()))
+    lists = {name: F.collect_list(F.when(F.col("_which") == name, F.struct(F.col("_e").alias("e"), F.col("_m").alias("m")))) for name in terms}
+    return once.groupBy(*keys).agg(*(c.alias(k) for k, c in {**merged, **lists}.items()))
+
+
+def own(c: Column) -> Column:
+    """c for the first copy of a row in summed(), null for the others."""
+    return F.when(F.col("_which").isNull(), c)
+
+
+def exact_sum(rows: DataFrame, keys: tuple[str, ...], value: str, name: str = "sum") -> DataFrame:
+    """The sum of a column of finite doubles in each group, rounded once. Partial sums merge: a hot group is no hot task."""
+    out = summed(rows.select(*keys, value), keys, {name: [split(F.col(value))]}, {}, {})
+    return out.withColumn(name, joined(F.col(name)))
+
+
+def fraction_sum(values) -> float:
+    """The sum of doubles, rounded once."""
+    try:
+        return math.fsum(values)
+    except OverflowError:
+        return float(sum(map(Fraction, values)))
 
 
 def rank_parts(p: str) -> tuple[int, int]:

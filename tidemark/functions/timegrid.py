@@ -32,3 +32,9 @@ def calendar_start(at: Column, unit: str, zone: str = "UTC") -> Column:
         raise ValueError(f"no calendar unit: {unit!r}")
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), at.cast("timestamp_ntz"))
     return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_trunc(unit, local).cast("timestamp_ntz"))
+
+
+def calendar_end(start: Column, unit: str, zone: str = "UTC") -> Column:
+    """Where the calendar unit that begins at start (UTC) ends, in UTC; as long as the zone makes it."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), start.cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.timestamp_add(unit.upper(), F.lit(1), local).cast("timestamp_ntz"))

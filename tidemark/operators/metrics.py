@@ -118,54 +118,116 @@ class Metrics:
             return timegrid.calendar_start(F.col("at"), *self.unit)
         return self._time(self.start or "1970-01-01")
 
-    def _steps(self) -> DataFrame:
-        """Samples of the range with the one before each, the step that ends there, and its bucket."""
-        series = Window.partitionBy(*self.labels).orderBy("at")
-        df = self._found().withColumn("prev", F.lag("value").over(series)).withColumn("prev_at", F.lag("at").over(series))
-        if self.start:
-            df = df.where(F.col("at") >= self._time(self.start))
-        value, prev = F.col("value").cast(exact.SCALE), F.col("prev").cast(exact.SCALE)
-        step = F.when(prev.isNull(), F.lit(0).cast(exact.SCALE)).when(value < prev, value).otherwise(value - prev)
-        return df.withColumn("step", step).withColumn("reset", F.col("value") < F.col("prev")).withColumn("bucket", self._bucket())
+    def _end(self, start: Column) -> Column:
+        """Where the bucket that begins at start ends; null if the range has no end."""
+        if self.width:
+            return F.timestamp_add("SECOND", F.lit(timegrid.seconds_of(self.width)), start).cast("timestamp_ntz")
+        if self.unit:
+            return timegrid.calendar_end(start, *self.unit)
+        return self._time(self.end) if self.end else F.lit(None).cast("timestamp_ntz")
 
-    def aggregate(self, *ops: str) -> DataFrame:
-        """A row for each group and bucket that has samples: the ops, then samples (all), resets, gap and partial (steps)."""
+    def _before(self, start: Column) -> Column:
+        """Where the bucket before the one that begins at start begins."""
+        if self.width:
+            return F.timestamp_add("SECOND", F.lit(-timegrid.seconds_of(self.width)), start).cast("timestamp_ntz")
+        if self.unit:
+            return timegrid.calendar_start(F.timestamp_add("MILLISECOND", F.lit(-1), start), *self.unit)
+        return F.timestamp_add("MICROSECOND", -F.timestamp_diff("MICROSECOND", start, self._end(start)), start).cast("timestamp_ntz")
+
+    def aggregate(self, *ops: str, now: str | None = None) -> DataFrame:
+        """A row for each group and bucket that has samples: the ops, then samples, skipped (with skip_nan), and of steps resets and gap, and partial.
+
+        Sums are exact and rounded once, whatever the values: a step counts as its two samples, so that the steps of
+        a range add up. A NaN is refused, or skipped and counted; an infinity, and a counter below zero, are refused.
+        gap: the first step of a series into the bucket began before the bucket before it (for a range that is one
+        bucket: more than its length before it). partial: the range cuts the bucket, `now` has not reached its end,
+        retention begins within it, or a first step is unknown although the series had samples before.
+        """
         bad = [o for o in ops if o not in ALLOWED[self.kind]]
         if bad:
             raise ValueError(f"a {self.kind} has no {', '.join(bad)}")
-        needs_steps = bool({"increase", "rate", "delta"} & set(ops))
-        per_series = needs_steps or bool({"first", "last"} & set(ops))
-        df = self._steps() if needs_steps else self._found()
-        if not needs_steps:
-            df = df.where(F.col("at") >= self._time(self.start)) if self.start else df
-            df = df.withColumn("bucket", self._bucket())
-        value = F.col("value")
-        parts = {"n": F.count("value"), "total": F.sum(value.cast(exact.SCALE)), "low": F.min("value"), "high": F.max("value")}
-        joined = {"n": F.sum("n"), "total": F.sum("total"), "low": F.min("low"), "high": F.max("high")}
-        if per_series:
-            parts |= {"head": F.min_by("value", "at"), "tail": F.max_by("value", "at")}
-            joined |= {"head": exact.decimal_sum(F.col("head")), "tail": exact.decimal_sum(F.col("tail"))}
-        if needs_steps:
-            parts |= {"before": F.min_by("prev", "at"), "steps": F.sum("step"), "resets": F.count_if("reset"), "gapped": F.min_by("prev_at", "at"), "unknown": F.min_by(F.col("prev").isNull(), "at")}
+        if "rate" in ops and not (self.width or self.unit or (self.start and self.end)):
+            raise ValueError("a rate needs buckets, or a range with a start and an end")
+        steps, ends = bool({"increase", "rate", "delta"} & set(ops)), bool({"first", "last"} & set(ops))
+        df = self.samples
+        for c in self.conditions:
+            df = df.where(c)
+        if self.end:
+            df = df.where(F.col("at") < self._time(self.end))
+        kept = F.col("at") >= self._time(self.keep) if self.keep else F.lit(True)
+        taken = kept & ~F.isnan("value") if self.nan else kept
+        if steps or ends:
+            series = Window.partitionBy(*self.labels).orderBy("at")
+            past = series.rowsBetween(Window.unboundedPreceding, -1)
+            plain = not self.keep and not self.nan  # then the sample before is simply the last row
+            ago = lambda c: F.lag(c).over(series) if plain else F.last(F.when(taken, c), ignorenulls=True).over(past)
+            then = F.lead("at").over(series) if plain else F.first(F.when(taken, F.col("at")), ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing))
+            df = df.select("*", ago(F.col("value")).alias("prev"), ago(F.col("at")).alias("prev_at"), then.alias("next_at"), F.lag("at").over(series).isNotNull().alias("older"))
+        if self.start:
+            df = df.where(F.col("at") >= self._time(self.start))
+        df = df.where(kept).withColumn("bucket", self._bucket())
+        stop = self._end(F.col("bucket"))
+        since = F.greatest(F.col("bucket"), self._time(self.start)) if self.start else F.col("bucket")
+        until = F.least(stop, self._time(self.end)) if self.end else stop
+        value = F.when(taken, self._checked(F.col("value")))
+        own = exact.own
+        parts = {"n": F.count(own(value)), "low": F.min(own(value)), "high": F.max(own(value)), "rows": F.count(own(F.lit(1)))}
+        merged = {"n": F.sum("n"), "low": F.min("low"), "high": F.max("high"), "rows": F.sum("rows")}
+        terms: dict[str, list[Column]] = {}
+        if {"sum", "avg"} & set(ops):
+            terms["total"] = [exact.split(value)]
+        if steps or ends:
+            first = taken & (F.col("prev_at").isNull() | (F.col("prev_at") < since))
+            last = taken & (F.col("next_at").isNull() | (F.coalesce(F.col("next_at") >= until, F.lit(False))))
+            known = taken & F.col("prev").isNotNull()
+            prev = F.when(known, self._checked(F.col("prev")))
+            reset = F.when(known, F.col("value") < F.col("prev"))
+            if {"increase", "rate"} & set(ops):
+                terms["steps"] = [exact.split(F.when(known, value)), exact.split(F.when(~reset, prev), -1)]
+            if "delta" in ops:
+                terms["moved"] = [exact.split(F.when(known, value)), exact.split(prev, -1), exact.split(F.when(taken & ~known, F.lit(0.0)))]
+            for name, mark in (("first", first), ("last", last)):
+                if name in ops:
+                    terms[name] = [exact.split(F.when(mark, value))]
+                    parts |= {f"n_{name}": F.count(own(F.when(mark, value))), f"one_{name}": F.max(own(F.when(mark, value)))}
+                    merged |= {f"n_{name}": F.sum(f"n_{name}"), f"one_{name}": F.max(f"one_{name}")}
+            early = F.coalesce(first & (F.col("prev_at") < self._before(F.col("bucket"))), F.lit(False))
+            unknown = F.coalesce(taken & F.col("prev").isNull() & F.col("older"), F.lit(False))
+            parts |= {"resets": F.count_if(own(reset)), "gap": F.bool_or(own(early)), "unknown": F.bool_or(own(unknown))}
+            merged |= {"resets": F.sum("resets"), "gap": F.bool_or("gap"), "unknown": F.bool_or("unknown")}
         keys = (*self.groups, "bucket")
-        if per_series:
-            one = df.groupBy(*self.labels, "bucket").agg(*(c.alias(k) for k, c in parts.items()))
-            if needs_steps:
-                width = timegrid.seconds_of(self.width) if self.width else None
-                early = F.col("gapped") < F.timestamp_add("SECOND", F.lit(-(width or 0)), F.col("bucket")) if width else F.lit(False)
-                one = one.withColumn("moved", F.col("tail").cast(exact.SCALE) - F.coalesce("before", "head").cast(exact.SCALE)).withColumn("gap", F.coalesce(early, F.lit(False)))
-                joined |= {"steps": F.sum("steps"), "resets": F.sum("resets"), "moved": F.sum("moved").cast("double"), "gap": F.bool_or("gap"), "unknown": F.bool_or("unknown")}
-            out = one.groupBy(*keys).agg(*(c.alias(k) for k, c in joined.items()))
-        else:
-            out = df.groupBy(*keys).agg(*(c.alias(k) for k, c in parts.items()))
-        seconds = F.lit(float(timegrid.seconds_of(self.width))) if self.width else F.lit(1.0)
-        made = {
-            "count": F.col("n"), "sum": F.col("total").cast("double"), "avg": F.col("total").cast("double") / F.col("n"), "min": F.col("low"), "max": F.col("high"),
-            **({"first": F.col("head"), "last": F.col("tail")} if per_series else {}),
-            **({"delta": F.col("moved"), "increase": F.col("steps").cast("double"), "rate": F.col("steps").cast("double") / seconds} if needs_steps else {}),
+        out = exact.summed(df, keys, terms, parts, merged)
+        since = F.greatest(F.col("bucket"), self._time(self.start)) if self.start else F.col("bucket")
+        cut = F.lit(False)
+        if self.width or self.unit:
+            cut = (since > F.col("bucket")) | (until < stop)
+        if now:
+            cut = cut | F.coalesce(until > F.timestamp_add("MILLISECOND", F.lit(1), self._time(now)), F.lit(False))
+        if self.keep:
+            cut = cut | (since < self._time(self.keep))
+        if steps:
+            cut = cut | F.col("unknown")
+        of_one = lambda name: F.when(F.col(f"n_{name}") == 1, F.col(f"one_{name}")).otherwise(exact.joined(F.col(name)))  # noqa: E731  a single one, bit for bit
+        micros = F.timestamp_diff("MICROSECOND", since, until)
+        makes = {
+            "count": lambda: F.col("n"), "min": lambda: F.col("low"), "max": lambda: F.col("high"),
+            "sum": lambda: exact.joined(F.col("total")), "avg": lambda: exact.joined(F.col("total"), over=F.col("n")),
+            "first": lambda: of_one("first"), "last": lambda: of_one("last"), "delta": lambda: exact.joined(F.col("moved")),
+            # Steps that are all unknown add up to nothing.
+            "increase": lambda: F.when(F.col("n") > 0, F.coalesce(exact.joined(F.col("steps")), F.lit(0.0))),
+            "rate": lambda: F.when(F.col("n") > 0, F.coalesce(exact.joined(F.col("steps"), F.lit(1_000_000), micros), F.lit(0.0))),
         }
-        more = ["resets", "gap", "unknown"] if needs_steps else []
-        return out.select(*keys, *(made[o].alias(o) for o in ops), F.col("n").alias("samples"), *more)
+        more = [F.col("n").alias("samples")] + ([(F.col("rows") - F.col("n")).alias("skipped")] if self.nan else [])
+        more += [F.col("resets"), F.col("gap")] if steps else []
+        return out.select(*keys, *(makes[o]().alias(o) for o in ops), *more, cut.alias("partial"))
+
+    def _checked(self, value: Column) -> Column:
+        """value; an error where no aggregate takes it."""
+        wrong = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+        out = F.when(wrong, F.raise_error(F.lit("an aggregate over a NaN or an infinity")).cast("double"))
+        if self.kind == COUNTER:
+            out = out.when(value < 0, F.raise_error(F.lit("an aggregate over a counter below zero")).cast("double"))
+        return out.otherwise(value)
 
     def percentile(self, p: str) -> DataFrame:
         """The nearest rank of a gauge: an actual sample. Equal values are counted first, so that groups arrive condensed."""

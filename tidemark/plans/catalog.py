@@ -51,47 +51,86 @@ def counter(spark, d) -> Metrics:
 
 
 DAY = "date_trunc('day', ts)::timestamp"
-DEC = "cast(sum(cast({} as decimal(38,6))) as double)"
-STEPS = """WITH s AS (SELECT event_type, cast(user_id as varchar) AS u, ts, value, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_at FROM events
+
+
+def big(value: str) -> str:
+    """A double as a whole number of 2**-60; exact from 2**-8 on."""
+    return f"cast(({value}) * pow(2.0::double, 60) as hugeint)"
+
+
+def back(total: str, times: int = 1, over: str = "1") -> str:
+    """total * times / over, a whole number of 2**-60, as the nearest double: by its digits, with ".5" for what a division leaves."""
+    if over == "1":
+        return f"(cast(cast({total} as varchar) as double) / pow(2.0::double, 60))"
+    whole = f"({total}) * {times * 2**20}"
+    return f"(cast(cast({whole} // ({over}) as varchar) || CASE WHEN {whole} % ({over}) = 0 THEN '' ELSE '.5' END as double) / pow(2.0::double, 80))"
+
+
+SUM = back(f"sum({big('value')})")
+STEPS = f"""WITH s AS (SELECT event_type, cast(user_id as varchar) AS u, ts, value, lag(value) OVER w AS prev, lag(ts) OVER w AS prev_at, lead(ts) OVER w AS next_at FROM events
  WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
-t AS (SELECT *, CASE WHEN prev IS NULL THEN cast(0 as decimal(38,6)) WHEN value < prev THEN cast(value as decimal(38,6)) ELSE cast(value as decimal(38,6)) - cast(prev as decimal(38,6)) END AS step FROM s)
+t AS (SELECT *, CASE WHEN prev IS NULL THEN 0::hugeint WHEN value < prev THEN {big('value')} ELSE {big('value')} - {big('prev')} END AS step FROM s)
 """
 
 # --- metrics -----------------------------------------------------------------------------------------
 
 
-@query(f"SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, count(*) AS count, {DEC.format('value')} AS sum, count(*) AS samples FROM events GROUP BY ALL")
+@query(f"SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, count(*) AS count, {SUM} AS sum, count(*) AS samples, false AS partial FROM events GROUP BY ALL")
 def metric_count_1h_by_type(spark, d):
     return gauge(spark, d).every("1 hour").by("event_type").aggregate("count", "sum")
 
 
-@query(f"SELECT event_type, {DAY} AS bucket, {DEC.format('value')} AS sum, {DEC.format('value')} / count(*) AS avg, count(*) AS samples FROM events GROUP BY ALL")
+@query(f"SELECT event_type, {DAY} AS bucket, {SUM} AS sum, {back('sum(' + big('value') + ')', 1, 'count(*)')} AS avg, count(*) AS samples, false AS partial FROM events GROUP BY ALL")
 def metric_sum_avg_1d_by_type(spark, d):
     return gauge(spark, d).every("1 day").by("event_type").aggregate("sum", "avg")
 
 
-@query(f"SELECT {DAY} AS bucket, min(value) AS min, max(value) AS max, count(*) AS samples FROM events GROUP BY ALL")
+@query(f"SELECT {DAY} AS bucket, min(value) AS min, max(value) AS max, count(*) AS samples, false AS partial FROM events GROUP BY ALL")
 def metric_min_max_1d(spark, d):
     return gauge(spark, d).every("1 day").aggregate("min", "max")
 
 
-@query(STEPS + f"""SELECT u AS "user", {DAY} AS bucket, cast(sum(step) as double) AS increase, count(*) AS samples,
- count(*) FILTER (value < prev) AS resets, false AS gap0 FROM t WHERE ts >= timestamp '2024-01-05' GROUP BY ALL""".replace(", false AS gap0", ""))
+@query(STEPS + f"""SELECT u AS "user", {DAY} AS bucket, {back('sum(step)')} AS increase, count(*) AS samples,
+ count(*) FILTER (value < prev) AS resets, false AS partial FROM t WHERE ts >= timestamp '2024-01-05' GROUP BY ALL""")
 def metric_increase_1d_by_user(spark, d):
-    return counter(spark, d).between("2024-01-05", None).every("1 day").by("user").aggregate("increase").drop("gap", "unknown")
+    return counter(spark, d).between("2024-01-05", None).every("1 day").by("user").aggregate("increase").drop("gap")
 
 
-@query(STEPS + "SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, cast(sum(step) as double) / 3600.0 AS rate, count(*) AS samples FROM t GROUP BY ALL")
+@query(STEPS + f"SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, {back('sum(step)', 1, '3600')} AS rate, count(*) AS samples FROM t GROUP BY ALL")
 def metric_rate_1h(spark, d):
-    return counter(spark, d).every("1 hour").by("event_type").aggregate("rate").drop("resets", "gap", "unknown")
+    return counter(spark, d).every("1 hour").by("event_type").aggregate("rate").select("event_type", "bucket", "rate", "samples")
+
+
+@query(STEPS + f"""SELECT event_type, b AS bucket, {back('sum(step)', 1000000, 'least(epoch_us(b) + 86400000000, epoch_us(timestamp ' + "'2024-01-09 06:00:00'" + ')) - greatest(epoch_us(b), epoch_us(timestamp ' + "'2024-01-03 12:34:56'" + '))')} AS rate, count(*) AS samples,
+ bool_or(coalesce((prev_at < b OR prev_at < timestamp '2024-01-03 12:34:56') AND prev_at < b - interval 1 day, false)) AS gap,
+ b < timestamp '2024-01-03 12:34:56' OR b + interval 1 day > timestamp '2024-01-09 06:00:00' AS partial
+FROM (SELECT *, (date_trunc('day', ts - interval 5 hour)::timestamp + interval 5 hour)::timestamp AS b FROM t WHERE ts >= timestamp '2024-01-03 12:34:56' AND ts < timestamp '2024-01-09 06:00:00') GROUP BY event_type, b""")
+def metric_rate_calendar_days_cut(spark, d):
+    """The first and the last day are cut by the range, and rates go by what is left of them."""
+    m = counter(spark, d).between("2024-01-03 12:34:56", "2024-01-09 06:00:00").calendar("day", "America/New_York")
+    return m.by("event_type").aggregate("rate").drop("resets")
 
 
-@query(STEPS + f"""SELECT event_type, bucket, cast(sum(m) as double) AS delta, {DEC.format('f')} AS first, {DEC.format('l')} AS last, cast(sum(n) as bigint) AS samples FROM (
- SELECT event_type, u, {DAY} AS bucket, cast(arg_max(value, ts) as decimal(38,6)) - cast(coalesce(arg_min(coalesce(prev, -1e9), ts), 0) as decimal(38,6)) * 0
-  - cast(CASE WHEN arg_min(coalesce(prev, -1e9), ts) = -1e9 THEN arg_min(value, ts) ELSE arg_min(coalesce(prev, -1e9), ts) END as decimal(38,6)) AS m,
-  arg_min(value, ts) AS f, arg_max(value, ts) AS l, count(*) AS n FROM t GROUP BY event_type, u, bucket) GROUP BY ALL""")
+@query(STEPS + f"""SELECT u AS "user", timestamp '2024-01-10' AS bucket, {back('sum(step)', 1000000, '172800000000')} AS rate, {back('sum(step)')} AS increase, count(*) AS samples,
+ count(*) FILTER (value < prev) AS resets, bool_or(coalesce(prev_at < timestamp '2024-01-08', false)) AS gap, false AS partial
+FROM t WHERE ts >= timestamp '2024-01-10' AND ts < timestamp '2024-01-12' GROUP BY u""")
+def metric_rate_whole_range(spark, d):
+    return counter(spark, d).between("2024-01-10", "2024-01-12").by("user").aggregate("rate", "increase")
+
+
+@query(STEPS + f"""SELECT event_type, bucket, {back('sum(CASE WHEN prev IS NULL THEN 0::hugeint ELSE ' + big('value') + ' - ' + big('prev') + ' END)')} AS delta,
+ {back('sum(' + big('value') + ') FILTER (prev_at IS NULL OR prev_at < bucket)')} AS first, {back('sum(' + big('value') + ') FILTER (next_at IS NULL OR next_at >= bucket + interval 1 day)')} AS last, count(*) AS samples
+FROM (SELECT *, {DAY} AS bucket FROM t) GROUP BY event_type, bucket""")
 def metric_delta_first_last_1d(spark, d):
-    return gauge(spark, d).every("1 day").by("event_type").aggregate("delta", "first", "last").drop("resets", "gap", "unknown")
+    return gauge(spark, d).every("1 day").by("event_type").aggregate("delta", "first", "last").drop("resets", "gap", "partial")
+
+
+@query(f"""SELECT event_type, {DAY} AS bucket, {back('coalesce(sum(' + big('value') + ') FILTER (user_id % 5 <> 0), 0::hugeint)')} AS sum, count(*) FILTER (user_id % 5 <> 0) AS samples, count(*) FILTER (user_id % 5 = 0) AS skipped, false AS partial
+FROM events GROUP BY ALL HAVING count(*) FILTER (user_id % 5 <> 0) > 0""")
+def metric_sum_skips_nan(spark, d):
+    """Every fifth user's samples are no numbers: passed over, and counted."""
+    s = samples(spark, d).withColumn("value", F.when(F.col("user").cast("long") % 5 == 0, float("nan")).otherwise(F.col("value")))
+    return Metrics(s, ("event_type", "user")).skip_nan().every("1 day").by("event_type").aggregate("sum").where("samples > 0")
 
 
 @query(f"SELECT event_type, {DAY} AS bucket, quantile_disc(value, 0.95) AS value, count(*) AS samples FROM events GROUP BY ALL")
@@ -115,27 +154,36 @@ def metric_heatmap(spark, d):
     return gauge(spark, d).every("1 day").by("event_type").histogram(BOUNDS)
 
 
-@query(STEPS + f"""SELECT u AS "user", bucket, cast(sum(inc) as double) AS increase, cast(sum(n) as bigint) AS samples, cast(sum(r) as bigint) AS resets, bool_or(g) AS gap, bool_or(un) AS unknown FROM (
- SELECT event_type, u, {DAY} AS bucket, sum(step) AS inc, count(*) AS n, count(*) FILTER (value < prev) AS r,
-  coalesce(arg_min(coalesce(prev_at, timestamp '9999-01-01'), ts) < {DAY} - interval 1 day, false) AS g, arg_min(prev IS NULL, ts) AS un FROM t GROUP BY event_type, u, bucket) GROUP BY ALL""")
+@query(STEPS + f"""SELECT u AS "user", bucket, {back('sum(step)')} AS increase, count(*) AS samples, count(*) FILTER (value < prev) AS resets,
+ bool_or(coalesce(prev_at < bucket - interval 1 day, false)) AS gap, bucket < timestamp '2024-01-04 05:00:00' OR bucket + interval 1 day > timestamp '2024-01-20 12:00:00' AS partial
+FROM (SELECT *, {DAY} AS bucket FROM t WHERE ts >= timestamp '2024-01-04 05:00:00' AND ts < timestamp '2024-01-20 12:00:00') GROUP BY u, bucket""")
 def metric_gap_partial_flags(spark, d):
-    return counter(spark, d).every("1 day").by("user").aggregate("increase")
+    return counter(spark, d).between("2024-01-04 05:00:00", "2024-01-20 12:00:00").every("1 day").by("user").aggregate("increase")
+
+
+@query(f"""WITH k AS (SELECT event_type, cast(user_id as varchar) AS u, ts, value, lag(ts) OVER w AS older FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
+s AS (SELECT *, lag(value) OVER w AS prev FROM k WHERE ts >= timestamp '2024-01-06 12:00:00' WINDOW w AS (PARTITION BY event_type, u ORDER BY ts))
+SELECT event_type, {DAY} AS bucket, {back('sum(CASE WHEN prev IS NULL THEN 0::hugeint WHEN value < prev THEN ' + big('value') + ' ELSE ' + big('value') + ' - ' + big('prev') + ' END)')} AS increase, count(*) AS samples,
+ bool_or(prev IS NULL AND older IS NOT NULL) OR bool_or({DAY} < timestamp '2024-01-06 12:00:00') AS partial FROM s GROUP BY event_type, {DAY}""")
+def metric_increase_past_retention(spark, d):
+    """A first step that began at a sample past retention is unknown, and its bucket partial."""
+    return counter(spark, d).retain("2024-01-06 12:00:00").every("1 day").by("event_type").aggregate("increase").drop("resets", "gap")
 
 
 @query("""WITH b AS (SELECT event_type, date_trunc('hour', ts)::timestamp AS bucket, count(*) AS count FROM events WHERE ts >= timestamp '2024-01-02' AND ts < timestamp '2024-01-04' GROUP BY ALL),
 g AS (SELECT event_type, bucket::timestamp AS bucket FROM (SELECT DISTINCT event_type FROM b), (SELECT unnest(generate_series(timestamp '2024-01-02', timestamp '2024-01-03 23:00:00', interval 1 hour)) AS bucket))
-SELECT g.event_type, g.bucket, b.count, b.count AS samples FROM g LEFT JOIN b USING (event_type, bucket)""")
+SELECT g.event_type, g.bucket, b.count, b.count AS samples, CASE WHEN b.count IS NULL THEN NULL ELSE false END AS partial FROM g LEFT JOIN b USING (event_type, bucket)""")
 def metric_fill_1h(spark, d):
     m = gauge(spark, d).between("2024-01-02", "2024-01-04").every("1 hour").by("event_type")
     return m.fill(m.aggregate("count"), "2024-01-02", "2024-01-04")
 
 
-@query(f"""SELECT event_type, (date_trunc('month', ts + interval 330 minute)::timestamp - interval 330 minute)::timestamp AS bucket, {DEC.format('value')} AS sum, count(*) AS samples FROM events GROUP BY ALL""")
+@query(f"""SELECT event_type, (date_trunc('month', ts + interval 330 minute)::timestamp - interval 330 minute)::timestamp AS bucket, {SUM} AS sum, count(*) AS samples, false AS partial FROM events GROUP BY ALL""")
 def metric_calendar_month_zone(spark, d):
     return gauge(spark, d).calendar("month", "Asia/Kolkata").by("event_type").aggregate("sum")
 
 
-@query(f"SELECT date_trunc('week', ts)::timestamp AS bucket, {DEC.format('value')} AS sum, count(*) AS samples FROM events GROUP BY ALL")
+@query(f"SELECT date_trunc('week', ts)::timestamp AS bucket, {SUM} AS sum, count(*) AS samples, false AS partial FROM events GROUP BY ALL")
 def metric_calendar_week(spark, d):
     return gauge(spark, d).calendar("week").aggregate("sum")
 
@@ -160,20 +208,20 @@ def metric_names(spark, d):
     return gauge(spark, d).names()
 
 
-@query(f"""SELECT event_type, {DAY} AS bucket, count(*) AS count, count(*) AS samples FROM events WHERE event_type IN ('click', 'view', 'error') AND (user_id IS NULL OR user_id NOT IN (1, 2, 3)) AND starts_with(cast(user_id as varchar), '1') GROUP BY ALL""")
+@query(f"""SELECT event_type, {DAY} AS bucket, count(*) AS count, count(*) AS samples FROM events WHERE event_type IN ('click', 'view', 'error') AND (user_id IS NULL OR user_id NOT IN (1, 2, 3)) AND starts_with(cast(user_id as varchar), '1') GROUP BY ALL""".replace("AS samples", "AS samples, false AS partial"))
 def metric_label_conditions(spark, d):
     return gauge(spark, d).one_of("event_type", "click", "view", "error").none_of("user", "1", "2", "3").prefix("user", "1").every("1 day").by("event_type").aggregate("count")
 
 
-@query(f"SELECT cast(user_id as varchar) AS \"user\", {DAY} AS bucket, max(value) AS max, count(*) AS samples FROM events WHERE ts >= timestamp '2024-01-10' GROUP BY ALL")
+@query(f"SELECT cast(user_id as varchar) AS \"user\", {DAY} AS bucket, max(value) AS max, count(*) AS samples, false AS partial FROM events WHERE ts >= timestamp '2024-01-10' GROUP BY ALL")
 def metric_without_retention(spark, d):
     return gauge(spark, d).retain("2024-01-10").without("event_type").every("1 day").aggregate("max")
 
 
-@query()
+@query(f"SELECT event_type, {SUM} AS sum FROM events GROUP BY ALL")
 def metric_exact_binary_sum(spark, d):
-    """The correctly rounded sum of the doubles themselves, by a grouped aggregate."""
-    return samples(spark, d).groupBy("event_type").agg(exact.binary_sum()(F.col("value")).alias("sum"))
+    """The correctly rounded sum of the doubles themselves."""
+    return exact.exact_sum(samples(spark, d), ("event_type",), "value")
 
 
 @query("SELECT event_type, count(*) AS added FROM events WHERE event_id % 3 <> 0 GROUP BY ALL")
