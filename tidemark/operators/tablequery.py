@@ -5,10 +5,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +43,42 @@ def has(column: str, value) -> Column:
     return F.coalesce(F.array_contains(F.from_json(F.col(column), f"array<{kind}>"), F.lit(value)), F.lit(False))
 
 
+# --- pieces of SQL texts -----------------------------------------------------------------------------
+
+
+def ident(name: str) -> str:
+    """A name as it stands in a text, whatever signs it has."""
+    if not name or "\0" in name:
+        raise Refused(f"no name: {name!r}")
+    return "`" + name.replace("`", "``") + "`"
+
+
+def value(v) -> Column:
+    """A bound value."""
+    return F.lit(None) if v is None else F.lit(v)
+
+
+def listed(column: str, json_list: str, kind: str = "string") -> Column:
+    """Whether a column's value is in a JSON list; null is in none."""
+    return F.coalesce(F.array_contains(F.from_json(F.lit(json_list), f"array<{kind}>"), F.col(column)), F.lit(False))
+
+
+def json_value(v) -> Column:
+    """A value as a JSON text: keys in their order, no blanks."""
+    return F.lit(json.dumps(v, separators=(",", ":"), ensure_ascii=False))
+
+
+def bound(spark: SparkSession, text: str, *values, **tables: DataFrame) -> DataFrame:
+    """A SQL text over tables, with its ? bound to values in order; as many values as there are ?."""
+    plain = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*", "", text)
+    if plain.count("?") != len(values):
+        raise Refused(f"{plain.count('?')} places and {len(values)} values")
+    return spark.sql(text, args=list(values) if values else None, **tables)
+
+
+# --- queries -----------------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class TableQuery:
     df: DataFrame
@@ -51,6 +92,7 @@ class TableQuery:
     offset_: int | None = None
     filters: tuple[Column, ...] = ()
     joined: bool = False
+    joins: tuple[tuple[str, str, str], ...] = ()
 
     @staticmethod
     def table(df: DataFrame, name: str = "t") -> TableQuery:
@@ -60,7 +102,7 @@ class TableQuery:
         return replace(self, filters=(*self.filters, F.expr(condition) if isinstance(condition, str) else condition))
 
     def _join(self, other: DataFrame, name: str, on: str, how: str) -> TableQuery:
-        return replace(self, df=self.df.join(other.alias(name), F.expr(on), how), joined=True)
+        return replace(self, df=self.df.join(other.alias(name), F.expr(on), how), joined=True, joins=(*self.joins, (name, on, how)))
 
     def join(self, other: DataFrame, name: str, on: str) -> TableQuery:
         return self._join(other, name, on, "inner")
@@ -68,6 +110,21 @@ class TableQuery:
     def left_join(self, other: DataFrame, name: str, on: str) -> TableQuery:
         return self._join(other, name, on, "left")
 
+    def right_join(self, other: DataFrame, name: str, on: str) -> TableQuery:
+        return self._join(other, name, on, "right")
+
+    def full_join(self, other: DataFrame, name: str, on: str) -> TableQuery:
+        return self._join(other, name, on, "full")
+
+    def anti_join(self, other: DataFrame, name: str, on: str) -> TableQuery:
+        return self._join(other, name, on, "left_anti")
+
+    def cross_join(self, other: DataFrame, name: str, most: int = 10_000) -> TableQuery:
+        """Each row with every row of other, which has most rows at most (counted first, and sent to every task)."""
+        if other.limit(most + 1).count() > most:
+            raise Refused(f"a cross join with more than {most} rows")
+        return replace(self, df=self.df.crossJoin(F.broadcast(other.alias(name))), joined=True, joins=(*self.joins, (name, "", "cross")))
+
     def semi_join(self, other: DataFrame, name: str, on: str) -> TableQuery:
         return self._join(other, name, on, "left_semi")
 
@@ -141,7 +198,9 @@ class TableQuery:
     # -- pages
 
     def _digest(self) -> str:
-        return hashlib.sha256(repr((self.name, self.order, self.picked)).encode()).hexdigest()[:16]
+        """A name for what is asked: the table, its joins, conditions, groups, columns and order."""
+        said = (self.name, self.joins, [str(c) for c in self.filters], self.grouped, [str(c) for c in self.having_], self.order, self.picked)
+        return hashlib.sha256(repr(said).encode()).hexdigest()[:16]
 
     def page(self, limit: int, after: str | None = None) -> tuple[DataFrame, "TableQuery"]:
         """Rows after a cursor, by the order columns: no offset is walked, and nulls keep their place."""
@@ -152,11 +211,24 @@ class TableQuery:
             said = json.loads(base64.urlsafe_b64decode(after))
             if said["q"] != self._digest():
                 raise Refused("a cursor of another query")
-            q = q.filter(beyond(self.order, said["v"]))
+            q = q.filter(beyond(self.order, [_read(v) for v in said["v"]]))
         return q.limit(limit).rows(), q
 
     def cursor(self, row: dict) -> str:
-        return base64.urlsafe_b64encode(json.dumps({"q": self._digest(), "v": [row[c] for c, _ in self.order]}).encode()).decode()
+        return base64.urlsafe_b64encode(json.dumps({"q": self._digest(), "v": [_said(row[c.rpartition(".")[2]]) for c, _ in self.order]}).encode()).decode()
+
+    def list(self, limit: int, after: str | None = None) -> tuple[list[Row], str | None]:
+        """The rows of a page, and where the next one begins: only a full page has a next."""
+        rows = self.page(limit, after)[0].collect()  # limit rows at most
+        return rows, self.cursor(rows[-1].asDict()) if rows and len(rows) == limit else None
+
+    def each(self) -> Iterator[Row]:
+        """The rows one by one; the driver holds one partition at a time."""
+        return self.rows().toLocalIterator(prefetchPartitions=True)
+
+    def columns(self) -> pa.Table:
+        """The answer by columns, typed, with nulls marked."""
+        return self.rows().toArrow()
 
     # -- writes: the table as it is afterwards
 
@@ -184,6 +256,29 @@ class TableQuery:
         return both.select(*(F.when(take, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in self.df.columns))
 
 
+def _said(v) -> list:
+    """A value of a cursor as JSON, with its type."""
+    if isinstance(v, datetime):
+        return ["datetime", v.isoformat()]
+    if isinstance(v, date):
+        return ["date", v.isoformat()]
+    if isinstance(v, Decimal):
+        return ["decimal", str(v)]
+    if isinstance(v, (bytes, bytearray)):
+        return ["bytes", bytes(v).hex()]
+    if isinstance(v, float):
+        return ["float", v.hex()]
+    return ["", v]
+
+
+_READ = {"datetime": datetime.fromisoformat, "date": date.fromisoformat, "decimal": Decimal, "bytes": bytes.fromhex, "float": float.fromhex, "": lambda v: v}
+
+
+def _read(said: list):
+    kind, v = said
+    return _READ[kind](v)
+
+
 def _name(picked: str) -> str:
     return picked.split(" as ")[-1].rpartition(".")[2].strip()
 

@@ -599,20 +599,33 @@ def hybrid_rerank(spark, d):
 # --- state, changes, streams -----------------------------------------------------------------------------
 
 
-@query()
+REQUESTS = "WITH RECURSIVE e AS (SELECT user_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)"
+
+
+@query(REQUESTS + """, w AS (SELECT 21600000000 AS i, 2 AS b),
+r AS (SELECT user_id, ts, n, us + i AS due, true AS allowed, b - 1 AS places, cast(0 as bigint) AS retry_us FROM e, w WHERE n = 1 UNION ALL
+ SELECT user_id, ts, n, CASE WHEN room >= 0 THEN new ELSE due END, room >= 0, greatest(room, 0) // i, greatest(0, -room) FROM (
+  SELECT e.user_id, e.ts, e.n, r.due, i, greatest(r.due, e.us) + i AS new, e.us + b * i - greatest(r.due, e.us) - i AS room FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, w))
+SELECT user_id, ts, allowed, cast(places as bigint) AS "left", retry_us FROM r""")
 def state_rate_limit_gcra(spark, d):
     """Requests of each user, one in six hours with a burst of two."""
     return state.gcra(table(spark, d, "events"), "user_id", "ts", 6 * 3600 * 1_000_000, 2)
 
 
-@query()
+@query(REQUESTS + """, r AS (SELECT user_id, cast(0 as bigint) AS n, cast(NULL as timestamp) AS ts, cast(NULL as bigint) AS s, 0 AS u, cast(NULL as bigint) AS s2, 0 AS u2, true AS allowed FROM (SELECT DISTINCT user_id FROM e) UNION ALL
+ SELECT user_id, n, ts, CASE WHEN ok THEN coalesce(s, us) ELSE s END, CASE WHEN ok THEN u + 1 ELSE u END, CASE WHEN ok THEN coalesce(s2, us) ELSE s2 END, CASE WHEN ok THEN u2 + 1 ELSE u2 END, ok FROM (SELECT *, u < 3 AND u2 < 10 AS ok FROM (
+  SELECT e.user_id, e.n, e.ts, e.us, CASE WHEN e.us < r.s + 86400000000 THEN r.s END AS s, CASE WHEN e.us < r.s + 86400000000 THEN r.u ELSE 0 END AS u,
+   CASE WHEN e.us < r.s2 + 604800000000 THEN r.s2 END AS s2, CASE WHEN e.us < r.s2 + 604800000000 THEN r.u2 ELSE 0 END AS u2 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT user_id, ts, allowed, cast(greatest(u, u2) as bigint) AS used FROM r WHERE n > 0""")
 def state_quota_windows(spark, d):
     """Three uses a day and ten a week, windows beginning with the first use."""
     day = 86400 * 1_000_000
     return state.quota(table(spark, d, "events"), "user_id", "ts", [(day, 3), (7 * day, 10)])
 
 
-@query()
+@query(REQUESTS + """, r AS (SELECT user_id, ts, n, true AS runs, us + 86400000000 AS until FROM e WHERE n = 1 UNION ALL
+ SELECT e.user_id, e.ts, e.n, e.us >= r.until, CASE WHEN e.us >= r.until THEN e.us + 86400000000 ELSE r.until END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, ts FROM r WHERE runs""")
 def state_once(spark, d):
     """A user's event that runs, at most one in a day."""
     return state.once(table(spark, d, "events"), "user_id", "ts", "1 day")

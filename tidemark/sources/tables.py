@@ -33,3 +33,16 @@ def blob_listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     """Files below a folder: path, size and time of change, in byte order of the path; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.col("length").alias("size"), "modificationTime").orderBy("path")
+
+
+def listed(files: DataFrame, prefix: str = "", after: str | None = None, limit: int = 1000) -> DataFrame:
+    """A page of a listing (path, size...) below a prefix, in the byte order of the path, after a path."""
+    found = files.where(F.startswith("path", F.lit(prefix)))
+    if after is not None:
+        found = found.where(F.col("path") > after)
+    return found.orderBy("path").limit(limit)
+
+
+def usage(files: DataFrame, prefix: str = "") -> DataFrame:
+    """How many files a listing has below a prefix, and their bytes."""
+    return files.where(F.startswith("path", F.lit(prefix))).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"))
