@@ -10,7 +10,8 @@ from tidemark.functions import exact, jsontext, timegrid
 from tidemark.operators import search, state
 from tidemark.operators.metrics import COUNTER, Metrics, interval
 from tidemark.operators.records import Records
-from tidemark.operators.tablequery import Refused, TableQuery, eq, has, is_in
+from tidemark.operators.tablequery import Refused, TableQuery, bound, eq, has, ident, is_in
+from tidemark.operators.wordindex import WordIndex
 from tidemark.session import ship
 from tidemark.sources import formats
 
@@ -201,20 +202,40 @@ def test_russian_stems():
 
 
 def test_stems_count_less_than_words(spark):
-    docs = spark.createDataFrame([(1, "книга"), (2, "книги"), (3, "дом")], "id long, text string")
-    index = search.postings(docs, "id", terms=search.stemmed_column())
-    assert {r["length"] for r in index.collect()} == {1}
-    found = {r["doc"]: r["score"] for r in search.bm25(index, search.stemmed("книга")).collect()}
+    docs = spark.createDataFrame([(1, "книга", None), (2, "книги", ""), (3, "дом", "x"), (None, "книга", "y")], "id long, text string, title string")
+    index = WordIndex.of_table(docs, "id", {"text": 1.0, "title": 3.0})
+    assert {r["length"] for r in index.postings.collect()} == {1} and index.count == 3
+    found = {r["doc"]: r["score"] for r in index.scored("книга")[0].collect()}
     assert set(found) == {1, 2} and found[1] > found[2] > 0
 
 
-def test_layouts_are_read_only_where_nothing_is_found(spark):
-    index = search.postings(spark.createDataFrame([(1, "python code"), (2, "крипто руку")], "id long, text string"), "id", terms=search.words_column())
+def test_questions_are_read_otherwise_only_where_nothing_is_found(spark):
+    index = WordIndex.of_table(spark.createDataFrame([(1, "python code replication"), (2, "крипто руку hello help")], "id long, text string"), "id", {"text": 1.0})
     assert search.retyped("rhbgnj", "en", "ru") == "крипто" and search.retyped("by;", "en", "ru") == "инж"
-    assert search.read_layouts(index, "знерщт code") == ("python code", True)
-    assert search.read_layouts(index, "rhbgnj") == ("крипто", True)
-    assert search.read_layouts(index, "code qqq") == ("code qqq", False)
-    assert search.read_layouts(index, "") == ("", False)
+    assert index.read("знерщт code") == (["python", "code"], "python code")
+    assert index.read("rhbgnj") == (["крипто"], "крипто")
+    assert index.read("code qqq") == (["code", "qqq"], None) and index.read("") == ([], None)
+    assert index.read("replicaiton helo")[1] == "replication helo"  # a swap is one edit; four letters are not corrected
+    assert [(r.term, r.edits) for r in index.corrections("hellp").collect()] == [("hello", 1), ("help", 1)]
+    hits = index.search("Hello, PYTHON")
+    assert [(r.id, r.value.text[:6]) for r in hits.page.collect()] == [(1, "python"), (2, "крипто")] and hits.total().first()["count"] == 2
+    assert {(r.doc, r.start, r.length, r.word) for r in hits.matches().collect()} == {(1, 0, 6, "python"), (2, 22, 5, "hello")}
+
+
+def test_an_index_changes_by_keys(spark):
+    docs = spark.createDataFrame([(i, f"word{i} same") for i in range(6)], "id long, text string")
+    index = WordIndex.of_table(docs, "id", {"text": 1.0})
+    index = index.set_many(spark.createDataFrame([(2, "fresh same"), (9, "fresh")], "id long, text string")).delete(spark.createDataFrame([(0,)], "id long"))
+    ids = lambda text: {r.doc for r in index.scored(text, correct=False)[0].collect()}
+    assert ids("fresh") == {2, 9} and ids("word2") == set() and ids("same") == {1, 2, 3, 4, 5} and index.count == 6
+    assert index.get(2).first().text == "fresh same"
+    near = spark.createDataFrame([(9, 0.5), (4, 0.25)], "doc long, similarity double")
+    assert [r.id for r in index.search("same", near=near, vector_weight=1.0).page.collect()] == [9, 4]
+    assert index.search("word4", near=near, rerank=True).page.first().id == 4
+
+
+def test_words_end_where_unicode_says(spark):
+    assert search.words("wait...what e.g. 10,000 l’été x_y") == ["wait", "what", "eg", "10000", "lete", "xy"]
 
 
 def test_grid_bins_and_bounds(spark):

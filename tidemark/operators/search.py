@@ -1,39 +1,60 @@
-"""Exact word search (BM25 over weighted fields), vector search and their fusion.
+"""What search is made of: the analyser, pages of hits, vector search and its fusion with words, keyboards, typos.
 
-The index is a table of postings (doc, term, tf, length). Statistics are the whole index's, whatever a
-question filters. Scores are added as integers of 2**-32, so that the order of additions doesn't matter.
+Word search itself is by a kept index (wordindex). Scores are added as integers of 2**-32, so that the order of
+additions doesn't matter.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stem import russian
-
 K1, B = 1.2, 0.75
 POINTS = 2.0**32
 PREFIX_WEIGHT = 0.5
 PREFIX_WORDS = 64
 STEM_WEIGHT = 0.75
-#: What a stem begins with in the postings, so that it is no word.
-STEM = "\x01"
 #: Words of a question that prefix_every looks at.
 EVERY_WORDS = 8
 
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
-_TERM = regex.compile(r"[\p{L}\p{N}\p{M}'’.]+")
+# Words by the default word boundaries of Unicode (UAX #29): letters and numbers, with marks; signs between two letters, or
+# between two numbers, don't part them.
+_LETTER, _MARKS = r"[\p{WB=ALetter}\p{WB=Hebrew_Letter}]", r"[\p{WB=Extend}\p{WB=Format}\p{WB=ZWJ}]*"
+_WORD = regex.compile(
+    rf"(?:(?:{_LETTER}{_MARKS}(?:[\p{{WB=MidLetter}}\p{{WB=MidNumLet}}\p{{WB=Single_Quote}}]{_MARKS}(?={_LETTER})|(?<=\p{{WB=Hebrew_Letter}}{_MARKS})\"{_MARKS}(?=\p{{WB=Hebrew_Letter}}))?)"
+    rf"|(?:\p{{WB=Numeric}}{_MARKS}(?:[\p{{WB=MidNum}}\p{{WB=MidNumLet}}\p{{WB=Single_Quote}}]{_MARKS}(?=\p{{WB=Numeric}}))?)"
+    rf"|\p{{WB=ExtendNumLet}}{_MARKS}|\p{{WB=Katakana}}{_MARKS})+|[^\s\p{{P}}\p{{S}}]{_MARKS}"
+)
+_KEPT = regex.compile(r"[^\p{L}\p{N}\p{M}]")
+_ALNUM = regex.compile(r"[\p{L}\p{N}]")
+
+
+class _Plain(dict):
+    """What each sign outside ASCII becomes where no combining mark stands apart."""
+
+    def __missing__(self, code: int):
+        c = chr(code)
+        self[code] = out = c if code < 128 else _normal(c)
+        return out
 
 
 def normalised(text: str) -> str:
     """NFKC, lower case, without marks on Latin, Cyrillic and Greek letters, ё as е."""
+    if text.isascii():
+        return text.lower()
     text = unicodedata.normalize("NFKC", text).lower()
+    if _APART.search(text):
+        return _normal(text)
+    return text.translate(_SIGNS)
+
+
+def _normal(text: str) -> str:
     out, base = [], ""
-    for c in unicodedata.normalize("NFD", text):
+    for c in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower()):
         if unicodedata.combining(c):
             if regex.match(r"[\p{Latin}\p{Cyrillic}\p{Greek}]", base or " "):
                 if not (base == "и" and c == "̆"):
@@ -44,106 +65,26 @@ def normalised(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(out)).replace("ё", "е")
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text; runs of scripts without spaces become overlapping pairs."""
-    out = []
-    for piece in _TERM.findall(normalised(text or "")):
-        at = 0
-        for run in _UNSPACED.finditer(piece):
-            out += _plain(piece[at : run.start()])
-            g = regex.findall(r"\X", run[0])
-            out += [a + b for a, b in zip(g, g[1:])] or g
-            at = run.end()
-        out += _plain(piece[at:])
-    return out
-
-
-def _plain(piece: str) -> list[str]:
-    w = regex.sub(r"[^\p{L}\p{N}\p{M}]", "", piece)
-    return [w] if regex.search(r"[\p{L}\p{N}]", w) else []
-
-
-def words_column():
-    @F.pandas_udf("array<string>")
-    def analysed(s: pd.Series) -> pd.Series:
-        return s.map(words)
-
-    return analysed
-
-
-def stemmed(text: str | None) -> list[str]:
-    """The words of a text, and the stems of its Cyrillic words, marked as such."""
-    found = words(text)
-    return found + [STEM + russian(w) for w in found if regex.search(r"\p{Cyrillic}", w)]
-
-
-def stemmed_column():
-    @F.pandas_udf("array<string>")
-    def analysed(s: pd.Series) -> pd.Series:
-        return s.map(stemmed)
-
-    return analysed
-
-
-def ascii_terms(text):
-    """Terms of letters and digits a-z 0-9, inside the JVM."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
-
-
-def postings(docs: DataFrame, key: str, text: str = "text", terms=None) -> DataFrame:
-    """(doc, term, tf, length) of every document; documents without terms have none."""
-    t = docs.select(F.col(key).alias("doc"), (terms or ascii_terms)(F.col(text)).alias("terms"))
-    t = t.withColumn("length", F.size(F.filter("terms", lambda w: ~F.startswith(w, F.lit(STEM))) if terms else "terms")).select("doc", "length", F.explode("terms").alias("term"))
-    return t.groupBy("doc", "term", "length").agg(F.count("*").alias("tf"))
+_APART = regex.compile(r"\p{M}")
+_SIGNS = _Plain()
 
 
-def statistics(index: DataFrame) -> DataFrame:
-    """One row: documents and their mean length."""
-    return index.select("doc", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-
-
-def bm25(index: DataFrame, asked: list[str], prefix: str | None = None) -> DataFrame:
-    """(doc, points, score) of the documents that hold any of the words, or a longer word of the last one's prefix."""
-    weight = F.when(F.startswith("term", F.lit(STEM)), STEM_WEIGHT).otherwise(1.0)
-    hits = (index.where(F.col("term").isin(asked)) if asked else index.limit(0)).select("doc", "term", "tf", "length", weight.alias("weight"))
-    if prefix and len(prefix) >= 2:
-        hits = hits.unionByName(_longer(index, prefix))
-    return _points(hits, index).groupBy("doc").agg(F.sum("points").alias("points")).withColumn("score", F.col("points") / POINTS)
-
-
-def _longer(index: DataFrame, prefix: str) -> DataFrame:
-    """Postings of the longer words of a prefix that most documents hold, as one term."""
-    held = index.where(F.startswith("term", F.lit(prefix)) & (F.col("term") != prefix))
-    most = held.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(PREFIX_WORDS)
-    held = held.join(F.broadcast(most.select("term")), "term")  # at most PREFIX_WORDS terms
-    held = held.groupBy("doc", "length").agg(F.sum("tf").alias("tf"))
-    return held.select("doc", F.lit(prefix + "*").alias("term"), "tf", "length", F.lit(PREFIX_WEIGHT).alias("weight"))
-
-
-def _points(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """hits (doc, term, tf, length, weight) with the points of each, by the statistics of the whole index."""
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(statistics(index)))  # a row for each word that is asked for; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return scored.withColumn("points", F.floor(F.col("weight") * idf * sat * POINTS + 0.5).cast("long"))
+def words(text: str | None) -> list[str]:
+    """The words of a text, of letters, numbers and marks alone; runs of scripts without spaces become overlapping pairs."""
+    text = normalised(text or "")
+    if text.isascii() or not _UNSPACED.search(text):
+        return _plain(text)
+    out, at = [], 0
+    for run in _UNSPACED.finditer(text):
+        out += _plain(text[at : run.start()])
+        g = regex.findall(r"\X", run[0])
+        out += [a + b for a, b in zip(g, g[1:])] or g
+        at = run.end()
+    return out + _plain(text[at:])
 
 
-def prefix_every(index: DataFrame, asked: list[str]) -> DataFrame:
-    """(doc, every, points, score): each of the first words also matches longer words; documents that hold all of them
-    score more by the sum of each list's best, so that they come first."""
-    asked = list(dict.fromkeys(w for w in asked if len(w) >= 2))[:EVERY_WORDS]
-    if not asked:
-        return index.limit(0).select("doc", F.lit(False).alias("every"), F.lit(0).cast("long").alias("points"), F.lit(0.0).alias("score"))
-    hits = index.where(F.col("term").isin(asked)).select("doc", "term", "tf", "length", F.lit(1.0).alias("weight"))
-    for w in asked:
-        hits = hits.unionByName(_longer(index, w))
-    scored = _points(hits, index)
-    best = scored.groupBy("term").agg(F.max("points").alias("p")).agg(F.sum("p").alias("raise"))
-    by_doc = scored.groupBy("doc").agg(F.sum("points").alias("points"), F.count_distinct(F.rtrim("term", F.lit("*"))).alias("held")).join(F.broadcast(best))  # one row
-    every = F.col("held") == len(asked)
-    points = F.col("points") + F.when(every, F.col("raise")).otherwise(0)
-    return by_doc.select("doc", every.alias("every"), points.alias("points")).withColumn("score", F.col("points") / POINTS)
+def _plain(text: str) -> list[str]:
+    return [w if w.isalnum() else _KEPT.sub("", w) for w in _WORD.findall(text) if _ALNUM.search(w)]
 
 
 def best(scored: DataFrame, limit: int = 10, offset: int = 0) -> DataFrame:
@@ -198,21 +139,6 @@ def retyped(piece: str, there: str, here: str) -> str:
     return piece.translate(str.maketrans(LAYOUTS[there], LAYOUTS[here]))
 
 
-def read_layouts(index: DataFrame, text: str, layouts: tuple[str, ...] = ("en", "ru")) -> tuple[str, bool]:
-    """A question as it is best read, and whether that differs: a piece none of whose words is held is read as typed on
-    another layout, if each word of that reading is held. The words of one question are looked up, nothing else."""
-    pieces = text.split()
-    ways = {p: [r for a in layouts for b in layouts if a != b and (r := retyped(p, a, b)) != p] for p in pieces}
-    asked = {w for p in pieces for t in (p, *ways[p]) for w in words(t)}
-    held = {r["term"] for r in index.where(F.col("term").isin(list(asked))).select("term").distinct().collect()} if asked else set()
-    out = []
-    for p in pieces:
-        if not held & set(words(p)):
-            p = next((r for r in ways[p] if words(r) and set(words(r)) <= held), p)
-        out.append(p)
-    return " ".join(out), out != pieces
-
-
 # --- typos -----------------------------------------------------------------------------------------
 
 
@@ -229,38 +155,3 @@ def damerau(a: str, b: str, most: int) -> int:
                 d = min(d, last[j - 2] + 1)
             row.append(d)
     return row[-1] if row[-1] <= most else most + 1
-
-
-def corrections(index: DataFrame, word: str) -> DataFrame:
-    """(term, edits, df): the words nearest to one that nothing matches: one edit from 5 letters, two from 9; held by most first."""
-    most = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
-    vocabulary = index.groupBy("term").agg(F.count("*").alias("df"))
-    if not most:
-        return vocabulary.limit(0).select("term", F.lit(0).alias("edits"), "df")
-    near = vocabulary.where(F.length("term").between(len(word) - most, len(word) + most))
-
-    @F.pandas_udf("int")
-    def edits(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: damerau(word, t, most))
-
-    found = near.withColumn("edits", edits(F.col("term"))).where((F.col("edits") > 0) & (F.col("edits") <= most))
-    least = found.agg(F.min("edits").alias("least"))
-    return found.join(F.broadcast(least), F.col("edits") == F.col("least")).drop("least").orderBy(F.desc("df"), "term").limit(8).select("term", "edits", "df")
-
-
-def matches(docs: DataFrame, key: str, text: str, asked: list[str]) -> DataFrame:
-    """(doc, start, length, word): where a page of hits holds the words, in UTF-8 bytes."""
-
-    def spans(s: str | None) -> list:
-        out = []
-        for m in regex.finditer(r"[\p{L}\p{N}\p{M}]+", s or ""):
-            w = normalised(m[0])
-            if w in asked:
-                out.append((len(s[: m.start()].encode()), len(m[0].encode()), w))
-        return out
-
-    @F.pandas_udf("array<struct<start:int,length:int,word:string>>")
-    def found(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"start": a, "length": n, "word": w} for a, n, w in spans(t)])
-
-    return docs.select(F.col(key).alias("doc"), F.explode(found(F.col(text))).alias("x")).select("doc", "x.*")

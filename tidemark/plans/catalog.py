@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cron, exact, timegrid
-from ..operators import search, state
+from ..operators import search, state, wordindex
 from ..operators.metrics import COUNTER, FRACTIONS, Metrics, grid_index, grid_interval, ingest, interval, merged_grids, replace_range
 from ..operators.records import Records, appended, filled
 from ..operators.tablequery import TableQuery, either, eq, every, is_in
+from ..operators.wordindex import WordIndex
 from ..session import ship
 from ..sources import formats
 from ..sources.tables import records, samples, table
@@ -479,87 +480,140 @@ def sql_rollup(spark, d):
 
 # --- search ------------------------------------------------------------------------------------------
 
-TERMS = "t AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS terms FROM documents), x AS (SELECT doc, len(terms) AS length, unnest(terms) AS term FROM t), p AS (SELECT doc, length, term, count(*) AS tf FROM x GROUP BY ALL), s AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc, length FROM p))"
-_ASKED = ", ".join(f"'{w}'" for w in ASKED)
-SCORED = f"""WITH {TERMS}, h AS (SELECT * FROM p WHERE term IN ({_ASKED})), f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
-b AS (SELECT doc, cast(sum(cast(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (1.2::double + 1) / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * length / mean))) * 4294967296.0::double + 0.5) as bigint)) as bigint) AS points FROM h JOIN f USING (term), s GROUP BY doc)
+FIELDS = {"text": 1.0, "source": 2.0}
+ASKED_TEXT = "the than, eaou thinor"
+#: The analyser in SQL: marks off, words by the signs that may stand within them, letters and numbers alone.
+_PARTED = r"regexp_replace(regexp_replace({0}, '(\p{{L}}\p{{M}}*)[.'':·’](\p{{L}})', '\1\2', 'g'), '(\p{{L}}\p{{M}}*)[.'':·’](\p{{L}})', '\1\2', 'g')"
+_JOINED = r"regexp_replace(regexp_replace({0}, '(\p{{N}})[.,;''](\p{{N}})', '\1\2', 'g'), '(\p{{N}})[.,;''](\p{{N}})', '\1\2', 'g')"
+
+
+def terms_of(text: str) -> str:
+    parted = _JOINED.format(_PARTED.format(f"strip_accents(lower(coalesce({text}, '')))"))
+    return rf"list_filter(list_transform(regexp_extract_all({parted}, '[\p{{L}}\p{{N}}\p{{M}}_]+'), lambda x: replace(x, '_', '')), lambda x: x <> '')"
+
+
+_SAT = "tf * (1.2::double + 1) / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * length / (tokens / n)))"
+TERMS = f"""t AS (SELECT doc_id AS doc, 0 AS field, 1.0::double AS weight, {terms_of('text')} AS terms FROM documents UNION ALL SELECT doc_id, 1, 2.0::double, {terms_of('source')} FROM documents),
+x AS (SELECT doc, field, weight, len(terms) AS length, unnest(terms) AS term FROM t), p AS (SELECT doc, field, weight, length, term, count(*) AS tf FROM x GROUP BY ALL),
+s AS (SELECT field, cast(sum(len(terms)) as double) AS tokens, (SELECT count(*) FROM documents) AS n FROM t GROUP BY field)
 """
 
 
-def index(spark, d) -> DataFrame:
-    return search.postings(table(spark, d, "documents"), "doc_id")
+def scored_by(asked: list[str], table: str = "p") -> str:
+    """(doc, points) of words of a question; stems of words that aren't Cyrillic are the words, but nothing is held by them."""
+    some = ", ".join(f"'{w}'" for w in asked)
+    return f"""WITH {TERMS}, h AS (SELECT * FROM {table} WHERE term IN ({some})), f AS (SELECT field, term, count(*) AS df FROM h GROUP BY field, term),
+b AS (SELECT doc, cast(sum(cast(floor(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * ({_SAT}) * 4294967296.0::double + 0.5) as bigint)) as bigint) AS points FROM h JOIN f USING (field, term) JOIN s USING (field) GROUP BY doc)
+"""
+
+
+SCORED = scored_by(ASKED)
+
+
+def index(spark, d) -> WordIndex:
+    """The documents' index, by their texts and, twice as heavy, their sources. Built once in an application."""
+    return wordindex.kept(table(spark, d, "documents"), d, "doc_id", FIELDS)
 
 
 @query(SCORED + "SELECT doc, points, points / 4294967296.0::double AS score FROM b ORDER BY points DESC, doc LIMIT 10")
 def search_bm25_top10(spark, d):
-    return search.best(search.bm25(index(spark, d), ASKED))
+    return search.best(index(spark, d).scored(ASKED_TEXT, correct=False)[0])
+
+
+@query(scored_by(["the", "src1"]) + "SELECT b.doc AS id, text AS value_text, points / 4294967296.0::double AS score, points / 4294967296.0::double AS text_score, cast(NULL as double) AS similarity FROM b JOIN documents ON doc_id = doc ORDER BY points DESC, id LIMIT 7 OFFSET 5")
+def search_hits_of_two_fields(spark, d):
+    """A page of hits with their values, by words of either field."""
+    page = index(spark, d).search("The src1", limit=7, offset=5).page
+    return page.select("id", F.col("value.text").alias("value_text"), "score", "text_score", "similarity")
 
 
 @query(SCORED + "SELECT doc, points FROM b JOIN documents ON doc = doc_id WHERE lang IN ('en') AND n_chars BETWEEN 500 AND 3000 ORDER BY points DESC, doc LIMIT 10")
 def search_bm25_filtered(spark, d):
-    passing = table(spark, d, "documents").where("lang IN ('en') AND n_chars BETWEEN 500 AND 3000").select(F.col("doc_id").alias("doc"))
-    return search.best(search.bm25(index(spark, d), ASKED).join(passing, "doc", "left_semi")).select("doc", "points")
+    return search.best(index(spark, d).scored(ASKED_TEXT, correct=False, where=F.expr("lang IN ('en') AND n_chars BETWEEN 500 AND 3000"))[0]).select("doc", "points")
 
 
 @query(SCORED + "SELECT least(count(*), 10000) AS count, count(*) > 10000 AS at_least FROM b")
 def search_total(spark, d):
-    return search.total(search.bm25(index(spark, d), ASKED))
+    return index(spark, d).search(ASKED_TEXT, correct=False).total()
 
 
-@query(f"WITH {TERMS} SELECT term, count(*) AS df FROM p WHERE starts_with(term, 'thin') AND term <> 'thin' GROUP BY term ORDER BY df DESC, term LIMIT 64")
+@query(f"WITH {TERMS} SELECT term, count(DISTINCT doc) AS df FROM p WHERE starts_with(term, 'thin') AND term <> 'thin' GROUP BY term ORDER BY df DESC, term LIMIT 64")
 def search_prefix_words(spark, d):
-    i = index(spark, d)
-    return i.where(F.startswith("term", F.lit("thin")) & (F.col("term") != "thin")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(search.PREFIX_WORDS)
+    v = index(spark, d).vocabulary
+    return v.where(F.startswith("term", F.lit("thin")) & (F.col("term") != "thin")).orderBy(F.desc("df"), "term").select("term", "df").limit(search.PREFIX_WORDS)
+
+
+def prefixed_by(asked: list[str], starts: list[str]) -> str:
+    """(doc, list, points) of words, of which some also begin longer ones, and m, the sum of the lists' best."""
+    some, first = ", ".join(f"'{w}'" for w in asked), "', '".join(starts)
+    return f"""WITH {TERMS}, a AS (SELECT unnest(['{first}']) AS ask),
+l AS (SELECT field, ask, term FROM (SELECT field, ask, term, row_number() OVER (PARTITION BY field, ask ORDER BY count(*) DESC, term) AS r FROM p JOIN a ON starts_with(term, ask) AND term <> ask GROUP BY field, ask, term) WHERE r <= 64),
+h AS (SELECT doc, field, length, term AS list, tf, weight FROM p WHERE term IN ({some}) UNION ALL SELECT doc, field, length, ask || '*', cast(sum(tf) as bigint), any_value(weight) * 0.5::double FROM p JOIN l USING (field, term) GROUP BY doc, field, length, ask),
+f AS (SELECT field, list, count(*) AS df FROM h GROUP BY field, list),
+o AS (SELECT doc, field, list, cast(floor(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * ({_SAT}) * 4294967296.0::double + 0.5) as bigint) AS points FROM h JOIN f USING (field, list) JOIN s USING (field)),
+m AS (SELECT cast(sum(q) as bigint) AS above FROM (SELECT max(points) AS q FROM o GROUP BY field, list))
+"""
 
 
-@query()
+@query(prefixed_by(["the", "thin"], ["thin"]) + "SELECT doc, cast(sum(points) as bigint) AS points FROM o GROUP BY doc ORDER BY points DESC, doc LIMIT 10")
 def search_prefix_last(spark, d):
-    """Words and the prefix of the last one."""
-    return search.best(search.bm25(index(spark, d), ["the"], "thin"))
+    """Words, of which the last may still be being typed."""
+    return search.best(index(spark, d).scored("the thin", prefix="last", correct=False)[0]).select("doc", "points")
 
 
-@query(f"""WITH {TERMS}, v AS (SELECT term, count(*) AS df, damerau_levenshtein(term, 'thtioned') AS e FROM p GROUP BY term), c AS (SELECT * FROM v WHERE e = 1 AND abs(length(term) - 8) <= 1)
+@query(prefixed_by(["the", "thin"], ["the", "thin"]) + "SELECT doc, cast(sum(points) + CASE WHEN count(DISTINCT rtrim(list, '*')) = 2 THEN any_value(above) ELSE 0 END as bigint) AS points FROM o, m GROUP BY doc ORDER BY points DESC, doc LIMIT 10")
+def search_prefix_every(spark, d):
+    return search.best(index(spark, d).scored("the thin", prefix="every", correct=False)[0]).select("doc", "points")
+
+
+@query(f"""WITH {TERMS}, v AS (SELECT term, count(DISTINCT doc) AS df, damerau_levenshtein(term, 'thtioned') AS e FROM p GROUP BY term), c AS (SELECT * FROM v WHERE e = 1 AND abs(length(term) - 8) <= 1)
 SELECT term, cast(e as integer) AS edits, df FROM c ORDER BY df DESC, term LIMIT 8""")
 def search_typo_corrected(spark, d):
-    return search.corrections(index(spark, d), "thtioned")
+    return index(spark, d).corrections("thtioned")
 
 
 @query(SCORED + "SELECT doc, points FROM b ORDER BY points DESC, doc LIMIT 10")
 def search_layouts(spark, d):
     """The question as the same keys give on a Russian layout, read back."""
-    i = index(spark, d)
-    asked, _ = search.read_layouts(i, " ".join(search.retyped(w, "en", "ru") for w in ASKED))
-    return search.best(search.bm25(i, search.words(asked))).select("doc", "points")
+    return search.best(index(spark, d).scored(" ".join(search.retyped(w, "en", "ru") for w in ASKED), correct=False)[0]).select("doc", "points")
 
 
-_EVERY = "', '".join(["the", "thin"])
+@query(f"""WITH {TERMS}, v AS (SELECT term, count(DISTINCT doc) AS df, damerau_levenshtein(term, 'thtioned') AS e FROM p GROUP BY term),
+w AS (SELECT term FROM v WHERE NOT EXISTS (SELECT 1 FROM v WHERE e = 0) AND e = 1 ORDER BY df DESC, term LIMIT 1)
+SELECT 'the ' || coalesce((SELECT term FROM w), 'thtioned') AS corrected""")
+def search_reads_typos(spark, d):
+    """How a question with a word that nothing holds is read."""
+    return spark.createDataFrame([(index(spark, d).read("the thtioned")[1],)], "corrected string").select(F.coalesce("corrected", F.lit("the thtioned")).alias("corrected"))
 
 
-@query(f"""WITH {TERMS}, s2 AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT doc, length FROM x)),
-a AS (SELECT unnest(['{_EVERY}']) AS ask),
-l AS (SELECT ask, term FROM (SELECT ask, term, row_number() OVER (PARTITION BY ask ORDER BY count(*) DESC, term) AS r FROM p JOIN a ON starts_with(term, ask) AND term <> ask GROUP BY ask, term) WHERE r <= 64),
-h AS (SELECT doc, length, ask, ask AS term, tf, 1.0::double AS weight FROM p JOIN a ON term = ask UNION ALL SELECT doc, length, ask, ask || '*', cast(sum(tf) as bigint), 0.5::double FROM p JOIN l USING (term) GROUP BY doc, length, ask),
-f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
-o AS (SELECT doc, ask, term, cast(floor(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * (1.2::double + 1) / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * length / mean))) * 4294967296.0::double + 0.5) as bigint) AS points FROM h JOIN f USING (term), s2),
-m AS (SELECT cast(sum(q) as bigint) AS raise FROM (SELECT max(points) AS q FROM o GROUP BY term))
-SELECT doc, count(DISTINCT ask) = 2 AS every, cast(sum(points) + CASE WHEN count(DISTINCT ask) = 2 THEN any_value(raise) ELSE 0 END as bigint) AS points FROM o, m GROUP BY doc ORDER BY points DESC, doc LIMIT 10""")
-def search_prefix_every(spark, d):
-    return search.best(search.prefix_every(index(spark, d), ["the", "thin"])).select("doc", "every", "points")
-
-
-@query()
+@query(SCORED + """, top AS (SELECT doc, points FROM b ORDER BY points DESC, doc LIMIT 10)
+SELECT doc, 'text' AS field, word, count(*) AS places FROM (SELECT doc, unnest(""" + terms_of("text") + """) AS word FROM top JOIN documents ON doc_id = doc) WHERE word IN (""" + ", ".join(f"'{w}'" for w in ASKED) + """) GROUP BY ALL""")
 def search_matches(spark, d):
-    """Where the best hits hold the words."""
-    hits = search.best(search.bm25(index(spark, d), ASKED)).select(F.col("doc").alias("_doc"))
-    docs = table(spark, d, "documents").join(F.broadcast(hits), F.col("doc_id") == F.col("_doc"))  # ten rows
-    return search.matches(docs, "doc_id", "text", ASKED)
+    """How often the best hits hold the words, by the places of their matches."""
+    return index(spark, d).search(ASKED_TEXT, correct=False).matches().groupBy("doc", "field", "word").agg(F.count("*").alias("places"))
 
 
-@query()
-def search_unicode_postings(spark, d):
+@query(f"WITH {TERMS} SELECT term, count(DISTINCT doc) AS df FROM p GROUP BY term")
+def search_unicode_vocabulary(spark, d):
     """The vocabulary under the full analyser."""
-    terms = search.words_column()
-    return search.postings(table(spark, d, "documents"), "doc_id", terms=terms).groupBy("term").agg(F.count("*").alias("df"))
+    return index(spark, d).vocabulary.select("term", "df")
+
+
+@query(scored_by(["the", "src1"], "(SELECT p.* FROM p JOIN documents ON doc = doc_id WHERE doc_id % 7 <> 0)").replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 7 <> 0)") + "SELECT doc, points FROM b ORDER BY points DESC, doc LIMIT 10")
+def search_after_delete(spark, d):
+    """The best hits when every seventh document is deleted: statistics are those of what is left."""
+    i = index(spark, d)
+    return search.best(i.delete(i.docs.where("doc_id % 7 = 0").select("doc_id")).scored("the src1", correct=False)[0]).select("doc", "points")
+
+
+@query("""SELECT doc_id AS doc, 2 AS words FROM documents WHERE doc_id % 40 = 3""")
+def search_after_set_many(spark, d):
+    """Documents set anew are found by their new words, and no longer by others."""
+    i = index(spark, d)
+    changed = i.docs.where("doc_id % 40 = 3").withColumn("text", F.lit("Quixotic zebras"))
+    new = i.set_many(changed.limit(wordindex.MOST_SET))
+    hits = new.postings.join(new.docs.where("doc_id % 40 = 3").select("doc_id"), F.col("doc") == F.col("doc_id")).where("field = 0").groupBy("doc").agg(F.count("*").cast("int").alias("words"))
+    return hits.join(new.scored("QUIXOTIC", correct=False)[0].select("doc"), "doc", "left_semi")
 
 
 def asked_vector(spark, d) -> list[float]:
@@ -586,14 +640,14 @@ z AS (SELECT doc, CASE WHEN max(s) OVER () = min(s) OVER () THEN 1.0 ELSE (s - m
 SELECT doc, round(coalesce(w, 0) * 0.5 + coalesce(z, 0) * 0.5, 7) AS score FROM w FULL JOIN z USING (doc) ORDER BY score DESC, doc LIMIT 10""")
 def hybrid_fused_top10(spark, d):
     near = search.cosine(table(spark, d, "embeddings"), "vec_id", "embedding", asked_vector(spark, d)).withColumn("similarity", F.round("similarity", 9))
-    return search.best(search.fused(search.bm25(index(spark, d), ASKED), near).withColumn("score", F.round("score", 7)))
+    return search.best(search.fused(index(spark, d).scored(ASKED_TEXT, correct=False)[0], near).withColumn("score", F.round("score", 7)))
 
 
 @query(SCORED + f""", {VECTORS}, a AS (SELECT doc, points / 4294967296.0::double AS s FROM b ORDER BY s DESC, doc LIMIT 100)
 SELECT doc, coalesce(similarity, -1.0) AS score FROM a LEFT JOIN v USING (doc) ORDER BY score DESC, s DESC, doc LIMIT 20""")
 def hybrid_rerank(spark, d):
     near = search.cosine(table(spark, d, "embeddings"), "vec_id", "embedding", asked_vector(spark, d)).withColumn("similarity", F.round("similarity", 9))
-    return search.reranked(search.bm25(index(spark, d), ASKED), near).orderBy(F.desc("score"), F.desc("text_score"), "doc").limit(20).select("doc", "score")
+    return search.reranked(index(spark, d).scored(ASKED_TEXT, correct=False)[0], near).orderBy(F.desc("score"), F.desc("text_score"), "doc").limit(20).select("doc", "score")
 
 
 # --- state, changes, streams -----------------------------------------------------------------------------
