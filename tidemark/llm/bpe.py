@@ -30,8 +30,8 @@ from . import common
 LONGEST_ROW = 512
 #: Cells of a matrix.
 CELLS = 4_000_000
-#: Chunks a worker remembers.
-REMEMBERED = 500_000
+#: Chunks a worker remembers, and their characters in all.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 50_000_000
 #: No pair.
 NONE = np.int32(2**31 - 1)
 #: Unicode white space, as the tiktoken library's patterns know it.
@@ -105,6 +105,7 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.seen: dict[str, bytes] = {}
+        self.seen_chars = 0
 
     # -- merging
 
@@ -191,13 +192,15 @@ class Codec:
         split = {c: (c,) if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else findall(c) for c in chunks}
         known = {p: p.encode("utf-8", "surrogatepass") for parts in split.values() for p in parts}
         ids = self.pieces(list(set(known.values())))
+        self.seen_chars += sum(map(len, split))
         for c, parts in split.items():
             self.seen[c] = ids[known[parts[0]]] if len(parts) == 1 else b"".join([ids[known[p]] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed; a null is empty."""
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > REMEMBERED or self.seen_chars > REMEMBERED_CHARS:
             self.seen.clear()
+            self.seen_chars = 0
         cut = []
         for text in texts:
             if not text:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: ASCII white space that ends a word, and the pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,19 +28,8 @@ BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors once, and bounds the Arrow batches by BATCH_ROWS."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tidemark_sent", None) is None:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        made = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
-        with zipfile.ZipFile(made, "w") as z:
-            for folder, _, names in os.walk(os.path.join(root, "tidemark")):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(made)  # served by the driver, like spark-submit --py-files
-        sc._tidemark_sent = made
+    """Sends this package to the executors once, and bounds the session's Arrow batches by BATCH_ROWS, as texts may be very long."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
@@ -181,6 +170,22 @@ def split_by_bitmap(rows: DataFrame, key, wanted: DataFrame, wanted_key) -> tupl
     return met.where(on).select(*map(quoted, rows.columns)), met.where(~on).select(*map(quoted, rows.columns))
 
 
+def with_table(rows: DataFrame, key: str, groups: DataFrame, size: str, tie: Column) -> DataFrame:
+    """rows left-joined with the columns of groups (stored, small next to rows; key not null and once) by a key that may be null.
+
+    size: the column of groups with the rows of each. Heavy groups, fewer than HEAVY, are broadcast; their rows, and those without
+    a key, go by tie, a hash that spreads them, through the shuffle of the others.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HEAVY > total
+    columns = [c for c in groups.columns if c not in (key, size)]
+    named = lambda df, end: df.select(F.col(key).alias(f"_k{end}"), F.struct(*columns).alias(f"_v{end}"))
+    met = rows.join(F.broadcast(named(groups.where(hot), 1)), F.col(key) == F.col("_k1"), "left")
+    met = met.withColumn("_k", F.when(F.col(key).isNotNull() & F.col("_k1").isNull(), F.concat(F.lit("k"), F.col(key))).otherwise(F.concat(F.lit("t"), tie.cast("string"))))
+    met = met.join(named(groups.where(~hot), 2).withColumn("_k2", F.concat(F.lit("k"), F.col("_k2"))), F.col("_k") == F.col("_k2"), "left")
+    return met.withColumn("_v", F.coalesce("_v1", "_v2")).select(*rows.columns, *(F.col(f"_v.{c}").alias(c) for c in columns))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of df has it."""
     have, out = {c.lower() for c in df.columns}, []

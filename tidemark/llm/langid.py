@@ -132,8 +132,8 @@ def identified(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataF
     rows = rows.withColumn("soft", soft).drop("path")
     rows = stored(rows)
 
-    def sums(keys: list[str]) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.array(*(F.sum(F.get("soft", F.lit(i))) for i in range(n))).alias("sums"))
+    def sums(key: str) -> DataFrame:
+        return stored(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_c"), F.array(*(F.sum(F.get("soft", F.lit(i))) for i in range(n))).alias(f"s_{key}")))
 
     everything = rows.agg(F.array(*(F.coalesce(F.sum(F.get("soft", F.lit(i))), F.lit(0.0)) for i in range(n))).alias("s")).first()["s"]
     total = sum(everything) or 1.0
@@ -142,10 +142,8 @@ def identified(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataF
     flat = F.array(*(F.lit(float(b)) for b in base))
     zero = F.array(*(F.lit(0.0) for _ in range(n)))
     out = rows
-    for key in ("declared", "suffix"):
-        out = out.join(sums([key]).select(F.col(key).alias(f"k_{key}"), F.col("sums").alias(f"s_{key}")), F.col(key) == F.col(f"k_{key}"), "left")
-    for key in ("top", "domain", "host"):
-        out = out.join(sums([key]).select(F.col(key).alias(f"k_{key}"), F.col("sums").alias(f"s_{key}")), F.col(key) == F.col(f"k_{key}"), "left")
+    for key in ("declared", "suffix", "top", "domain", "host"):
+        out = common.with_table(out, key, sums(key), "_c", F.xxhash64("page_id", "url"))
 
     def less(name: str):
         """The counts of a key without the page itself."""

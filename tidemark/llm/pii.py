@@ -12,6 +12,8 @@ the form kept), secret (access keys, and values of password=, secret=, token= an
 the value bare or in quotes, the name in quotes as in JSON; in quotes all that they hold up to the end of
 the line is the value, and the quotes and escapes stay).
 
+The key is a secret of the caller's, an argument or a setting of the session; there is no key in the program.
+
 A null text stays null; empty texts are unchanged. Texts of any length are searched whole. Repeated rows
 give repeated results. Columns that are named like results are replaced. Values that fail validation are
 no personal data and stay.
@@ -22,16 +24,17 @@ from __future__ import annotations
 import gc
 import hmac
 import re
+import secrets
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Stands in for a secret of the caller's; production callers pass their own.
-KEY = b"tidemark example key: replace it"
+#: The setting of the session that holds the key, as a text.
+KEY_SETTING = "spark.tidemark.pseudonyms.key"
 ROUNDS = 8
 #: Pseudonyms that a worker remembers.
 REMEMBERED = 200_000
@@ -44,7 +47,7 @@ _DAYS = (_LAST - _FIRST).days + 1
 _GIVES = r"[\"']?(?:[ \t]*|\s)[=:](?:[ \t]*|\s)"
 #: One pattern, tried from left to right; the kinds are named groups.
 PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
     r"|(?P<secret>\bAKIA[A-Z0-9]{16}\b|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api[_-]?key)" + _GIVES + r"(?:\"(?:[^\"\\\nA-Za-z0-9]|\\.)*+[A-Za-z0-9](?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\nA-Za-z0-9]|\\.)*+[A-Za-z0-9](?:[^'\\\n]|\\.)*+'|[\"']?[A-Za-z0-9_+/.-]*[A-Za-z0-9_+/-]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9./-]*[0-9]))"
@@ -221,9 +224,19 @@ def _into(form: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in form)
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, pii_spans (kind, start, end in the old text) and n_<kind> for every row. No shuffle."""
+_OWN_KEY = secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; where that is unset, a random one of this driver: its pseudonyms link all that it writes, and nothing else."""
+    said = spark.conf.get(KEY_SETTING, None)
+    return said.encode() if said else _OWN_KEY
+
+
+def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """doc_id, text with pseudonyms, pii_spans (kind, start, end in the old text) and n_<kind> for every row. No shuffle. key: else that of the session."""
     common.prepare(docs.sparkSession)
+    key = key or key_of(docs.sparkSession)
     names = ["doc_id", "text", "pii_spans", *(f"n_{k}" for k in KINDS)]
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     types = [pa.int64(), pa.string(), span] + [pa.int64()] * len(KINDS)

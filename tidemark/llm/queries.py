@@ -64,7 +64,17 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "marked_words", "n_tiles", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_pii, op4_licenses, op5_quality, op6_urls, op7_wrapper, op8_jaccard, op9_lines, op10_tiling)}
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's operator with redirects: each page is moved to the one before it, in chains of five pages, by way of another host."""
+    pages = table(spark, sf_dir, "pages")
+    way = F.concat(F.lit("https://moved.example/"), F.col("page_id").cast("string"))
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("dst"))
+    there = pages.where("page_id % 5 <> 0").select(F.col("url").alias("src"), way.alias("dst"))
+    on = pages.where("page_id % 5 <> 0").join(before, "page_id").select(way.alias("src"), "dst")
+    return urlfilter.verdicts(pages, redirects=there.unionByName(on)).select("page_id", "rule", "verdict", "by")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_langid, op3_pii, op4_licenses, op5_quality, op6_urls, op7_wrapper, op8_jaccard, op9_lines, op10_tiling, url_redirects)}
 
 _HOST = r"regexp_extract(u, '^([^/?#]*)', 1)"
 #: Pages of these tables hold no redirects or canonical links, so that the method's verdict is allow; the
@@ -86,3 +96,13 @@ SELECT page_id, host, path, rhost || rpath AS rule, CASE WHEN rverdict IS NULL A
        CASE WHEN rverdict IS NULL THEN 'default' ELSE 'rule' END AS by
 FROM m WHERE n = 1"""
 }
+# Pages are nodes by host, path and query; chains of five and equal nodes are closed over by labels.
+ORACLE_SQL["url_redirects"] = (
+    "WITH RECURSIVE " + ORACLE_SQL["op6_urls"].strip().removeprefix("WITH ").partition("SELECT page_id, host, path, rhost")[0].rstrip() + """,
+v AS (SELECT m.page_id, rhost || rpath AS rule, rverdict, m.host || CASE WHEN tail = '' OR tail LIKE '?%' THEN '/' || tail ELSE tail END AS node FROM m JOIN (SELECT page_id AS id, regexp_extract(u, '^[^/?#]*([^#]*)', 1) AS tail FROM p) ON id = m.page_id WHERE n = 1),
+e AS (SELECT DISTINCT a.page_id AS x, b.page_id AS y FROM v a JOIN v b ON a.page_id // 5 = b.page_id // 5 OR a.node = b.node),
+c AS (SELECT page_id AS x, page_id AS y FROM v UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+d AS (SELECT c.x AS page_id, CASE WHEN bool_or(rverdict = 'allow') THEN 'allow' WHEN bool_or(rverdict = 'block') THEN 'block' END AS alias FROM c JOIN v ON v.page_id = c.y GROUP BY c.x)
+SELECT v.page_id, rule, coalesce(rverdict, alias, 'allow') AS verdict, CASE WHEN rverdict IS NOT NULL THEN 'rule' WHEN alias IS NOT NULL THEN 'alias' ELSE 'default' END AS by
+FROM v JOIN d USING (page_id)"""
+)
