@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import exact, jsontext, timegrid
 from tidemark.operators import search, state
 from tidemark.operators.metrics import COUNTER, Metrics, interval
-from tidemark.operators.records import Records
+from tidemark.operators.records import Records, appended, filled
 from tidemark.operators.tablequery import Refused, TableQuery, bound, eq, has, ident, is_in
 from tidemark.operators.wordindex import WordIndex
 from tidemark.session import ship
@@ -272,3 +272,121 @@ def test_claims_and_outcomes(spark):
     said = spark.createDataFrame([(1, 1, True), (2, 1, False), (3, 3, False), (4, 7, True)], "id long, attempt long, ok boolean")
     out = {r["id"]: (r["state"], r["attempt"], str(r["next"])) for r in state.settled(jobs, said, "2026-01-05", 3, 60, 90).collect()}
     assert out[1] == ("done", 1, "None") and out[2] == ("waiting", 2, "2026-01-05 00:01:00") and out[3] == ("failed", 3, "None") and out[4][:2] == ("held", 1)
+
+
+# --- round 2
+
+
+def records_of(spark, fields):
+    rows = [(T0 + timedelta(minutes=i), "s", i, "n", 4, "m", f, "{}") for i, f in enumerate(fields)]
+    return Records(spark.createDataFrame(rows, "at timestamp_ntz, stream string, id long, name string, level int, message string, fields string, context string"))
+
+
+def test_numbers_are_compared_exactly(spark):
+    said = ["9007199254740993", "9007199254740992.0", "9007199254740994", "1e30", "1e-12", "0", "-1e300", "18446744073709551615", "1.8446744073709552e19", '"7"', "null"]
+    r = records_of(spark, [f'{{"v": {x}}}' for x in said] + ["{}", "no json", '{"v": 3, "v": 5}', '{"w": {"v": 9}, "v": "\\u0041"}', None])
+    got = [r.fields.partition(": ")[2].rstrip("}") for r in r.largest("v", 8).collect()]
+    assert got[:7] == ["1e30", "1.8446744073709552e19", "18446744073709551615", "9007199254740994", "9007199254740993", "9007199254740992.0", "3, \"v\": 5"]
+    values = [x.v for x in r.found().orderBy("id").select(r.value("v").alias("v")).collect()]
+    assert values == [*said, None, None, "5", '"\\u0041"', None]
+
+
+def test_sums_of_records(spark):
+    whole = records_of(spark, [f'{{"v": {x}}}' for x in (2**63, 2**63 - 1, -5, 1)]).aggregate(stats="v").first()
+    assert (int(whole.whole), whole.sum, whole.samples) == (2**64 - 5, float(2**64 - 5), 4)
+    mixed = records_of(spark, ['{"v": 9007199254740993}', '{"v": 0.5}', '{"v": 1e16}', '{"v": -1e16}']).aggregate(stats="v").first()
+    assert mixed.whole is None and mixed.sum == 9007199254740994.0
+    with pytest.raises(ValueError):
+        filled(records_of(spark, ["{}"] * 500).aggregate(every="1 second"), [], "1 second", ["events"])
+    r = records_of(spark, ["{}"])
+    assert appended(r.events, r.events.unionByName(r.events.withColumn("id", F.lit(None).cast("long")))).count() == 1
+
+
+def test_exact_sums_of_any_doubles(spark):
+    import math
+    import struct
+    from fractions import Fraction
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        values = [rng.choice([1, -1]) * math.ldexp(rng.random(), rng.randint(-1074, 1000 if g % 2 else 3)) for _ in range(60)]
+        values += [5e-324, -0.0, 1e308, -1e308, 2.0**-1022, 1.7976931348623157e308, -1.7976931348623157e308, 1e-7]
+        rows += [(g, v) for v in values]
+    rows += [(99, x * 1e-7) for x in range(1, 11)] + [(98, 1e33), (98, 1.0), (97, None)]
+    df = spark.createDataFrame(rows, "g long, v double")
+    want = {g: float(sum(Fraction(v) for k, v in rows if k == g and v is not None)) for g, _ in rows if g != 97} | {97: None}
+    assert {r.g: r["sum"] for r in exact.exact_sum(df, ("g",), "v").collect()} == want
+    parts = df.where("v IS NOT NULL").select("v", exact.split(F.col("v")).alias("x")).collect()
+    assert all(Fraction(r.x.m) * Fraction(2) ** r.x.e == Fraction(r.v) and abs(r.x.m) < 2**53 for r in parts) and struct
+
+
+def test_rates_go_by_what_the_range_leaves(spark):
+    m = Metrics(series(spark, [(1800 * i, 1800 * i) for i in range(97)]), ("s",), COUNTER)
+    days = m.calendar("day").aggregate("rate", "increase").orderBy("bucket").collect()
+    assert [(r.rate, r.increase) for r in days[:2]] == [(84600 / 86400, 84600.0), (1.0, 86400.0)]
+    cut = m.between("2024-01-01 10:20:00", "2024-01-01 12:40:00").every("1 hour").aggregate("rate").orderBy("bucket").collect()
+    assert [(r.rate, r.partial) for r in cut] == [(1800 / 2400, True), (1.0, False), (3600 / 2400, True)]
+    with pytest.raises(ValueError):
+        m.aggregate("rate")
+
+
+def test_gaps_and_partial_buckets(spark):
+    m = Metrics(series(spark, [(0, 1), (3600, 2), (3600 * 4, 3), (3600 * 30, 4)]), ("s",), COUNTER)
+    assert [r.gap for r in m.every("1 hour").aggregate("increase").orderBy("bucket").collect()] == [False, False, True, True]
+    assert [r.gap for r in m.calendar("day").aggregate("increase").orderBy("bucket").collect()] == [False, False]
+    assert m.between("2024-01-01 03:00:00", "2024-01-01 05:00:00").aggregate("increase").first().gap is False
+    assert m.between("2024-01-02 00:00:00", "2024-01-02 08:00:00").aggregate("increase").first().gap is True
+    assert [r.partial for r in m.every("1 day").aggregate("count", now="2024-01-02 12:00:00").orderBy("bucket").collect()] == [False, True]
+    assert [r.partial for r in m.retain("2024-01-01 02:00:00").every("1 day").aggregate("increase").orderBy("bucket").collect()] == [True, False]
+
+
+def test_what_no_aggregate_takes(spark):
+    nan, inf = float("nan"), float("inf")
+    for rows, kind in (([(0, 1), (1, nan)], "gauge"), ([(0, inf)], "gauge"), ([(0, -1)], COUNTER)):
+        with pytest.raises(Exception, match="an aggregate over"):
+            Metrics(series(spark, rows), ("s",), kind).every("1 day").aggregate("count", "last" if kind == COUNTER else "sum").collect()
+    r = Metrics(series(spark, [(0, 1), (1, nan), (2, 4), (3, nan)]), ("s",)).skip_nan().every("1 day").aggregate("sum", "delta", "first", "last").first()
+    assert (r["sum"], r.delta, r["first"], r["last"], r.samples, r.skipped) == (5.0, 3.0, 1.0, 4.0, 2, 2)
+
+
+def test_cursors_keep_types_and_know_their_query(spark):
+    from decimal import Decimal
+
+    rows = [(i, datetime(2024, 1, 1 + i // 3), Decimal(i % 2), None if i % 4 == 0 else i * 0.1) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, at timestamp_ntz, d decimal(10,2), f double")
+    for columns in (("at", "id"), ("d", "id"), ("f", "id")):
+        q = TableQuery.table(df)
+        for c in columns:
+            q = q.order_by(c)
+        got, next_ = [], None
+        while True:
+            page, next_ = q.list(5, next_)
+            got += [r.id for r in page]
+            if next_ is None:
+                break
+        assert got == [r.id for r in q.rows().collect()]
+        _, next_ = q.list(5)
+        with pytest.raises(Refused):
+            q.filter("id > 3").list(5, next_)
+    assert [r.id for r in TableQuery.table(df).order_by("id").each()] == list(range(12)) and TableQuery.table(df).columns().num_rows == 12
+    with pytest.raises(Refused):
+        bound(spark, "SELECT ? + ?", 1)
+    assert spark.sql(f"SELECT 1 AS {ident('a`b')}").columns == ["a`b"]
+    with pytest.raises(Refused):
+        TableQuery.table(df).cross_join(df, "o", most=11)
+
+
+def test_entries_renew_expire_and_compare(spark):
+    from tidemark.operators import keyvalue
+
+    hour = 3_600_000_000
+    log = [  # seq, hour, op, path, value, ttl, idle, expected
+        (1, 0, "set", "a/x", "1", None, 2 * hour, None), (2, 1, "read", "a/x", None, None, None, None), (3, 2, "set", "a/x", "2", None, None, 1), (4, 3, "set", "a/x", "3", None, None, 1),
+        (5, 0, "set", "b/y", "1", hour, None, 0), (6, 2, "set", "b/y", "2", None, None, 0), (7, 3, "clear", "c", None, None, None, None), (8, 1, "set", "c/z/1", "1", None, None, None),
+        (9, 4, "set", "c/z/2", "1", None, None, None), (10, 5, "clear", "c/z/2", None, None, None, None), (11, 0, "set", "d", "1", 9 * hour, 2 * hour, None), (12, 1, "read", "d", None, None, None, None),
+    ]
+    df = spark.createDataFrame([(s, T0 + timedelta(hours=h), *rest) for s, h, *rest in log], "seq long, at timestamp_ntz, op string, path string, value string, ttl long, idle long, expected long")
+    got = {r.path: (r.value, r.version, r.expires) for r in keyvalue.applied(df).collect()}
+    assert got == {"a/x": ("2", 2, None), "b/y": ("2", 2, None), "c/z/1": ("1", 1, None), "c/z/2": ("1", 1, None), "d": ("1", 1, T0 + timedelta(hours=3))}
+    assert [r.path for r in keyvalue.scan(keyvalue.applied(df), "2024-01-01 04:00:00").collect()] == ["a/x", "b/y", "c/z/1", "c/z/2"]

@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = re.compile(r"[ \t\r\n]*")
@@ -89,3 +90,20 @@ def says_column(wanted: str):
         return s.map(lambda t: says(t, wanted))
 
     return json_says
+
+
+# A flat object without escapes is read by the JVM alone; other texts go to the parser.
+_WS, _STRING = "[ \\t\\r\\n]*", '"[^"\\\\\\x00-\\x1f]*"'
+_SCALAR = _STRING + "|-?(?:0|[1-9][0-9]*)(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null"
+_FLAT = "^" + _WS + "\\{" + _WS + "(?:" + _STRING + _WS + ":" + _WS + "(?:" + _SCALAR + ")" + _WS + "(?:," + _WS + '(?=")|(?=\\})))*\\}' + _WS + "\\z"
+
+
+def value_of(text: Column, key: str) -> Column:
+    """The JSON text of a key of an object as it is spelled; null if it is absent, or if the text is no object."""
+    parsed = members_column()
+    if not key or re.search(r'["\\\x00-\x1f]', key):
+        return parsed(text)[key]
+    flat = F.coalesce(text.rlike(_FLAT), F.lit(False))
+    quoted = re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", key) if key.isascii() else key
+    said = F.regexp_extract(text, "(?s)^.*[{,]" + _WS + '"' + quoted + '"' + _WS + ":" + _WS + "(" + _SCALAR + ")", 1)  # the last one counts
+    return F.when(flat, F.nullif(said, F.lit(""))).otherwise(parsed(F.when(~flat, text))[key])

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
+from decimal import Decimal
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import jsontext, timegrid
+from ..functions import exact, jsontext, timegrid
+
+#: A number as JSON spells it.
+NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 
 #: Keys that are the event's own before they are a field's.
 OWN = ("stream", "name", "level", "message")
@@ -48,18 +55,29 @@ class Records:
         return self._with(F.startswith(self.value(key), F.lit(text)))
 
     def search(self, text: str) -> Records:
-        """A text in the message, the name or any JSON value, in any case; a plain look at the JSON text goes first."""
+        """A text in the message, the name or any JSON value, in any case; only JSON that holds it, or an escape, is parsed."""
         low = text.lower()
         has = lambda c: F.contains(F.lower(c), F.lit(low))
+        might = lambda c: F.when(has(c) | F.contains(F.col(c), F.lit("\\")), F.col(c))
         said = jsontext.says_column(text)
-        return self._with(has("message") | has("name") | said(F.col("fields")) | said(F.col("context")))
+        return self._with(has("message") | has("name") | F.coalesce(said(might("fields")), F.lit(False)) | F.coalesce(said(might("context")), F.lit(False)))
+
+    def trace(self, trace_id: str) -> Records:
+        """Events of one trace (a column trace_id of 32 hexadecimal digits)."""
+        if not re.fullmatch("[0-9a-f]{32}", trace_id):
+            raise ValueError(f"no trace: {trace_id!r}")
+        return self._with(F.col("trace_id") == trace_id)
+
+    def after(self, at: str, id_) -> Records:
+        """Events after a place in the order of time and arrival."""
+        t = F.lit(at).cast("timestamp_ntz")
+        return self._with((F.col("at") > t) | ((F.col("at") == t) & (F.col("id") > F.lit(id_))))
 
     def value(self, key: str) -> Column:
         """The JSON text of a key as it is spelled; null if it is absent."""
         if key in OWN:
             return F.col(key).cast("string")
-        spelled = jsontext.members_column()
-        return F.coalesce(spelled(F.col("fields"))[key], spelled(F.col("context"))[key])
+        return F.coalesce(jsontext.value_of(F.col("fields"), key), jsontext.value_of(F.col("context"), key))
 
     def found(self) -> DataFrame:
         df = self.events
@@ -83,26 +101,41 @@ class Records:
         return self.found().select(v.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("events")).orderBy(F.desc("events"), "value").limit(min(limit, 1000))
 
     def largest(self, key: str, limit: int = 10) -> DataFrame:
-        """Events by the key's number; integers and floats are compared exactly, as decimals."""
-        v = self.value(key)
-        n = F.when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), v.cast("decimal(38,10)"))
-        return self.found().withColumn("number", n).where("number IS NOT NULL").orderBy(F.desc("number"), "at", "id").limit(min(limit, 1000))
+        """Events by the key's number (a double, `number`); integers and floats are compared exactly: where doubles are equal, the wholes decide."""
+        df = self.found().withColumn("_v", self.value(key))
+        whole, number = _whole(F.col("_v")), F.when(F.col("_v").rlike(NUMBER), F.col("_v").try_cast("double"))
+        # Floats from 2**53 on are whole, and have the exact value m * 2**e; below that, equal doubles are equal numbers.
+        of_float = lambda x: (x["m"].cast("decimal(20,0)") * F.pow(F.lit(2.0), F.greatest(x["e"], F.lit(0))).cast("decimal(18,0)")).cast("decimal(38,0)")
+        wide = F.abs(F.col("number")).between(2.0**53, 2.0**65)
+        df = df.withColumns({"number": number, "_i": whole}).where("number IS NOT NULL")
+        df = df.withColumn("_exact", F.when(wide, F.coalesce(F.col("_i").cast("decimal(38,0)"), F.get(F.transform(F.array(exact.split(F.col("number"))), of_float), 0))))
+        return df.orderBy(F.desc("number"), F.desc("_exact"), "at", "id").limit(min(limit, 1000)).drop("_v", "_i", "_exact")
 
     def aggregate(self, by: tuple[str, ...] = (), every: str | None = None, stats: str | None = None, distinct: tuple[str, ...] = ()) -> DataFrame:
-        df = self.found()
-        keys = [self.value(k).alias(k) for k in by]
-        if every:
-            keys.append(timegrid.bucket_start(F.col("at"), every).alias("span"))
-        made = [F.count("*").alias("events")]
-        if stats:
-            v = self.value(stats)
-            number = F.when(v.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), v.cast("decimal(38,6)"))
-            df = df.withColumn("_n", number)
-            made += [F.count("_n").alias("samples"), F.sum("_n").cast("double").alias("sum"), F.min("_n").cast("double").alias("min"), F.max("_n").cast("double").alias("max"), (F.sum("_n").cast("double") / F.count("_n")).alias("avg")]
-        for d in distinct:
-            df = df.withColumn(f"_d_{d}", self.value(d))
-            made.append(F.countDistinct(f"_d_{d}").alias(f"distinct_{d}"))
-        return df.groupBy(*keys).agg(*made)
+        """A row for each group: events; of a key's numbers samples, sum, min, max, avg and whole (the exact sum, if all are integers); and how many values other keys have.
+
+        Sums are exact, whatever the order, and rounded once.
+        """
+        keys = {k: self.value(k) for k in by} | ({"span": timegrid.bucket_start(F.col("at"), every)} if every else {})
+        more = {f"_d_{d}": self.value(d) for d in distinct} | ({"_v": self.value(stats)} if stats else {})
+        df = self.found().select(*(c.alias(k) for k, c in {**keys, **more}.items()))
+        out = df.groupBy(*keys).agg(F.count("*").alias("events"), *(F.countDistinct(f"_d_{d}").alias(f"distinct_{d}") for d in distinct))
+        if not stats:
+            return out
+        whole = _whole(F.col("_v"))
+        df = df.withColumn("_i", whole).withColumn("_f", F.when(F.col("_i").isNull() & F.col("_v").rlike(NUMBER), F.col("_v").try_cast("double")))
+        number = F.coalesce(F.col("_f"), F.col("_i").cast("double"))
+        low = F.pmod(F.col("_i"), F.lit(2**32).cast("decimal(20,0)"))  # an integer is two doubles, exactly
+        terms = [exact.split((F.col("_i") - low).cast("double")), exact.split(low.cast("double")), exact.split(F.col("_f"))]
+        own = exact.own
+        parts = {"samples": F.count(own(number)), "min": F.min(own(number)), "max": F.max(own(number)), "floats": F.count(own(F.col("_f"))), "whole": F.sum(own(F.col("_i")))}
+        merged = {"samples": F.sum("samples"), "min": F.min("min"), "max": F.max("max"), "floats": F.sum("floats"), "whole": F.sum("whole")}
+        numbers = exact.summed(df, tuple(keys), {"sum": terms}, parts, merged)
+        numbers = numbers.withColumn("avg", exact.joined(F.col("sum"), over=F.col("samples"))).withColumn("sum", exact.joined(F.col("sum")))
+        numbers = numbers.withColumn("whole", F.when(F.col("floats") == 0, F.col("whole").cast("decimal(38,0)"))).drop("floats")
+        named = numbers.select(*(F.col(k).alias(f"_k_{k}") for k in keys), "samples", "sum", "min", "max", "avg", "whole")
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.lit(True))
+        return out.join(named, same, "left").drop(*(f"_k_{k}" for k in keys))
 
     def fields(self) -> DataFrame:
         """For each key of the fields: its events, and the kinds of its values."""
@@ -130,13 +163,36 @@ class Records:
 
 
 def appended(held: DataFrame, new: DataFrame) -> DataFrame:
-    """The events of new that are not held: an id names one event of a stream."""
-    return new.dropDuplicates(["stream", "id"]).join(held.select("stream", "id"), ["stream", "id"], "left_anti")
+    """The events of new that are not held: an id names one event of a stream. An event without an id is always one of its own."""
+    named = new.where("id IS NOT NULL").dropDuplicates(["stream", "id"]).join(held.select("stream", "id"), ["stream", "id"], "left_anti")
+    return named.select(*new.columns).unionByName(new.where("id IS NULL"))
+
+
+def poll(events: DataFrame, cursor: int, limit: int, kept_from: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(the next events after a cursor, by their arrival number; one row: the next cursor, and expired, how many went before they were read)."""
+    start = max(cursor, kept_from - 1)
+    page = events.where(F.col("arrival") > start).orderBy("arrival").limit(limit)
+    after = page.agg(F.coalesce(F.max("arrival"), F.lit(start)).cast("long").alias("cursor")).withColumn("expired", F.lit(max(0, kept_from - 1 - cursor)).cast("long"))
+    return page, after
 
 
-def filled(answer: DataFrame, by: list[str], every: str, counts: list[str]) -> DataFrame:
-    """answer with every span between its first and last for each of its groups; counts are 0 where nothing was."""
+def filled(answer: DataFrame, by: list[str], every: str, counts: list[str], most: int = 10_000) -> DataFrame:
+    """answer with every span between its first and last for each of its groups; counts are 0 where nothing was. At most `most` rows."""
+    seconds = timegrid.seconds_of(every)
     ends = answer.agg(F.min("span").alias("a"), F.max("span").alias("b"))
-    grid = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {timegrid.seconds_of(every)} seconds"))).alias("span"))
+    first = ends.select(F.timestamp_diff("SECOND", F.col("a"), F.col("b"))).first()[0]
     groups = answer.select(*by).distinct() if by else answer.sparkSession.range(1).select()
-    return groups.join(F.broadcast(grid)).join(answer, [*by, "span"], "left").fillna(0, counts)
+    spans = 0 if first is None else first // seconds + 1
+    if spans > most or spans * groups.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows")
+    grid = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {seconds} seconds"))).alias("span"))
+    same = reduce(and_, (F.col(f"_g_{k}").eqNullSafe(F.col(k)) for k in by), F.col("_span") == F.col("span"))
+    whole = groups.select(*(F.col(k).alias(f"_g_{k}") for k in by)).join(F.broadcast(grid.withColumnRenamed("span", "_span")))  # `most` rows at most
+    out = whole.join(answer, same, "left").drop(*by, "span")
+    return out.withColumnsRenamed({f"_g_{k}": k for k in by} | {"_span": "span"}).fillna(0, counts)
+
+
+def _whole(text: Column) -> Column:
+    """An integer of 64 bits, signed or not, by its spelling; null for other texts."""
+    n = F.when(text.rlike(r"^-?(?:0|[1-9][0-9]{0,19})$"), text.try_cast("decimal(20,0)"))
+    return F.when(n.between(F.lit(Decimal(-(2**63))), F.lit(Decimal(2**64 - 1))), n)

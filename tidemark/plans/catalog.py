@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import cron, exact, timegrid
 from ..operators import search, state, wordindex
 from ..operators.metrics import COUNTER, FRACTIONS, Metrics, grid_index, grid_interval, ingest, interval, merged_grids, replace_range
-from ..operators.records import Records, appended, filled
+from ..operators.records import Records, appended, filled, poll
 from ..operators.tablequery import TableQuery, either, eq, every, is_in
 from ..operators.wordindex import WordIndex
 from ..session import ship
@@ -310,10 +310,18 @@ def record_largest_k(spark, d):
     return events(spark, d).largest("k").select("id", F.col("number").cast("long").alias("k"))
 
 
-@query(f"""SELECT event_type AS name, {DAY} AS span, count(*) AS events, count({K}) AS samples, cast(sum(cast({K} as decimal(38,6))) as double) AS sum, cast(min(cast({K} as bigint)) as double) AS min,
- cast(max(cast({K} as bigint)) as double) AS max, cast(sum(cast({K} as decimal(38,6))) as double) / count({K}) AS avg, count(DISTINCT user_id) AS distinct_user FROM events GROUP BY ALL""")
+@query(f"""SELECT event_type AS name, {DAY} AS span, count(*) AS events, count({K}) AS samples, cast(sum(cast({K} as hugeint)) as double) AS sum, cast(min(cast({K} as bigint)) as double) AS min,
+ cast(max(cast({K} as bigint)) as double) AS max, cast(sum(cast({K} as hugeint)) as double) / count({K}) AS avg, cast(sum(cast({K} as hugeint)) as bigint) AS whole, count(DISTINCT user_id) AS distinct_user FROM events GROUP BY ALL""")
 def record_aggregate_stats_distinct(spark, d):
-    return events(spark, d).aggregate(("name",), "1 day", "k", ("user",))
+    return events(spark, d).aggregate(("name",), "1 day", "k", ("user",)).withColumn("whole", F.col("whole").cast("long"))
+
+
+@query(f"SELECT event_type AS name, count(*) AS events, count(*) AS samples, {SUM} AS sum, min(value) AS min, max(value) AS max, {back('sum(' + big('value') + ')', 1, 'count(*)')} AS avg FROM events GROUP BY ALL")
+def record_stats_of_floats(spark, d):
+    """Numbers of a field that are no integers: their sum is that of the doubles, rounded once."""
+    r = records(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), "value"), "id")
+    r = r.withColumn("fields", F.concat(F.lit('{"v": '), F.col("value").cast("string"), F.lit(', "w": [1, {"x": "\\u0041"}]}')))
+    return Records(r).aggregate(("name",), stats="v").drop("whole")
 
 
 @query("""WITH b AS (SELECT event_type AS name, date_trunc('hour', ts)::timestamp AS span, count(*) AS events FROM events GROUP BY ALL),
@@ -328,12 +336,13 @@ def record_page_no_split_ts(spark, d):
     return events(spark, d).list(newest=True, limit=100).select("id", "at")
 
 
-@query("SELECT 'k' AS key, 'integer' AS kind, count(*) AS events FROM events")
+@query("""SELECT key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean'
+ WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'null' END AS kind, count(*) AS events FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY ALL""")
 def record_fields(spark, d):
     return events(spark, d).fields()
 
 
-@query("SELECT unnest(['k', 'user']) AS key")
+@query("SELECT DISTINCT unnest(json_keys(props)) AS key FROM events UNION SELECT unnest(json_keys('{\"user\": ' || user_id || '}')) FROM events ORDER BY key")
 def record_field_names(spark, d):
     return events(spark, d).field_names()
 
@@ -343,6 +352,28 @@ def record_streams(spark, d):
     return events(spark, d).stream_list()
 
 
+@query("SELECT event_id AS id FROM events WHERE (ts, event_id) > ((SELECT ts FROM events WHERE event_id = 4000), 4000) ORDER BY ts, event_id LIMIT 60")
+def record_list_after(spark, d):
+    """The events after one of them, in the order of time and arrival."""
+    place = table(spark, d, "events").where("event_id = 4000").select(F.col("ts").cast("string")).first()
+    return events(spark, d).after(place[0] if place else "1970-01-01", 4000).found().orderBy("at", "id").select("id").limit(60)
+
+
+@query("SELECT event_id AS id FROM events WHERE md5(cast(user_id as varchar)) = md5('7')")
+def record_trace(spark, d):
+    """The events of a trace: here one for each user."""
+    r = records(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), F.md5(F.col("user_id").cast("string")).alias("trace_id")), "id")
+    return Records(r).trace("8f14e45fceea167a5a36dedd4bea2543").found().select("id")
+
+
+@query("SELECT event_id AS id, cast(NULL as bigint) AS cursor, cast(NULL as bigint) AS expired FROM (SELECT event_id FROM events WHERE event_id >= 500 ORDER BY event_id LIMIT 70) UNION ALL SELECT NULL, max(event_id), 500 - 1 - 200 FROM (SELECT event_id FROM events WHERE event_id >= 500 ORDER BY event_id LIMIT 70)")
+def record_poll(spark, d):
+    """A reader at 200 whose stream is kept from 500 on: the next seventy, its next place, and how many it missed."""
+    page, after = poll(table(spark, d, "events").withColumn("arrival", F.col("event_id")), 200, 70, 500)
+    none = F.lit(None).cast("long")
+    return page.select(F.col("event_id").alias("id"), none.alias("cursor"), none.alias("expired")).unionByName(after.select(none.alias("id"), "cursor", "expired"))
+
+
 @query("SELECT count(*) AS events FROM events WHERE event_type IN ('click', 'view')")
 def record_count(spark, d):
     return events(spark, d).names("click", "view").count()
@@ -359,7 +390,7 @@ def record_append_dedupe(spark, d):
     return Records(appended(r.where("id % 2 = 0"), r.unionByName(r))).aggregate(("name",))
 
 
-@query()
+@query("SELECT CASE WHEN event_type = 'error' THEN 8 ELSE 4 END AS level, event_type AS message, count(*) AS events FROM events GROUP BY ALL")
 def record_lines_source(spark, d):
     """Events as logfmt lines, read back with their levels."""
     e = table(spark, d, "events")
@@ -367,7 +398,7 @@ def record_lines_source(spark, d):
     return formats.lines(e.select(line.alias("value"))).groupBy("level", "message").agg(F.count("*").alias("events"))
 
 
-@query()
+@query("SELECT conv_id || '/' || turn AS id, role AS name FROM conversations WHERE text ILIKE '%the%' OR role ILIKE '%the%'")
 def record_message_search(spark, d):
     """Turns of conversations whose message holds a text."""
     c = table(spark, d, "conversations")
