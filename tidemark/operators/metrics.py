@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact, timegrid
+from .tablequery import TableQuery
 
 GAUGE, COUNTER = "gauge", "counter"
 ALLOWED = {GAUGE: {"count", "sum", "avg", "min", "max", "first", "last", "delta"}, COUNTER: {"count", "first", "last", "increase", "rate"}}
@@ -111,6 +112,42 @@ class Metrics:
         c = F.col(label)
         return self._found().where(c.isNotNull() & F.startswith(c, F.lit(prefix)) & (c > after)).select(c.alias("value")).distinct().orderBy("value").limit(min(limit, 10_000))
 
+    def label_names(self) -> DataFrame:
+        """The labels that any series has, in byte order."""
+        df = self._found()
+        df = df.where(F.col("at") >= self._time(self.start)) if self.start else df
+        named = F.array(*(F.when(F.col(x).isNotNull(), F.lit(x)) for x in self.labels))
+        return df.select(F.explode(F.filter(named, lambda x: x.isNotNull())).alias("label")).distinct().orderBy("label")
+
+    def deleted(self) -> DataFrame:
+        """The samples that are left when the series that the conditions find are deleted, whole; without a condition it is refused."""
+        if not self.conditions:
+            raise ValueError("a delete needs a condition")
+        hit = reduce(lambda a, c: a & F.coalesce(c, F.lit(False)), self.conditions, F.lit(True))
+        return self.samples.where(~hit)
+
+    def page(self, limit: int, after: str | None = None) -> tuple[DataFrame, TableQuery]:
+        """Samples after a cursor, by series and time; the cursor is of this question alone."""
+        order = reduce(lambda q, c: q.order_by(c), (*self.labels, "at"), TableQuery.table(self.read(), repr((self.start, self.end, self.keep, [str(c) for c in self.conditions]))))
+        return order.page(limit, after)[0], order
+
+    def bucket_page(self, *ops: str, buckets: int, after: str | None = None) -> tuple[DataFrame, str | None]:
+        """aggregate() over the next so many buckets of the range, whole ones, and where the page after it begins; None if no sample lies there."""
+        if not (self.width or self.unit) or not self.start:
+            raise ValueError("pages need buckets, and a range with a start")
+        at = self.samples.sparkSession.range(1).select(replace(self, start=None)._bucket_of(self._time(after or self.start)).alias("t"))
+        for _ in range(buckets):
+            at = at.select(self._end(F.col("t")).alias("t"))
+        stop = at.select(F.col("t").cast("string")).first()[0]
+        stop = min(stop, self.end) if self.end else stop
+        here = replace(self, start=max(after, self.start) if after else self.start, end=stop)
+        rest = replace(self, start=stop)
+        more = rest._found().where(F.col("at") >= self._time(stop)).limit(1).count() if not self.end or stop < self.end else 0
+        return here.aggregate(*ops), stop if more else None
+
+    def _bucket_of(self, at: Column) -> Column:
+        return timegrid.bucket_start(at, self.width) if self.width else timegrid.calendar_start(at, *self.unit)
+
     def _bucket(self) -> Column:
         if self.width:
             return timegrid.bucket_start(F.col("at"), self.width)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import jobs as joblists
-from ..operators import keyvalue, state
+from ..operators import keyvalue, state, timers
+from ..operators.metrics import Metrics
 from ..operators.tablequery import TableQuery, bound, json_value, listed
 from ..session import shared_path
 from ..sources import tables
-from ..sources.tables import table
+from ..sources.tables import samples, table
 from ..streaming import streams
-from .catalog import q, query
+from .catalog import BOUNDS, STEPS, back, counter, gauge, q, query
 
 # --- tables ------------------------------------------------------------------------------------------
 
@@ -73,6 +74,94 @@ def sql_window_frames(spark, d):
  count(*) OVER (PARTITION BY o_custkey ORDER BY unix_seconds(cast(o_orderdate as timestamp)) RANGE BETWEEN 7776000 PRECEDING AND CURRENT ROW) AS quarter FROM tidemark_orders""")
 
 
+# --- timers, instruments and pages of metrics -----------------------------------------------------------
+
+
+def durations(spark, d) -> Metrics:
+    """Events as durations of a timer, written each hour; purchases know fewer bounds than the others."""
+    s = samples(spark, d).select("at", F.col("value").alias("value"), "event_type")
+    few = timers.durations(s.where("event_type = 'purchase'"), ["event_type"], "t", BOUNDS[2:], "1 hour")
+    all_ = timers.durations(s.where("event_type <> 'purchase'"), ["event_type"], "t", BOUNDS, "1 hour")
+    return Metrics(few.unionByName(all_), ("event_type", "le"))
+
+
+#: A write belongs to the hour it ends; the first write of a series is where its steps begin.
+_TIMER = f"""WITH e AS (SELECT event_type, date_trunc('hour', ts)::timestamp + interval 1 hour AS tick, value FROM events),
+k AS (SELECT event_type, min(tick) AS first FROM e GROUP BY 1), x AS (SELECT e.event_type, date_trunc('day', tick)::timestamp AS bucket, tick, value, tick > first AS counts FROM e JOIN k USING (event_type))
+"""
+
+
+@query(_TIMER + "SELECT event_type, bucket, cast(count(*) FILTER (counts) as double) AS count, cast(count(*) FILTER (counts) as double) / 86400 AS rate, round(coalesce(sum(value) FILTER (counts), 0), 6) AS sum, max(value) AS max FROM x GROUP BY ALL")
+def timer_by_name(spark, d):
+    m = durations(spark, d).every("1 day").by("event_type")
+    return timers.timer(m, "t").select("event_type", "bucket", "count", "rate", F.round("sum", 6).alias("sum"), "max")
+
+
+@query(_TIMER + f""", b(le) AS (VALUES {', '.join(f'({b}::double)' for b in BOUNDS[2:])}, (NULL))
+SELECT bucket, le, count(*) FILTER (counts AND (le IS NULL OR value <= le)) AS c FROM x, b GROUP BY ALL""")
+def timer_heatmap_shared_bounds(spark, d):
+    """Bounds that every type's timer has, over all types."""
+    return timers.heatmap(durations(spark, d).every("1 day"), "t")
+
+
+@query(_TIMER + f""", b(le) AS (VALUES {', '.join(f'({b}::double)' for b in BOUNDS[2:])}, ('inf'::double)),
+h AS (SELECT bucket, le, count(*) FILTER (counts AND value <= le) AS c, count(*) FILTER (counts) AS n FROM x, b GROUP BY ALL),
+g AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS lower, coalesce(lag(c) OVER w, 0) AS under FROM h WINDOW w AS (PARTITION BY bucket ORDER BY le))
+SELECT bucket, cast(lower as double) AS lower, CASE WHEN isinf(le) THEN NULL ELSE le END AS upper, n AS samples FROM g WHERE c * 20 >= n * 19 AND under * 20 < n * 19""")
+def timer_p95(spark, d):
+    return timers.percentile(durations(spark, d).every("1 day"), "t", "95").drop("estimate")
+
+
+@query("""WITH s AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1), k AS (SELECT user_id FROM s ORDER BY first, cast(user_id as varchar) LIMIT 40)
+SELECT CASE WHEN user_id IN (SELECT user_id FROM k) THEN cast(user_id as varchar) ELSE '__overflow' END AS "user", count(*) AS measured FROM events GROUP BY 1""")
+def instrument_overflow(spark, d):
+    """At most forty users' series; the rest is counted together."""
+    s = samples(spark, d).select("at", "user", "value")
+    return timers.bounded(s, ["user"], 40).groupBy("user").agg(F.count("*").alias("measured"))
+
+
+@query("""WITH s AS (SELECT event_type, date_trunc('hour', ts)::timestamp + interval 1 hour AS tick, count(*) AS n FROM events WHERE user_id < 40 GROUP BY ALL),
+g AS (SELECT *, CASE WHEN coalesce(tick - lag(tick) OVER w >= interval 3 hour, true) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY event_type ORDER BY tick)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY tick) AS run FROM g),
+t AS (SELECT event_type, tick, new, cast(sum(n) OVER (PARTITION BY event_type, run ORDER BY tick) as bigint) AS value FROM r)
+SELECT event_type, tick AS "at", value FROM t UNION ALL SELECT event_type, tick - interval 1 hour, 0 FROM t WHERE new = 1""")
+def instrument_totals(spark, d):
+    """A counter written each hour, which begins again after three idle hours."""
+    s = samples(spark, d).where("cast(user as long) < 40").select("at", "event_type", F.lit(1).cast("long").alias("value"))
+    return timers.totals(s, ["event_type"], "1 hour", "3 hours")
+
+
+@query("SELECT unnest(['event_type', 'user']) AS label")
+def metric_label_names(spark, d):
+    empty = samples(spark, d).withColumn("zone", F.lit(None).cast("string"))
+    return Metrics(empty, ("event_type", "user", "zone")).label_names()
+
+
+@query("SELECT event_type, count(*) AS samples FROM events WHERE NOT (event_type = 'view' AND starts_with(cast(user_id as varchar), '1')) GROUP BY ALL")
+def metric_delete_series(spark, d):
+    left = gauge(spark, d).one_of("event_type", "view").prefix("user", "1").deleted()
+    return left.groupBy("event_type").agg(F.count("*").alias("samples"))
+
+
+@query("""SELECT event_type, cast(user_id as varchar) AS "user", ts AS "at", value FROM events WHERE ts >= timestamp '2024-01-03' AND ts < timestamp '2024-01-09' ORDER BY event_type, cast(user_id as varchar), ts LIMIT 100 OFFSET 200""")
+def metric_read_page3(spark, d):
+    m, after = gauge(spark, d).between("2024-01-03", "2024-01-09"), None
+    for _ in range(2):
+        page, asked = m.page(100, after)
+        rows = page.collect()  # a page, as a client has it
+        after = asked.cursor(rows[-1].asDict()) if len(rows) == 100 else after
+    return m.page(100, after)[0]
+
+
+@query(STEPS + f"""SELECT event_type, bucket, {back('sum(step)')} AS increase, count(*) AS samples, bucket + interval 1 day > timestamp '2024-01-09 06:00:00' OR bucket < timestamp '2024-01-03 12:00:00' AS partial
+FROM (SELECT *, date_trunc('day', ts)::timestamp AS bucket FROM t WHERE ts >= timestamp '2024-01-05' AND ts < timestamp '2024-01-07') GROUP BY event_type, bucket""")
+def metric_bucket_page2(spark, d):
+    """The second page of two days each; steps go on across pages."""
+    m = counter(spark, d).between("2024-01-03 12:00:00", "2024-01-09 06:00:00").every("1 day").by("event_type")
+    _, after = m.bucket_page("increase", buckets=2)
+    return m.bucket_page("increase", buckets=2, after=after)[0].drop("resets", "gap")
+
+
 # --- entries -----------------------------------------------------------------------------------------
 
 
