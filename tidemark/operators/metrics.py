@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -273,10 +273,19 @@ class Metrics:
         df = self._found()
         df = df.where(F.col("at") >= self._time(self.start)) if self.start else df
         keys = (*self.groups, "bucket")
-        counts = df.withColumn("bucket", self._bucket()).groupBy(*keys, "value").agg(F.count("*").alias("c"))
+        # Equal values first, then cells of neighbouring values, by exponent and leading bits: the cell that holds the rank
+        # is found from the cells' counts, and only its values are sorted, so that no task sorts a group.
+        rows = df.select(*keys[:-1], self._bucket().alias("bucket"), "value", exact.split(F.col("value")).alias("x"))
+        size = F.when(F.col("x.m") == 0, F.lit(0).cast("long")).otherwise((F.col("x.e") + 1075).cast("long") * 4096 + F.shiftright(F.abs("x.m"), 41))
+        counts = rows.groupBy(*keys, F.when(F.col("x.m") < 0, -size).otherwise(size).alias("cell"), "value").agg(F.count("*").alias("c"))
         w = Window.partitionBy(*keys)
-        ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-        return ranked.where(F.col("upto") >= exact.nearest_rank(F.col("n"), p)).groupBy(*keys).agg(F.min("value").alias("value"), F.first("n").alias("samples"))
+        upto = F.sum("c").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        cells = counts.groupBy(*keys, "cell").agg(F.sum("c").alias("c")).withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
+        rank = exact.nearest_rank(F.col("n"), p)
+        held = cells.where((F.col("upto") >= rank) & (F.col("upto") - F.col("c") < rank)).select(*(F.col(k).alias(f"_k_{k}") for k in (*keys, "cell")), (F.col("upto") - F.col("c")).alias("under"), "n")
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "cell")))
+        inside = counts.join(held, same).withColumn("place", F.col("under") + F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+        return inside.where(F.col("place") >= rank).groupBy(*keys).agg(F.min("value").alias("value"), F.first("n").alias("samples"))
 
     def histogram(self, bounds: list[float]) -> DataFrame:
         """Cumulative counts by bound (le; null: +Inf), as a timer keeps them, for each group and bucket."""
