@@ -23,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, urlfilter
@@ -31,8 +31,6 @@ from .common import stored
 
 #: Training documents of a language at most.
 SAMPLE = 1000
-#: Languages of a block; the training ids of a block are picked by one plan.
-LANGUAGES = 64
 #: Buckets of trigrams.
 BUCKETS = 1 << 16
 #: Trigrams overlap and repeat: so many count as one piece of evidence, and so many pieces at most.
@@ -69,9 +67,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    # Ids alone are ranked; each limit is a top-k that tasks make partially.
-    pick = lambda some: common.union_all(labelled.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for x in some)
-    picked = pick(langs) if len(langs) <= LANGUAGES else common.union_all(stored(pick(langs[i : i + LANGUAGES])) for i in range(0, len(langs), LANGUAGES))
+    # Ids alone are ranked, in one pass; each task sends its first ones of a language only.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = labelled.select("doc_id", "lang", rank.alias("n")).where(F.col("n") <= sample)
     ids = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     texts = docs.join(F.broadcast(ids), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")  # at most sample ids of each language
 
