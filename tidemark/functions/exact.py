@@ -1,7 +1,7 @@
 """Sums that don't depend on order, and nearest ranks of exact decimals.
 
-A double is an integer times a power of two. Exact sums add the integers of each power in the JVM, as
-decimals, by partial aggregation; what is left of a group are as many numbers as there are powers (2046
+A double is an integer times a power of two. Exact sums add the integers of each power in the JVM, in
+three parts, by partial aggregation; what is left of a group are as many numbers as there are powers (2046
 at most), and those are put together and rounded once.
 """
 
@@ -60,7 +60,7 @@ def _joined(parts: pd.Series, times: pd.Series, over: pd.Series) -> pd.Series:
         if rows is None or not len(rows) or pd.isna(o) or not o:
             return None
         least = min(r["e"] for r in rows)
-        return rounded(sum(int(r["m"]) << (r["e"] - least) for r in rows), least, int(t), int(o))
+        return rounded(sum(((r["a"] << 36) + (r["b"] << 18) + r["c"]) << (r["e"] - least) for r in rows), least, int(t), int(o))
 
     return pd.Series([one(*x) for x in zip(parts, times, over)], dtype=object).astype("Float64")
 
@@ -79,12 +79,21 @@ def summed(rows: DataFrame, keys: tuple[str, ...], terms: dict[str, list[Column]
     a row, by own(); merged: how partial ones are put together.
     """
     ship(rows.sparkSession)
+    columns = [(name, c) for name, some in terms.items() for c in some]
     none = F.struct(F.lit(None).cast("string").alias("which"), F.lit(None).cast("int").alias("e"), F.lit(None).cast("long").alias("m"))
-    copies = [none, *(F.when(c.isNotNull(), F.struct(F.lit(name).alias("which"), c["e"].alias("e"), c["m"].alias("m"))) for name, columns in terms.items() for c in columns)]
-    flat = rows.withColumn("_x", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull()))) if terms else rows.withColumn("_x", none)
-    flat = flat.withColumns({"_which": F.col("_x.which"), "_e": F.col("_x.e"), "_m": F.col("_x.m").cast("decimal(19,0)")}).drop("_x")
-    once = flat.groupBy(*keys, "_which", "_e").agg(F.sum("_m").alias("_m"), *(c.alias(k) for k, c in parts.items()))
-    lists = {name: F.collect_list(F.when(F.col("_which") == name, F.struct(F.col("_e").alias("e"), F.col("_m").alias("m")))) for name in terms}
+    if len(columns) <= 1:  # a row needs no copies
+        flat = rows.withColumn("_x", columns[0][1] if columns else none).withColumn("_which", F.lit(None).cast("string"))
+        mine = {name: F.col("_e").isNotNull() for name in terms}
+    else:
+        copies = [none, *(F.when(c.isNotNull(), F.struct(F.lit(name).alias("which"), c["e"].alias("e"), c["m"].alias("m"))) for name, c in columns)]
+        flat = rows.withColumn("_x", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull()))).withColumn("_which", F.col("_x.which"))
+        mine = {name: F.col("_which") == name for name in terms}
+    flat = flat.withColumns({"_e": F.col("_x.e"), "_m": F.col("_x.m")}).drop("_x")
+    # 53 bits in three parts, whose sums are 64-bit integers for 2**45 rows.
+    low = F.lit(2**18 - 1).cast("long")
+    sums = {"_a": F.sum(F.shiftright("_m", 36)), "_b": F.sum(F.shiftright("_m", 18).bitwiseAND(low)), "_c": F.sum(F.col("_m").bitwiseAND(low))}
+    once = flat.groupBy(*keys, "_which", "_e").agg(*(c.alias(k) for k, c in {**sums, **parts}.items()))
+    lists = {name: F.collect_list(F.when(is_, F.struct(F.col("_e").alias("e"), F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_c").alias("c")))) for name, is_ in mine.items()}
     return once.groupBy(*keys).agg(*(c.alias(k) for k, c in {**merged, **lists}.items()))
 
 
