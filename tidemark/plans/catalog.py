@@ -240,11 +240,12 @@ def metric_replace_range(spark, d):
     return replace_range(s, new, {"event_type": "view", "user": "7"}, "2024-01-05", "2024-01-20")
 
 
-@query()
+@query("SELECT 'nation_region' AS name, 'gauge' AS kind, n_name AS nation, cast(1790000000000 as bigint) AS at_ms, cast(n_regionkey as double) AS value FROM nation")
 def prometheus_parse(spark, d):
     """Nations as an exposition, read back as samples."""
     text = F.concat_ws("\n", F.lit("# TYPE nation_region gauge"), F.concat(F.lit('nation_region{name="'), F.col("n_name"), F.lit('"} '), F.col("n_regionkey"), F.lit(" 1790000000000")))
-    return formats.prometheus(table(spark, d, "nation").select(text.alias("value")), 0)
+    found = formats.prometheus(table(spark, d, "nation").select(text.alias("value")), 0)
+    return found.select("name", "kind", F.col("labels")["name"].alias("nation"), "at_ms", "value")
 
 
 def exponential(spark, d):
