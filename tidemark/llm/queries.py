@@ -55,7 +55,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the later copies of repeated line runs."""
-    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "deleted_lines", "text")
+    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +106,27 @@ d AS (SELECT c.x AS page_id, CASE WHEN bool_or(rverdict = 'allow') THEN 'allow'
 SELECT v.page_id, rule, coalesce(rverdict, alias, 'allow') AS verdict, CASE WHEN rverdict IS NOT NULL THEN 'rule' WHEN alias IS NOT NULL THEN 'alias' ELSE 'default' END AS by
 FROM v JOIN d USING (page_id)"""
 )
+#: Shingles by a hash of 64 bits, as the operator's; all pairs that share one; a closure over the links.
+ORACLE_SQL["op8_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+x AS (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM w WHERE len(words) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS shingle FROM x),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, documents.doc_id) AS component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id
+LEFT JOIN (SELECT x, min(y) AS least_id FROM r GROUP BY x) ON x = documents.doc_id"""
+#: Runs of equal lines on a diagonal of two documents (or of one): each is a maximal repeated run, of which the later lines go.
+ORACLE_SQL["op9_lines"] = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS pos, lines[i] AS line, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
+m AS MATERIALIZED (SELECT l.* FROM l JOIN (SELECT line FROM l GROUP BY line HAVING count(*) > 1) USING (line)),
+p AS (SELECT a.doc_id, a.pos, a.w, b.doc_id AS other, a.pos - b.pos AS diagonal FROM m a JOIN m b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos))),
+q AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY pos) AS run FROM p),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos, sum(w) OVER (PARTITION BY doc_id, other, diagonal, run) AS words FROM q) WHERE words >= 50),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS kept FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id"""
