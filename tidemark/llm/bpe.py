@@ -13,7 +13,6 @@ parameter; the driver reads it and broadcasts it (its size is fixed, under a meg
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import re
@@ -31,7 +30,7 @@ LONGEST_ROW = 512
 #: Cells of a matrix.
 CELLS = 4_000_000
 #: Chunks a worker remembers, and their characters in all.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 50_000_000
+REMEMBERED, REMEMBERED_CHARS = 200_000, 20_000_000
 #: No pair.
 NONE = np.int32(2**31 - 1)
 #: Unicode white space, as the tiktoken library's patterns know it.
@@ -221,6 +220,7 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+common.CACHES["codecs"] = _CODECS
 
 
 def codec(vocabulary) -> Codec:
@@ -271,7 +271,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = codec(voc)
-        gc.disable()  # no cycles here, and very many small objects
         for batch in batches:
             packed = c.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -284,4 +283,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(common.in_worker("codecs")(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

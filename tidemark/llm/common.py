@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import shared_path, ship
 
 #: ASCII white space that ends a word, and the pattern of a word.
 SPACES = " \t\n\x0b\x0c\r"
@@ -34,23 +33,10 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, a folder of our own, in local mode alone: no other machine would see it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: the lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = shared_path(spark, "corpus")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
@@ -76,7 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words. Bounded: trim() forgets them all beyond LIMIT words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -88,6 +74,30 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+#: What a worker keeps from one task to the next, by name.
+CACHES: dict[str, dict] = {"words": HASHES}
+
+
+def in_worker(*kept: str):
+    """For a function over batches: a worker that goes over to it forgets the caches of other operators, and collects its garbage at the end, not meanwhile."""
+
+    def around(f):
+        def run(batches):
+            for name, cache in CACHES.items():
+                if name not in kept:
+                    cache.clear()
+            gc.disable()  # very many small objects, and hardly a cycle
+            try:
+                yield from f(batches)
+            finally:
+                gc.enable()
+                gc.collect()
+
+        return run
+
+    return around
+
+
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

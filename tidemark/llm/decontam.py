@@ -20,7 +20,6 @@ repeated results; extra columns don't matter.
 
 from __future__ import annotations
 
-import gc
 import heapq
 
 import numpy as np
@@ -199,6 +198,7 @@ class Block:
 
 
 _BLOCKS: dict[int, Block] = {}
+common.CACHES["blocks"] = _BLOCKS
 
 
 def _block(sent, seed: int, percent: int) -> Block:
@@ -246,14 +246,13 @@ def contained(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, percent:
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("marked_words", pa.int64()), ("n_tiles", pa.int64()), ("tiles", _TILE)])
 
         def run(batches):
-            gc.disable()
             b = _block(sent, seed, percent)
             for batch in batches:
                 rows = [(i, *m[:4], _cells(m[4])) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in b.matches(text)]
                 common.HASHES.trim()
                 yield from common.batches(iter(rows), schema)
 
-        out = texts.mapInArrow(run, f"doc_id long, item_id long, {_FOUND}")
+        out = texts.mapInArrow(common.in_worker("words", "blocks")(run), f"doc_id long, item_id long, {_FOUND}")
     else:
         found = _joined(texts, items, seed, percent)
         named = items.select("item_id", _key_of("text").alias("item"))
@@ -276,13 +275,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, perc
     sent = _Sent(spark, [tuple(r) for r in items.collect()])  # at most `limit` characters
 
     def run(batches):
-        gc.disable()
         b = _block(sent, seed, percent)
         for batch in batches:
             yield batch.filter(pa.array([not b.matches(t) for t in common.texts_of(batch)], pa.bool_()))
             common.HASHES.trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.in_worker("words", "blocks")(run), docs.schema)
 
 
 # --- the shuffled join, for benchmarks of any size ---------------------------------------------------
@@ -317,7 +315,7 @@ def _joined(docs: DataFrame, items: DataFrame, seed: int, percent: int) -> DataF
             common.HASHES.trim()
             yield from common.batches(iter(rows), pa.schema([("s", pa.int64()), ("item", pa.binary()), ("c", pa.int64()), ("n", pa.int64())]), 20_000)
 
-    of_items = common.stored(items.select("item", "text").mapInArrow(seeds, "s long, item binary, c long, n long"))
+    of_items = common.stored(items.select("item", "text").mapInArrow(common.in_worker("words", "blocks")(seeds), "s long, item binary, c long, n long"))
     lengths = sorted(min(r["n"], seed) for r in of_items.select(F.least("n", F.lit(seed)).alias("n")).distinct().collect())  # seed numbers at most
     size = 1 << WIDE_LOOK
     word = F.shiftright(F.col("s").bitwiseAND(F.lit(size - 1)), 6)
@@ -338,7 +336,7 @@ def _joined(docs: DataFrame, items: DataFrame, seed: int, percent: int) -> DataF
             yield from common.batches(iter(rows), pa.schema([("s", pa.int64()), ("t", pa.binary())]), 20_000)
 
     keyed = _keyed(docs, "t")
-    shared = keyed.select("t", "text").mapInArrow(meet, "s long, t binary").distinct().join(of_items, "s")
+    shared = keyed.select("t", "text").mapInArrow(common.in_worker("words", "blocks")(meet), "s long, t binary").distinct().join(of_items, "s")
     # Every seed that is met covers `seed` words of the item at most, at each of its places.
     pairs = shared.groupBy("t", "item").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(f"100 * c * {seed} >= {percent} * n").select("t", "item")
     pairs = common.stored(pairs)
@@ -358,4 +356,4 @@ def _joined(docs: DataFrame, items: DataFrame, seed: int, percent: int) -> DataF
             yield from common.batches(iter(rows), schema)
 
     met = pairs.join(whole, "t").join(items.withColumnRenamed("text", "of_item"), "item").select("t", "item", "text", "of_item")
-    return common.stored(met.mapInArrow(tile, f"t binary, item binary, {_FOUND}"))
+    return common.stored(met.mapInArrow(common.in_worker("words", "blocks")(tile), f"t binary, item binary, {_FOUND}"))

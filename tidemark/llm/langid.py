@@ -17,7 +17,6 @@ languages. Extra columns don't matter.
 
 from __future__ import annotations
 
-import gc
 import html as entities
 import re
 
@@ -83,7 +82,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "c"])
 
     counts = np.zeros((BUCKETS, len(langs)))
-    for r in texts.mapInArrow(count, "lang string, bucket long, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).collect():
+    for r in texts.mapInArrow(common.in_worker()(count), "lang string, bucket long, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).collect():
         counts[r["bucket"], langs.index(r["lang"])] = r["c"]
     return langs, np.log((counts + 0.5) / (counts + 0.5).sum(0)).astype(np.float32)
 
@@ -105,7 +104,6 @@ def identified(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataF
 
     def read(batches):
         logs = model.value
-        gc.disable()
         for batch in batches:
             said, likely = [], []
             for h in batch.column(0).to_pylist():
@@ -117,7 +115,7 @@ def identified(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(said, pa.string()), pa.array(likely, pa.list_(pa.float64()))], names=["page_id", "url", "declared", "likely"])
 
     fields = {f.name: f.dataType.simpleString() for f in pages.select("page_id", "url").schema.fields}
-    rows = pages.select("html", "page_id", "url").mapInArrow(read, f"page_id {fields['page_id']}, url string, declared string, likely array<double>")
+    rows = pages.select("html", "page_id", "url").mapInArrow(common.in_worker()(read), f"page_id {fields['page_id']}, url string, declared string, likely array<double>")
     n = len(langs)
     first = F.regexp_extract("path", "^/([A-Za-z]{2})(?:/|$)", 1)
     rows = rows.withColumn("host", urlfilter.host_of(F.col("url"))).withColumn("path", urlfilter.path_of(F.col("url")))

@@ -18,7 +18,6 @@ savings rank in the order of the templates.
 
 from __future__ import annotations
 
-import gc
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -223,10 +222,9 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
     def run(batches):
         s = Scanner(templates)
-        gc.disable()
         for batch in batches:
             rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in s.scan(text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.in_worker()(run), schema)

@@ -21,7 +21,6 @@ no personal data and stay.
 
 from __future__ import annotations
 
-import gc
 import hmac
 import re
 import secrets
@@ -243,7 +242,6 @@ def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
 
     def run(batches):
         p = Pseudonyms(key)
-        gc.disable()
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -253,4 +251,4 @@ def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     schema = "doc_id long, text string, pii_spans array<struct<kind:string,start:int,end:int>>, " + ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.in_worker()(run), schema)

@@ -22,7 +22,6 @@ other than doc_id and text are not read by judged(), and pass through filtered()
 
 from __future__ import annotations
 
-import gc
 from bisect import bisect_right
 
 import numpy as np
@@ -165,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Limits | No
             common.HASHES.trim()
             yield from common.batches(iter(rows), pa.schema([("_id", pa.int64()), ("size", pa.int64()), ("ratio", pa.float64())]))
 
-    found = texts.mapInArrow(run, "_id long, size long, ratio double").groupBy("_id").agg(F.min(F.struct("size", "ratio")).alias("x")).select("_id", "x.*")
+    found = texts.mapInArrow(common.in_worker("words")(run), "_id long, size long, ratio double").groupBy("_id").agg(F.min(F.struct("size", "ratio")).alias("x")).select("_id", "x.*")
     rows = sorted(map(tuple, found.collect()))
     return fitted([r[1] for r in rows], [r[2] for r in rows])
 
@@ -210,7 +209,6 @@ def judged(docs: DataFrame, limits: Limits | None = None, keep: tuple[str, ...]
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=LEVEL)
-        gc.disable()
         for batch in batches:
             found = list(zip(*(judge(t, press, limits) for t in common.texts_of(batch)))) or [()] * 11
             common.HASHES.trim()
@@ -218,7 +216,7 @@ def judged(docs: DataFrame, limits: Limits | None = None, keep: tuple[str, ...]
             names = [x.split()[0] for x in SCHEMA.split(",")]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(c, t) for c, t in zip(found, types)], names=[*keep, *names])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(common.in_worker("words")(run), schema)
 
 
 def filtered(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -230,9 +228,8 @@ def filtered(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=LEVEL)
-        gc.disable()
         for batch in batches:
             yield batch.filter(pa.array([judge(t, press, limits)[-1] for t in common.texts_of(batch)], pa.bool_()))
             common.HASHES.trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.in_worker("words")(run), docs.schema)

@@ -29,7 +29,6 @@ Whole pages are read, whatever their length and however deep their tags nest. Ex
 
 from __future__ import annotations
 
-import gc
 import html as entities
 import json
 import re
@@ -456,7 +455,6 @@ def extracted(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", urlfilter.host_of(F.col("url")).alias("host"))
 
     def fold(batches):
-        gc.disable()
         known: dict[str, Wrapper] = {}
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -493,15 +491,14 @@ def extracted(pages: DataFrame) -> DataFrame:
             said = json.dumps(regions(w), separators=(",", ":"))
             yield pa.RecordBatch.from_arrays([pa.array([host]), pa.array([said]), pa.array([w.pages[0]], pa.int64())], names=["h", "region", "c"])
 
-    partial = keyed.select("host", "html").mapInArrow(fold, "host string, wrapper string")
+    partial = keyed.select("host", "html").mapInArrow(common.in_worker()(fold), "host string, wrapper string")
     # A host has a wrapper from each task at most; they are merged in two steps, the first one dealt by their contents.
-    partial = partial.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInArrow(some, "host string, wrapper string")
-    judged = common.stored(partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(judge, "h string, region string, c long"))
+    partial = partial.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).sortWithinPartitions("host", "wrapper").mapInArrow(common.in_worker()(some), "host string, wrapper string")
+    judged = common.stored(partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(common.in_worker()(judge), "h string, region string, c long"))
     met = _with_regions(keyed, judged).select("page_id", "url", "html", "region")
     types = {f.name: f.dataType.simpleString() for f in met.schema.fields}
 
     def apply(batches):
-        gc.disable()
         read: dict[str, Region] = {}
         for batch in batches:
             texts = []
@@ -513,7 +510,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 texts.append(extract(html, read[region] if region is not None else None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return met.mapInArrow(apply, f"page_id {types['page_id']}, url string, text string, n_chars long")
+    return met.mapInArrow(common.in_worker()(apply), f"page_id {types['page_id']}, url string, text string, n_chars long")
 
 
 def _with_regions(keyed: DataFrame, judged: DataFrame) -> DataFrame:
