@@ -30,6 +30,8 @@ from .common import stored
 
 #: Training documents of a language at most.
 SAMPLE = 1000
+#: Salts that a language's ids are dealt by.
+SALTS = 32
 #: Buckets of trigrams.
 BUCKETS = 1 << 16
 #: Trigrams overlap and repeat: so many count as one piece of evidence, and so many pieces at most.
@@ -66,9 +68,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    # Ids alone are ranked, in one pass; each task sends its first ones of a language only.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = labelled.select("doc_id", "lang", rank.alias("n")).where(F.col("n") <= sample)
+    # Ids alone are ranked, in one pass: by language and salt first, where each task sends its first ones only, then SALTS
+    # times sample ids of a language at most.
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    salted = labelled.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    first = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("n") <= sample)
+    picked = first.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("n")).where(F.col("n") <= sample)
     ids = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     texts = docs.join(F.broadcast(ids), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")  # at most sample ids of each language
 
