@@ -87,6 +87,15 @@ def test_long_lists_across_components(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_long_texts_of_few_shingles(spark, monkeypatch):
+    """Words that repeat: a set is small though its text is long, and links with another by its subsets."""
+    monkeypatch.setattr(jaccard, "boundary", lambda *a: 9)  # sets of up to 9 shingles are joined by subsets
+    rows = [(9, "a b c d e f g h " * 100), (4, "a b c d e f g h " * 90 + "i"), (6, "same " * 500), (5, "same same"), (3, "p q r s " * 40), (7, "p q r s " * 50 + "t"), (8, "a b c d e f g h " * 9 + "j k l")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs(spark, rows)).collect()}
+    assert got == {9: (8, 4), 4: (9, 4), 6: (1, 6), 5: (1, 5), 3: (4, 3), 7: (5, 3), 8: (11, 8)}
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs(spark, rows)).collect()) == [3, 4, 5, 6, 8]
+
+
 # --- 5
 
 

@@ -7,7 +7,7 @@ need(n, m) = ceil(PERCENT (n + m) / (100 + PERCENT)), and n >= PERCENT/100 * m.
 Small sets (at most `boundary` shingles) are joined by enumeration: for each size a partner can have,
 a set puts forth a key for each of its subsets of exactly need(n, m) shingles. Two sets share a key of
 (n, m) if and only if they link, so that the sets of a key are linked to its smallest set of size n,
-and no pairs are made. Large sets are joined by inverted lists over the part of each set that any
+and no pairs are made; the members of sets that small are kept from the first pass. Large sets are joined by inverted lists over the part of each set that any
 partner must meet: its first n - need_least(n) + 1 shingles, rarest first. The boundary is where the
 cost of the subsets begins to exceed the cost of the lists, from the counts of sizes and from the mean
 list length of a sketch over all shingles.
@@ -141,7 +141,7 @@ def apart(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _survey(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, sid, bits, sig), and the partial sketches (chunk, counters)."""
+    """A row for each document (doc_id, n, sid, bits, sig, and the members of a set of at most MOST_ENUMERATED), and the partial sketches (chunk, counters)."""
     size = 1 << SKETCH_BITS
 
     def run(batches):
@@ -153,9 +153,10 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
                 s = common.shingle_set(text, k)
                 if len(s):
                     all_sets.append(s)
-                    rows.append((i, len(s), _name(s), bitmap(s).tobytes(), signature(s), None, None))
+                    members = s.view(np.int64).tolist() if len(s) <= MOST_ENUMERATED else None
+                    rows.append((i, len(s), _name(s), bitmap(s).tobytes(), signature(s), members, None, None))
                 else:
-                    rows.append((i, 0, None, None, None, None, None))
+                    rows.append((i, 0, None, None, None, None, None, None))
             common.HASHES.trim()
             if all_sets:
                 seen = True
@@ -167,11 +168,11 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
             step = 1 << CHUNK_BITS
             for c in range(size // step):
                 blob = press.compress(sketch[c * step : (c + 1) * step].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, c, blob), types)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, None, None, c, blob), types)], names=names)
 
-    names = ["doc_id", "n", "sid", "bits", "sig", "chunk", "counters"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.in_worker("words")(run), "doc_id long, n int, sid long, bits binary, sig array<long>, chunk int, counters binary")
+    names = ["doc_id", "n", "sid", "bits", "sig", "members", "chunk", "counters"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.in_worker("words")(run), "doc_id long, n int, sid long, bits binary, sig array<long>, members array<long>, chunk int, counters binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -259,30 +260,23 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
     return seen.select("h", "part", "sid", n.cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("pos"), F.when(near, F.col("before")).alias("before"), F.col("before").isNull().alias("leads"))
 
 
-def _keys(docs: DataFrame, x: int, k: int, percent: int) -> DataFrame:
-    """(key, sid, n, low): the subset keys of sets of at most x shingles, each set once a task. Longer texts don't leave the JVM."""
+def _keys(nodes: DataFrame, x: int, percent: int) -> DataFrame:
+    """(key, sid, n, low): the subset keys of the sets of at most x shingles, by their members. How long a text is says nothing of its set: words may repeat."""
 
     def run(batches):
-        done: set[int] = set()
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
-                s = common.shingle_set(text, k)
+            for sid, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.array(members, np.int64).view(np.uint64).tolist()
                 n = len(s)
-                if not 0 < n <= x or (sid := _name(s)) in done:
-                    continue
-                done.add(sid)
                 for m in partner_sizes(n, percent):
                     if m <= x:
                         salt = (min(n, m) * 256 + max(n, m)).to_bytes(4, "little")
-                        rows += [(xxhash.xxh3_64_intdigest(salt + np.array(c, np.uint64).tobytes()) - 2**63, sid, n, min(n, m)) for c in combinations(s.tolist(), need(n, m, percent))]
-            common.HASHES.trim()
-            if len(done) > REMEMBERED:
-                done.clear()
+                        rows += [(xxhash.xxh3_64_intdigest(salt + np.array(c, np.uint64).tobytes()) - 2**63, sid, n, min(n, m)) for c in combinations(s, need(n, m, percent))]
             yield from common.batches(iter(rows), schema, 20_000)
 
     schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("low", pa.int32())])
-    return docs.select("text").mapInArrow(common.in_worker("words")(run), "key long, sid long, n int, low int")
+    return nodes.where(F.col("n") <= x).select("sid", "members").mapInArrow(common.in_worker("words")(run), "key long, sid long, n int, low int")
 
 
 # --- checks ------------------------------------------------------------------------------------------
@@ -382,7 +376,7 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     survey = stored(_survey(docs, k))
     rows = survey.where("chunk IS NULL").select("doc_id", "n", "sid")
     whole = survey.where("sid IS NOT NULL")
-    nodes = stored(whole.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sig").alias("sig")))
+    nodes = stored(whole.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("bits", "sig", "members"))))
     sketch = _sketch(survey)
     level, salts = _levels(sketch)
     sizes = {r["n"]: r["c"] for r in rows.where(f"n BETWEEN 1 AND {2 * MOST_ENUMERATED}").groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -394,8 +388,7 @@ def _named(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # Sets that share a key of subsets link with the smallest of the lower size among them.
     small = None
     if x:
-        short = F.size(F.split("text", rf"[\x20\x09-\x0D]+", x + k + 2)) <= x + k + 1  # words of sets that small, and the blanks at either end
-        keyed = stored(_keys(docs.where(short), x, k, percent))
+        keyed = stored(_keys(nodes, x, percent))
         hubs = common.with_groups(keyed, ["key"], F.min(F.when(F.col("n") == F.col("low"), F.col("sid"))).alias("hub"), where="hub IS NOT NULL")
         small = stored(hubs.where("sid <> hub").select(*ordered("sid", "hub")).distinct())
         discard(keyed)
