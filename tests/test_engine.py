@@ -248,6 +248,37 @@ def test_a_table_is_set_whole(spark, tmp_path, monkeypatch):
         index.set_many(spark.createDataFrame([(i, "new") for i in range(1001)], "id long, text string"))
 
 
+@pytest.mark.parametrize("few", [0, 4, 64])  # rows of a block are cut as a whole, or sorted alone
+def test_many_questions_at_once(spark, monkeypatch, few):
+    """Vectors with copies and an empty one: exact and by clusters, in rounds and blocks, as one by one."""
+    import numpy as np
+
+    from tidemark.operators import vectors
+
+    monkeypatch.setattr(vectors, "ROUND", 7)
+    monkeypatch.setattr(vectors, "TOGETHER", 3)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "FEW", few)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    x[50:120:2], x[7] = x[3], 0
+    ids = rng.permutation(300)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)] + [(900, None)], "doc int, vector array<float>").repartition(3)
+    unit = vectors._unit(x.astype(np.float64))
+    best = lambda q: [d for _, d in sorted((-round(float(p), 9), int(i)) for p, i in zip(unit @ vectors._unit(q.astype(np.float64)), ids))[:10]]
+    kept, seen = vectors.Clusters.of_table(table, "doc", "vector", 9), 0
+    for asked in vectors.rounds(table.where("doc % 10 = 0"), "doc", "vector"):
+        for found in (vectors.nearest(table.where("vector IS NOT NULL"), asked), kept.nearest(asked, 1.0)):
+            got: dict = {}
+            for r in found.orderBy("question", F.desc("points"), "doc").collect():
+                got.setdefault(r["question"], []).append(r["doc"])
+            assert got == {i: best(q) for i, q in enumerate(asked)}
+        seen += len(asked)
+    assert seen == 30
+    some = kept.nearest(asked, 0.5).join(vectors.nearest(kept.rows, asked), ["question", "doc"], "left_semi").count()
+    assert 0 < some <= 10 * len(asked)
+
+
 def test_words_end_where_unicode_says(spark):
     assert search.words("wait...what e.g. 10,000 l’été x_y") == ["wait", "what", "eg", "10000", "lete", "xy"]
 
