@@ -67,20 +67,23 @@ def nearest(rows: DataFrame, asked: np.ndarray, top: int = 10, read: np.ndarray
     def run(batches):
         q, lists = sent.value
         points, docs = np.full((len(q), top), _NONE), np.full((len(q), top), np.iinfo(np.int64).max)
-        all_ = np.arange(len(q))
+        all_, short = np.arange(len(q)), q.astype(np.float32)
+        slack = q.shape[1] * 2.5e-7  # more than a product of unit vectors of floats may be off
 
         def meet(of, x, d):
             """The questions `of` and at most BLOCK rows in the order of their docs."""
-            bad = ~np.isfinite(x).all(1)
+            bad, rows = ~np.isfinite(x).all(1), x.astype(np.float32)
             for at in range(0, len(of), TOGETHER):
                 some = of[at : at + TOGETHER]
-                s = q[some] @ x.T
+                s = short[some] @ rows.T  # floats say which pairs may count; those are scored by doubles
                 s[:, bad] = -2
-                open_ = s >= ((points[some, -1] - 1) / PARTS)[:, None]
+                open_ = s >= ((points[some, -1] - 1) / PARTS - slack).astype(np.float32)[:, None]
                 if not (n := np.count_nonzero(open_)):
                     continue
                 if n > FEW * len(some):
-                    some, s = some[open_.any(1)], np.rint(s[open_.any(1)] * PARTS)
+                    some = some[open_.any(1)]
+                    s = np.rint(q[some] @ x.T * PARTS)
+                    s[:, bad] = -2 * PARTS
                     if len(d) > top:  # by points, then by place: whole numbers below 2**53
                         j = np.argpartition(np.arange(len(d)) - s * BLOCK, top - 1, axis=1)[:, :top]
                     else:
@@ -88,7 +91,8 @@ def nearest(rows: DataFrame, asked: np.ndarray, top: int = 10, read: np.ndarray
                     p, k = np.take_along_axis(s, j, 1).astype(np.int64), d[j]
                 else:
                     i, j = np.nonzero(open_)
-                    r = np.rint(s[i, j] * PARTS).astype(np.int64)
+                    r = np.where(bad[j], -2, np.einsum("ij,ij->i", q[some[i]], x[j]))
+                    r = np.rint(r * PARTS).astype(np.int64)
                     order = np.lexsort((j, -r, i))
                     i, j, r = i[order], j[order], r[order]
                     rank = np.arange(len(i)) - np.searchsorted(i, i)
